@@ -1,0 +1,22 @@
+"""Vector distances on array columns, for expressions that stay in the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
+
+
+def cosine_similarity(a: Column, b: Column) -> Column:
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def squared_l2(a: Column, b: Column) -> Column:
+    return _sum(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)))
