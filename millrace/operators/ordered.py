@@ -149,8 +149,8 @@ def sum_since_reset(df: DataFrame, keys: list[str], order: str, tie: list[str],
 
 
 # ------------------------------------------------------------------ clamped affine folds
-# One step of a state is x -> clamp(a*x + b, lo, hi) with a >= 0. Such steps compose to
-# a step of the same form, so a cell of rows has a four-number summary and a long
+# One step of a state is x -> clamp(a*x + b, lo, hi). Such steps compose to a step of
+# the same form, so a cell of rows has a four-number summary and a long
 # series of one key is folded in parallel, exactly.
 
 def _replay(start, a, b, lo, hi):
@@ -165,8 +165,8 @@ def _compose(a, b, lo, hi):
     ca, cb, clo, chi = 1.0, 0.0, float("-inf"), float("inf")
     for ai, bi, low, high in zip(a, b, lo, hi):
         ca, cb = ai * ca, ai * cb + bi
-        clo = min(high, max(low, ai * clo + bi)) if ai > 0 else min(high, max(low, bi))
-        chi = min(high, max(low, ai * chi + bi)) if ai > 0 else min(high, max(low, bi))
+        ends = (bi, bi) if ai == 0 else (ai * clo + bi, ai * chi + bi)
+        clo, chi = sorted(min(high, max(low, e)) for e in ends)
     return ca, cb, clo, chi
 
 
