@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import keywords
 
 CATEGORY_CAP = 20
+MEDIAN_ROWS, MEDIAN_BINS = 5_000_000, 4096
 _TEXT = (T.StringType,)
 
 
@@ -36,26 +37,80 @@ def _present(field):
     return column
 
 
+def exact_medians(df: DataFrame, values: dict[str, Column],
+                  bins: int = MEDIAN_BINS) -> dict[str, float | None]:
+    """Exact interpolated median of each expression without holding its values.
+
+    A histogram search: each pass counts, for all columns at once, the values of the
+    current bracket in ``bins`` equal bins, and the bin that holds the wanted rank is
+    the next bracket, until it holds one distinct value. A pass shuffles at most
+    bins x columns x 2 counts.
+    """
+    names = list(values)
+    stats = df.agg(*[m for i, n in enumerate(names) for m in (
+        F.count(values[n]).alias(f"n{i}"), F.min(values[n]).alias(f"l{i}"),
+        F.max(values[n]).alias(f"h{i}"))]).first()
+    open_ranks, done = {}, {}
+    for i, n in enumerate(names):
+        count, low, high = stats[f"n{i}"], stats[f"l{i}"], stats[f"h{i}"]
+        for side, rank in enumerate(((count - 1) // 2, count // 2)):
+            if count:
+                open_ranks[(n, side)] = (low, high, rank)
+    while open_ranks:
+        for key, (low, high, _) in list(open_ranks.items()):
+            if low == high:
+                done[key] = low
+                del open_ranks[key]
+        if not open_ranks:
+            break
+        keys = list(open_ranks)
+        places = []
+        for j, (n, side) in enumerate(keys):
+            low, high, _ = open_ranks[(n, side)]
+            bin_no = F.least(F.lit(bins - 1), F.floor(
+                (values[n] - low) / F.lit(high - low) * bins).cast("int"))
+            places.append(F.struct(F.lit(j).alias("j"), F.when(
+                values[n].between(low, high), bin_no).alias("bin"), values[n].alias("v")))
+        counted = (df.select(F.inline(F.array(*places))).filter("bin is not null")
+                   .groupBy("j", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                            F.max("v").alias("hi"))
+                   .orderBy("j", "bin").collect())
+        for j, key in enumerate(keys):
+            rank = open_ranks[key][2]
+            for row in (r for r in counted if r["j"] == j):
+                if rank < row["n"]:
+                    open_ranks[key] = (row["lo"], row["hi"], rank)
+                    break
+                rank -= row["n"]
+    return {n: (done[(n, 0)] + done[(n, 1)]) / 2 if (n, 0) in done else None for n in names}
+
+
 def numeric_profile(df: DataFrame, columns: list[str] | None = None,
-                    exact_median: bool = True) -> DataFrame:
+                    median_rows: int = MEDIAN_ROWS) -> DataFrame:
     """One row per numeric column: missing share, min, max, mean, std, median, unit.
 
-    All columns share one aggregation. The exact median keeps value counts per
-    column; ``exact_median=False`` uses the sketch for columns with very many
-    distinct values.
+    All columns share one aggregation. The built-in exact median holds every distinct
+    value of a column in one task, so tables above ``median_rows`` rows get the
+    histogram search, which is exact as well.
     """
     columns = signal_columns(df) if columns is None else columns
     fields = [f for f in df.schema.fields if f.name in columns
               and isinstance(f.dataType, (T.NumericType, T.BooleanType))]
     total = F.count(F.lit(1))
+
+    def number(field):
+        value = _present(field)
+        return (value.cast("int") if isinstance(field.dataType, T.BooleanType)
+                else value).cast("double")
+
+    medians = None
+    if fields and df.count() > median_rows:
+        medians = exact_medians(df, {f.name: number(f) for f in fields})
     measures = []
     for i, field in enumerate(fields):
-        value = _present(field)
-        if isinstance(field.dataType, T.BooleanType):
-            value = value.cast("int")
-        value = value.cast("double")
-        median = (F.median(value) if exact_median
-                  else F.percentile_approx(value, 0.5, 100_000))
+        value = number(field)
+        median = (F.median(value) if medians is None
+                  else F.lit(medians[field.name]).cast("double"))
         measures.append(F.struct(
             F.lit(field.name).alias("field"),
             F.lit(field.dataType.simpleString()).alias("dtype"),

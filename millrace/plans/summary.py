@@ -58,8 +58,11 @@ def data_summary(events: DataFrame, machine_name: str, order: str,
 
     products = profiling.product_types(events, order).orderBy("first_seen").limit(PRODUCT_CAP + 1)
     listed = products.agg(F.array_sort(F.collect_list(F.struct("first_seen", "product")))
-                          .alias("_p")).select(F.col("_p.product").cast("array<string>")
-                                               .alias("product_types"), one)
+                          .alias("_p")).select(
+        F.when(F.size("_p") <= PRODUCT_CAP, F.col("_p.product").cast("array<string>"))
+        .otherwise(F.raise_error(F.lit(
+            f"more than {PRODUCT_CAP} product types: name the product column differently")))
+        .alias("product_types"), one)
 
     has_log = maintenance is not None
     log = maintenance if has_log else spark.createDataFrame([], "maintenance_type string")
