@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import reliable_checkpoint
+
 MAX_ROWS = 4_000_000
 CELL = "_cell"
 
@@ -181,6 +183,7 @@ def affine_fold(df: DataFrame, keys: list[str], order: str, tie: list[str], star
     if not sliced:
         return _fold_groups(df, keys, order, tie, start, name)
     cells = [*keys, CELL]
+    place = f"_{order.lstrip('_')}_cell"  # the cell number, as the order of the summary
     key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in cells)
 
     def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -193,9 +196,12 @@ def affine_fold(df: DataFrame, keys: list[str], order: str, tie: list[str], star
 
     summary = df.groupBy(*cells).applyInPandas(
         summarize, f"{key_schema}, a double, b double, lo double, hi double, _start double")
-    ends = affine_fold(summary, keys, CELL, [], "_start", "_end", max_rows)
-    before = Window.partitionBy(*keys).orderBy(CELL)
-    carried = ends.select(*cells, F.coalesce(F.lag("_end").over(before), "_start").alias("_in"))
+    # One row per cell, read several times below: computed once, kept in the checkpoint folder.
+    summary = reliable_checkpoint(summary.withColumnRenamed(CELL, place))
+    ends = affine_fold(summary, keys, place, [], "_start", "_end", max_rows)
+    before = Window.partitionBy(*keys).orderBy(place)
+    carried = ends.select(*keys, F.col(place).alias(CELL),
+                          F.coalesce(F.lag("_end").over(before), "_start").alias("_in"))
     joined = df.join(carried, cells)
     return _fold_groups(joined, cells, order, tie, "_in", name).drop("_in", CELL)
 

@@ -179,12 +179,13 @@ fold AS (SELECT user_id, event_id, rn, {first} FROM seq WHERE rn = 1
 SELECT event_id, {out} FROM fold"""
 
 
-def _fold_sql(start: dict, step: dict) -> str:
+def _fold_sql(start: dict, step: dict, digits: int | None = 6) -> str:
     """A recursion over row numbers; ``{p}`` in a step is the state before it."""
     first = ", ".join(f"{step[s].replace('{p.', '{').format(**{k: f'{v}::DOUBLE' for k, v in start.items()})} AS {s}"
                       .replace("s.value", "value").replace("s.event_type", "event_type") for s in start)
     later = ", ".join(f"{step[s].replace('{p.', '{').format(**{k: f'f.{k}' for k in start})}" for s in start)
-    return _SEQ.format(first=first, step=later, out=", ".join(f"round({s}, 6) AS {s}" for s in start))
+    return _SEQ.format(first=first, step=later, out=", ".join(
+        f"round({s}, {digits}) AS {s}" if digits else s for s in start))
 
 
 _AFFINE_STEP = ("CASE event_type WHEN 'signup' THEN {p.level} * (1 - 0.9::DOUBLE) WHEN 'error' THEN least(1.0::DOUBLE, {p.level} + 0.1::DOUBLE) "
@@ -205,11 +206,11 @@ def wear_fold(spark, folder):
 
 
 @query("tracking_fold", _fold_sql({"level": 25.0}, {"level": (
-    "least(120.0::DOUBLE, greatest(20.0::DOUBLE, (1 - 0.1::DOUBLE) * {p.level} + 0.1::DOUBLE * (25 + s.value / 2)))")}))
+    "least(120.0::DOUBLE, greatest(20.0::DOUBLE, (1 - 0.1::DOUBLE) * {p.level} + 0.1::DOUBLE * (25 + s.value / 2)))")}, digits=None))
 def tracking_fold(spark, folder):
     steps = wear.tracking_step(F.lit(0.1), 25 + F.col("value") / 2, F.lit(1.0), 20.0, 120.0)
     out = wear.fold_states(events(spark, folder), UNIT, ORDER, TIE, steps, F.lit(25.0))
-    return out.select("event_id", F.round("level", 6).alias("level"))
+    return out.select("event_id", "level")
 
 
 @query("accumulation_fold", _fold_sql({"level": 50.0}, {"level": (
