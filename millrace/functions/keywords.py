@@ -107,12 +107,22 @@ def pattern_tag(text: Column, name: Column) -> Column:
     return _first_rule(F.lower(F.concat(text, name)), PATTERNS, DEFAULT_TAG)
 
 
-def antonym_conflict(tokens_a: Column, tokens_b: Column) -> Column:
-    """Both token arrays hit one antonym group, with different members."""
+_ANTONYM_BITS = {w: 1 << i for i, w in enumerate(w for group in ANTONYMS for w in group)}
+
+
+def antonym_mask(tokens: Column) -> Column:
+    """One bit per antonym word that the token array holds."""
+    mask = F.lit(0)
+    for word, bit in _ANTONYM_BITS.items():
+        mask = mask + F.when(F.array_contains(tokens, word), bit).otherwise(0)
+    return mask
+
+
+def antonym_conflict(mask_a: Column, mask_b: Column) -> Column:
+    """Both names hit one antonym group, with different members."""
     conflict = F.lit(False)
     for group in ANTONYMS:
-        members = F.array(*[F.lit(w) for w in group])
-        a = F.array_sort(F.array_intersect(tokens_a, members))
-        b = F.array_sort(F.array_intersect(tokens_b, members))
-        conflict = conflict | ((F.size(a) > 0) & (F.size(b) > 0) & (a != b))
+        members = F.lit(sum(_ANTONYM_BITS[w] for w in group))
+        a, b = mask_a.bitwiseAND(members), mask_b.bitwiseAND(members)
+        conflict = conflict | ((a != 0) & (b != 0) & (a != b))
     return conflict

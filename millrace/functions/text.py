@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 # What Python's str.strip / str.split / \s treat as blank: the Unicode White_Space
 # set ((?U)\s in Java) plus the four ASCII separators.
 BLANK = r"[\s\x1c-\x1f]"
+BLANK_CHARACTERS = "".join(map(chr, (
+    *range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b),
+    0x2028, 0x2029, 0x202f, 0x205f, 0x3000)))
 _NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
 
 
 def strip_blank(text: Column) -> Column:
     """Drop leading and trailing blanks of every Unicode kind."""
-    return F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANK_CHARACTERS))
 
 
 def normalize_name(text: Column) -> Column:

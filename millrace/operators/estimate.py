@@ -16,6 +16,7 @@ from millrace.operators.ordered import MAX_ROWS, affine_fold, row_index
 from millrace.operators.wear import TRACKING_CAP
 from millrace.operators.wiring import output_map
 from millrace.operators.quality import column_catalog
+from millrace.session import reliable_checkpoint, spread_groups
 
 # Fixed values of the estimation.
 MEMBERS, STRIDE, SEED, PROCESS_NOISE = 100, 50, 42, 1e-4
@@ -130,7 +131,7 @@ def propagate(starts: DataFrame, specs: list[StateSpec], unit: list[str], stride
     folded, and the slices replayed.
     """
     names = [s.name for s in specs]
-    keyed = starts.withColumn("_key", F.xxhash64(*unit, "member"))
+    keyed = spread_groups(starts.withColumn("_key", F.xxhash64(*unit, "member")), ["_key"])
     longest = starts.agg(F.max("n_steps")).first()[0] or 0
     if longest <= steps_per_slice:
         begun = keyed.withColumns({"_from": F.lit(1).cast("long"),
@@ -140,7 +141,8 @@ def propagate(starts: DataFrame, specs: list[StateSpec], unit: list[str], stride
         F.lit(1).cast("long"), F.greatest(F.col("n_steps") - 1, F.lit(1)),
         F.lit(steps_per_slice).cast("long")))).withColumn(
         "_to", F.least(F.col("_from") + steps_per_slice - 1, F.col("n_steps") - 1))
-    summary = _summarize_slices(slices, specs, unit, noise)
+    # One row per member, state and slice; the fold reads it more than once.
+    summary = reliable_checkpoint(_summarize_slices(slices, specs, unit, noise))
     folded = affine_fold(summary, [*unit, "member", "state"], "_from", [], "start", "level")
     ends = folded.groupBy(*unit, "member", F.col("_to").alias("_end")).agg(*[
         F.max(F.when(F.col("state") == n, F.col("level"))).alias(n) for n in names])

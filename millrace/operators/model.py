@@ -100,9 +100,9 @@ def _finding(severity, rule, detail):
 def audit_model(model: DataFrame, physics: DataFrame, flows: DataFrame) -> DataFrame:
     """(machine_id, component, severity, rule, detail) of every issue and warning.
 
-    ``model`` is the merged, flagged model, ``physics`` the pass-2 records by name. The
-    per-component rules are one projection over the component row; only the
-    cross-checks (orphans, endpoints) join, on equality.
+    ``model`` is the merged (``merge_physics``) and flagged model, ``physics`` the pass-2
+    records by name. The per-component rules are one projection over the component row;
+    only the cross-checks (orphans, endpoints) join, on equality.
     """
     none = F.array().cast("array<struct<severity:string,rule:string,detail:string>>")
 
@@ -135,8 +135,8 @@ def audit_model(model: DataFrame, physics: DataFrame, flows: DataFrame) -> DataF
                          F.lit(rule).alias("rule"), detail.alias("detail"))
 
     blank = F.lit("")
-    unmatched = listed(model.join(physics.select(*KEY), KEY, "left_anti"),
-                       "issue", "component without physics", blank)
+    unmatched = listed(model.filter(~F.col("has_physics")), "issue",
+                       "component without physics", blank)
     orphans = listed(physics.join(model.select(*KEY), KEY, "left_anti"),
                      "issue", "physics without component", blank)
     path = F.concat(F.lit("flow "), F.coalesce("substance", F.lit("?")))

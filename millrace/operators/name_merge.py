@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.keywords import ANTONYMS, antonym_conflict
+from millrace.functions.keywords import ANTONYMS, antonym_conflict, antonym_mask
 from millrace.session import reliable_checkpoint
 
 # Fixed values of the similarity rule.
@@ -56,7 +56,7 @@ def similar_names(names: DataFrame, least_score: float = CONFIRM,
                   .agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("_r"))
                   .select("scope", "name", F.col("_r.token").alias("rare")))
     sized = (base.drop("tokens").join(rare_first, ["scope", "name"])
-             .withColumn("size", F.size("rare")))
+             .withColumns({"size": F.size("rare"), "mask": antonym_mask(F.col("rare"))}))
 
     single = F.when(F.col("size") + 1 <= single_limit,
                     F.transform("rare", lambda x: F.array(x))).otherwise(
@@ -77,26 +77,32 @@ def similar_names(names: DataFrame, least_score: float = CONFIRM,
     right = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     a, b = left.alias("a"), right.alias("b")
-    shared = F.array_intersect("a.rare", "b.rare")
-    n_shared = F.size(shared)
-    n_either = F.col("a.size") + F.col("b.size") - n_shared
-    # One block per pair: the single shared token, or the two rarest shared tokens.
-    own_block = F.when(
-        F.size("a.key") == 1,
-        (n_shared == 1) & (F.col("a.size") + F.col("b.size") <= single_limit),
-    ).otherwise((n_shared >= 2) & (F.slice(shared, 1, 2) == F.col("a.key")))
+    size_a, size_b = F.col("a.size"), F.col("b.size")
     length_a, length_b = F.length("a.name"), F.length("b.name")
-    best = (JACCARD_WEIGHT * n_shared / n_either
-            + RATIO_WEIGHT * 2 * F.least(length_a, length_b) / (length_a + length_b))
+    best_ratio = RATIO_WEIGHT * 2 * F.least(length_a, length_b) / (length_a + length_b)
+    best_jaccard = JACCARD_WEIGHT * F.least(size_a, size_b) / F.greatest(size_a, size_b)
+    # Numbers only: cheap limits in the join, before any array is compared.
     pairs = a.join(
         b,
         (F.col("a.scope") == F.col("b.scope")) & (F.col("a.key") == F.col("b.key"))
         & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.seen") < F.col("b.seen"))
-        & (best >= floor - 1e-9) & own_block & ~antonym_conflict(F.col("a.rare"), F.col("b.rare")))
-    scored = pairs.select(
-        F.col("a.scope").alias("scope"), F.col("a.name").alias("name_a"),
-        F.col("b.name").alias("name_b"),
-        _score(F.col("a.name"), F.col("b.name"), n_shared, n_either).alias("s"))
+        & (best_jaccard + best_ratio >= floor - 1e-9)
+        & ~antonym_conflict(F.col("a.mask"), F.col("b.mask"))
+    ).select(F.col("a.scope").alias("scope"), F.col("a.name").alias("name_a"),
+             F.col("b.name").alias("name_b"), F.col("a.key").alias("key"),
+             (size_a + size_b).alias("sizes"), best_ratio.alias("best_ratio"),
+             F.array_intersect("a.rare", "b.rare").alias("shared"))
+    n_shared = F.size("shared")
+    n_either = F.col("sizes") - n_shared
+    # One block per pair: the single shared token, or the two rarest shared tokens.
+    own_block = F.when(
+        F.size("key") == 1, (n_shared == 1) & (F.col("sizes") <= single_limit),
+    ).otherwise((n_shared >= 2) & (F.slice("shared", 1, 2) == F.col("key")))
+    kept = pairs.filter(own_block & (
+        JACCARD_WEIGHT * n_shared / n_either + F.col("best_ratio") >= floor - 1e-9))
+    scored = kept.select(
+        "scope", "name_a", "name_b",
+        _score(F.col("name_a"), F.col("name_b"), n_shared, n_either).alias("s"))
     return (scored.select("scope", "name_a", "name_b", "s.score", "s.rounded",
                           F.when(F.col("s.score") >= AUTO_MERGE, "auto_merge")
                           .when(F.col("s.score") >= REVIEW, "review").alias("label"))

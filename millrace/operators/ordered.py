@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import reliable_checkpoint
+from millrace.session import reliable_checkpoint, spread_groups
 
 MAX_ROWS = 4_000_000
 CELL = "_cell"
@@ -194,7 +194,7 @@ def affine_fold(df: DataFrame, keys: list[str], order: str, tie: list[str], star
         return pd.DataFrame({**row, "a": [ca], "b": [cb], "lo": [clo], "hi": [chi],
                              "_start": [float(pdf[start].iloc[0])]})
 
-    summary = df.groupBy(*cells).applyInPandas(
+    summary = spread_groups(df, cells).groupBy(*cells).applyInPandas(
         summarize, f"{key_schema}, a double, b double, lo double, hi double, _start double")
     # One row per cell, read several times below: computed once, kept in the checkpoint folder.
     summary = reliable_checkpoint(summary.withColumnRenamed(CELL, place))
@@ -215,4 +215,4 @@ def _fold_groups(df, group, order, tie, start, name):
                                            pdf["b"].tolist(), pdf["lo"].tolist(),
                                            pdf["hi"].tolist())})
 
-    return df.groupBy(*group).applyInPandas(replay, schema)
+    return spread_groups(df, group).groupBy(*group).applyInPandas(replay, schema)

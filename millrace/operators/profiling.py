@@ -42,47 +42,50 @@ def exact_medians(df: DataFrame, values: dict[str, Column],
     """Exact interpolated median of each expression without holding its values.
 
     A histogram search: each pass counts, for all columns at once, the values of the
-    current bracket in ``bins`` equal bins, and the bin that holds the wanted rank is
-    the next bracket, until it holds one distinct value. A pass shuffles at most
-    bins x columns x 2 counts.
+    current bracket in ``bins`` equal bins; the bin that holds the middle is the next
+    bracket, until it holds one distinct value. A pass shuffles and collects at most
+    bins x columns counts.
     """
     names = list(values)
     stats = df.agg(*[m for i, n in enumerate(names) for m in (
         F.count(values[n]).alias(f"n{i}"), F.min(values[n]).alias(f"l{i}"),
         F.max(values[n]).alias(f"h{i}"))]).first()
-    open_ranks, done = {}, {}
+    # Per column: bracket ends and the one or two middle ranks inside it.
+    open_, done = {}, dict.fromkeys(names)
     for i, n in enumerate(names):
         count, low, high = stats[f"n{i}"], stats[f"l{i}"], stats[f"h{i}"]
-        for side, rank in enumerate(((count - 1) // 2, count // 2)):
-            if count:
-                open_ranks[(n, side)] = (low, high, rank)
-    while open_ranks:
-        for key, (low, high, _) in list(open_ranks.items()):
+        if count:
+            open_[n] = (low, high, (count - 1) // 2, count // 2)
+    while True:
+        for n, (low, high, _, _) in list(open_.items()):
             if low == high:
-                done[key] = low
-                del open_ranks[key]
-        if not open_ranks:
-            break
-        keys = list(open_ranks)
+                done[n] = low
+                del open_[n]
+        if not open_:
+            return done
         places = []
-        for j, (n, side) in enumerate(keys):
-            low, high, _ = open_ranks[(n, side)]
+        for n, (low, high, _, _) in open_.items():
             bin_no = F.least(F.lit(bins - 1), F.floor(
                 (values[n] - low) / F.lit(high - low) * bins).cast("int"))
-            places.append(F.struct(F.lit(j).alias("j"), F.when(
+            places.append(F.struct(F.lit(names.index(n)).alias("c"), F.when(
                 values[n].between(low, high), bin_no).alias("bin"), values[n].alias("v")))
-        counted = (df.select(F.inline(F.array(*places))).filter("bin is not null")
-                   .groupBy("j", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                            F.max("v").alias("hi"))
-                   .orderBy("j", "bin").collect())
-        for j, key in enumerate(keys):
-            rank = open_ranks[key][2]
-            for row in (r for r in counted if r["j"] == j):
-                if rank < row["n"]:
-                    open_ranks[key] = (row["lo"], row["hi"], rank)
+        counted: dict[int, list] = {}
+        for row in (df.select(F.inline(F.array(*places))).filter("bin is not null")
+                    .groupBy("c", "bin").agg(F.count(F.lit(1)).alias("n"),
+                                             F.min("v").alias("lo"), F.max("v").alias("hi"))
+                    .orderBy("c", "bin").collect()):
+            counted.setdefault(row["c"], []).append(row)
+        for n, (_, _, first, second) in list(open_.items()):
+            before = 0
+            for row, after in zip(counted[names.index(n)], [*counted[names.index(n)][1:], None]):
+                if first < before + row["n"]:
+                    if second < before + row["n"]:
+                        open_[n] = (row["lo"], row["hi"], first - before, second - before)
+                    else:  # the middle falls between two bins
+                        done[n] = (row["hi"] + after["lo"]) / 2
+                        del open_[n]
                     break
-                rank -= row["n"]
-    return {n: (done[(n, 0)] + done[(n, 1)]) / 2 if (n, 0) in done else None for n in names}
+                before += row["n"]
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None,

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from millrace.operators.ordered import (CELL, MAX_ROWS, affine_fold, order_number, row_index,
                                         running_last, sum_since_reset, with_cells)
-from millrace.session import reliable_checkpoint
+from millrace.session import reliable_checkpoint, spread_groups
 
 # Operating hours behind one unit of each rate basis, and the largest
 # tracking coefficient.
@@ -112,13 +112,19 @@ class WearRule:
     hi: float = 1.0
     restore: dict = field(default_factory=dict)
 
-    def step(self, levels: dict, drive: float) -> float:
-        level = levels[self.state]
-        factor = {"power": lambda: 1.0 + self.k * level ** self.p,
-                  "saturating": lambda: max(0.0, 1.0 - level) ** self.p,
-                  "decay": lambda: -(level ** self.p),
-                  "coupled": lambda: 1.0 + self.k * levels[self.other]}[self.form]()
-        return min(self.hi, max(self.lo, level + self.rate * drive * factor))
+    def stepper(self):
+        """(levels, drive) -> new level, with the form resolved once."""
+        name, rate, lo, hi, k, p, other = (self.state, self.rate, self.lo, self.hi, self.k,
+                                           self.p, self.other)
+        factor = {"power": lambda x, levels: 1.0 + k * x ** p,
+                  "saturating": lambda x, levels: max(0.0, 1.0 - x) ** p,
+                  "decay": lambda x, levels: -(x ** p),
+                  "coupled": lambda x, levels: 1.0 + k * levels[other]}[self.form]
+
+        def step(levels, drive):
+            x = levels[name]
+            return min(hi, max(lo, x + rate * drive * factor(x, levels)))
+        return step
 
     def restored(self, level: float, maintenance: str) -> float:
         kind, amount = self.restore.get(maintenance, (None, 0.0))
@@ -131,13 +137,15 @@ class WearRule:
 
 def _run_rules(pdf: pd.DataFrame, levels: dict, rules, maintenance: str) -> pd.DataFrame:
     drives = [pdf[r.driver].fillna(0.0).tolist() for r in rules]
-    out = {r.state: [] for r in rules}
-    for i, kind in enumerate(pdf[maintenance].tolist()):
-        for r, drive in zip(rules, drives):
-            levels[r.state] = (r.step(levels, drive[i]) if pd.isna(kind)
-                               else r.restored(levels[r.state], kind))
-            out[r.state].append(levels[r.state])
-    return pdf.assign(**out)
+    kinds = pdf[maintenance].tolist()
+    serviced = pdf[maintenance].notna().tolist()
+    moves = [(r, r.state, r.stepper(), drive, []) for r, drive in zip(rules, drives)]
+    for i, service in enumerate(serviced):
+        for r, state, step, drive, out in moves:
+            level = r.restored(levels[state], kinds[i]) if service else step(levels, drive[i])
+            levels[state] = level
+            out.append(level)
+    return pdf.assign(**{state: out for _, state, _, _, out in moves})
 
 
 def nonlinear_wear(rows: DataFrame, keys: list[str], order: str, tie: list[str],
@@ -160,7 +168,7 @@ def nonlinear_wear(rows: DataFrame, keys: list[str], order: str, tie: list[str],
                           rules, maintenance)
 
     if not sliced:
-        return rows.groupBy(*keys).applyInPandas(from_start, schema)
+        return spread_groups(rows, keys).groupBy(*keys).applyInPandas(from_start, schema)
 
     def carried(pdf: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):

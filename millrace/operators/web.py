@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import keywords
+from millrace.functions.text import strip_blank
 
 # Where a page keeps its main text (first match wins), what is noise
 # otherwise, and the size limits of sections.
@@ -140,7 +141,7 @@ def rst_chunks(files: DataFrame) -> DataFrame:
     """One raw chunk per underlined section of ``files(source, stem, text)``."""
     pieces = F.split("text", "\n(?=[^\n]+\n[=\\-~]{3,}\n)", -1)
     exploded = files.select("source", "stem", F.posexplode(pieces).alias("section", "piece"))
-    body = F.regexp_replace("piece", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    body = strip_blank(F.col("piece"))
     return (exploded.withColumn("text", body).filter(F.length("text") >= RST_MIN_CHARS)
             .select("source", F.lit("guide").alias("chunk_type"),
                     F.concat("stem", F.lit("_section_"), F.col("section").cast("string")).alias("name"),

@@ -74,7 +74,7 @@ SELECT event_id, CASE event_type WHEN 'purchase' THEN NULL WHEN 'view' THEN '['
   CASE WHEN event_type IN ('click', 'signup', 'error') THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k
 FROM events""")
 def lenient_json(spark, folder):
-    events = table(spark, folder, "events")
+    events = table(spark, folder, "events", heavy=True)
     parsed = events.select("event_id", contract.lenient_json(_reply(events)).alias("json"))
     return parsed.withColumn("k", F.from_json("json", "k long")["k"])
 
@@ -100,7 +100,7 @@ def part_runs(spark, folder):
     text = (F.when(F.col("p_size") <= 25, F.concat(F.lit("```json\n"), fields, F.lit("\n```")))
             .when(F.col("p_size") <= 40, F.concat(F.lit("Fields: "), fields))
             .otherwise(F.concat(F.lit('One: [{"field_name": "'), name, F.lit('"}] done'))))
-    return table(spark, folder, "part").select(
+    return table(spark, folder, "part", heavy=True).select(
         F.col("p_type").alias("scope"), F.col("p_partkey").alias("run"), text.alias("text"))
 
 

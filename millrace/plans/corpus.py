@@ -37,7 +37,7 @@ def pattern_sql(text, name):
 
 
 def raw_documents(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents", heavy=True)
     return docs.select("doc_id", "text", "source", F.col("lang").alias("chunk_type"),
                        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"))
 
@@ -47,7 +47,7 @@ WITH n AS (SELECT doc_id, lang, n_chars, {_NORM} AS norm FROM documents)
 SELECT doc_id, lang, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id) AS rn
   FROM n WHERE norm <> '') WHERE rn = 1""")
 def chunk_dedup(spark, folder):
-    return chunks.dedupe_chunks(table(spark, folder, "documents"), "doc_id").select(
+    return chunks.dedupe_chunks(table(spark, folder, "documents", heavy=True), "doc_id").select(
         "doc_id", "lang", "n_chars")
 
 
@@ -105,7 +105,7 @@ UNION ALL SELECT chunk_id, 'type' FROM t WHERE type IS NULL
 UNION ALL SELECT chunk_id, 'source' FROM t WHERE source IS NULL
 UNION ALL SELECT chunk_id, 'pattern' FROM t""")
 def metadata_audit(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents", heavy=True)
     return chunks.missing_metadata(docs.select(
         F.col("doc_id").alias("chunk_id"), F.lit("manual").alias("framework"),
         F.nullif(keywords.domain_tag(F.col("text")), F.lit("general")).alias("domain"),
@@ -349,7 +349,7 @@ def turn_pages(spark, folder, with_contents):
     """Each turn is a page; user turns open a numbered section. With contents, the first
     page is a contents page in the three entry formats, for conversations that a user
     opens."""
-    turns = table(spark, folder, "conversations")
+    turns = table(spark, folder, "conversations", heavy=True)
     number = (F.col("turn") + 1).cast("string")
     heading = F.when(F.col("role") == "user", F.concat(
         number, F.lit(".1 Question from the user side\n"))).otherwise(F.lit(""))
@@ -425,7 +425,7 @@ f AS (SELECT page_id, url, string_agg(node, chr(10) ORDER BY pos) AS content FRO
 @query("page_text", _HTML_SQL + """
 SELECT page_id, length(content) AS n_chars, md5(content) AS digest FROM f""")
 def page_text(spark, folder):
-    pages = table(spark, folder, "pages").select("page_id", "html")
+    pages = table(spark, folder, "pages", heavy=True).select("page_id", "html")
     return web.main_content(pages).select(
         "page_id", F.length("content").cast("long").alias("n_chars"),
         F.md5(F.col("content").cast("binary")).alias("digest"))
@@ -441,7 +441,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY run) - 1 AS sec
 SELECT url AS source, 'guide' AS chunk_type, 'page_' || page_id || '_section_' || section AS name, md5(text) AS digest,
   {domain_sql('text')} AS domain, {pattern_sql('text', "'page_' || page_id")} AS pattern FROM k""")
 def page_chunks(spark, folder):
-    pages = table(spark, folder, "pages").select(
+    pages = table(spark, folder, "pages", heavy=True).select(
         F.col("url").alias("source"), F.lit("guide").alias("chunk_type"),
         F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("name"), "html")
     return web.page_chunks(web.main_content(pages)).select(
@@ -459,7 +459,7 @@ SELECT source || '/' || doc_id AS source, 'guide' AS chunk_type, 'doc_' || doc_i
 FROM p WHERE length({_strip_sql('piece')}) >= 50""")
 def guide_chunks(spark, folder):
     number = F.col("doc_id").cast("string")
-    files = table(spark, folder, "documents").select(
+    files = table(spark, folder, "documents", heavy=True).select(
         F.concat_ws("/", "source", number).alias("source"),
         F.concat(F.lit("doc_"), number).alias("stem"),
         F.concat(F.lit("Text in "), "lang", F.lit("\n=======\n"), "text", F.lit("\nNotes for "),
@@ -493,7 +493,7 @@ def source_chunks(spark, folder):
         F.lit('\n\n    def label(self):\n        return "'), "p_name", F.lit('"\n'))
     text = F.when(F.col("p_size").between(36, 40), F.concat(code, F.lit("def broken(:\n"))).otherwise(code)
     place = F.when(F.col("p_size") > 40, "examples").otherwise("src")
-    files = table(spark, folder, "part").select(
+    files = table(spark, folder, "part", heavy=True).select(
         F.concat(place, F.lit("/part_"), key, F.lit(".py")).alias("source"),
         F.concat(F.lit("part_"), key).alias("stem"), text.alias("text"))
     return web.source_chunks(files).select(

@@ -8,25 +8,28 @@ from pyspark.sql import functions as F
 from millrace.operators import model, wiring
 from millrace.plans.registry import query, table
 
-LINES = """one AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
-  ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) = 1),
+LINES = """one AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, max(l_quantity) AS l_quantity,
+  min(l_discount) AS l_discount, max(l_tax) AS l_tax, min(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus
+  FROM lineitem GROUP BY ALL),
 lines AS (SELECT l_orderkey AS machine_id, l_linenumber AS n, 'unit_' || l_linenumber AS component,
   lower(p_type) AS kind, l.*, p_name, p_size FROM one l JOIN part ON l_partkey = p_partkey)"""
-_LINE_COLUMNS = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-                 "l_returnflag", "l_linestatus")
 
 
 def lines(spark, folder):
-    """One component per (order, line number): a position listed twice keeps its first
-    row by value. The choice is an aggregation, so repeats combine before the shuffle."""
+    """One component per (order, line number): a position listed twice is one component
+    with the extreme values of its rows. Letters are folded as numbers, so the whole
+    aggregation is fixed-width and combines before the shuffle."""
     items, parts = table(spark, folder, "lineitem"), table(spark, folder, "part")
     one = items.groupBy("l_orderkey", "l_linenumber").agg(
-        F.min(F.struct(*_LINE_COLUMNS)).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+        F.min("l_partkey").alias("l_partkey"), F.max("l_quantity").alias("l_quantity"),
+        F.min("l_discount").alias("l_discount"), F.max("l_tax").alias("l_tax"),
+        F.char(F.min(F.ascii("l_returnflag"))).alias("l_returnflag"),
+        F.char(F.max(F.ascii("l_linestatus"))).alias("l_linestatus"))
     return one.join(parts, one["l_partkey"] == parts["p_partkey"]).select(
         F.col("l_orderkey").alias("machine_id"), F.col("l_linenumber").alias("n"),
         F.concat(F.lit("unit_"), F.col("l_linenumber").cast("string")).alias("component"),
         F.lower("p_type").alias("kind"), "l_quantity", "l_discount", "l_tax", "l_returnflag",
-        "l_linestatus", "l_extendedprice", "p_size")
+        "l_linestatus", "p_size")
 
 
 def quantity():

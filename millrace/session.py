@@ -41,3 +41,27 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="millrace-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition by the keys a grouped Python step needs anyway, with a fixed count.
+
+    Adaptive execution merges small shuffle partitions by their bytes, which would put
+    cheap-to-store but slow-to-process groups into one task. The grouped step that
+    follows reuses this partitioning, so there is still one shuffle.
+    """
+    return df.repartition(shuffle_width(df.sparkSession), *keys)
+
+
+def read_table(spark: SparkSession, path: str, heavy: bool = False) -> DataFrame:
+    """A Parquet table. ``heavy`` announces long work per row: a table stored in fewer
+    splits than there are cores is dealt out first, a large one is left as it is."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if heavy and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
