@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.numeric import clip
 from millrace.operators.ordered import MAX_ROWS, row_index
+from millrace.session import collect_metadata
 
 # Upper ends of the vibration severity bands (mm/s).
 SEVERITY_BANDS = ((1.8, "smooth"), (5.4, "acceptable"), (10.7, "rough"))
@@ -88,7 +89,7 @@ def derived_outputs(states: DataFrame, rules: DataFrame, keys: list[str]) -> Dat
 
     The rule table is model metadata (tens of rows per component model)."""
     pairs = [(r["output"], r["sql"]) for r in
-             rules.select("output", "sql").orderBy("output").limit(10_000).collect()]
+             collect_metadata(rules.select("output", "sql").orderBy("output"), "the output rules")]
     return states.select(*keys, *[F.expr(sql).alias(name) for name, sql in pairs])
 
 

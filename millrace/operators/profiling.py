@@ -141,7 +141,7 @@ def categorical_profile(df: DataFrame, order: str, columns: list[str] | None = N
     """
     columns = signal_columns(df) if columns is None else columns
     fields = [f for f in df.schema.fields
-              if f.name in columns and not isinstance(f.dataType, T.NumericType)]
+              if f.name in columns and not isinstance(f.dataType, (T.NumericType, T.BooleanType))]
     long = df.select(F.col(order).alias("_ord"), F.inline(F.array(*[
         F.struct(F.lit(f.name).alias("field"),
                  F.col(f"`{f.name}`").cast("string").alias("category")) for f in fields])))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import parse_range
-
-MAX_CONTRACT_FIELDS = 20_000
+from millrace.session import collect_metadata
 
 
 def column_catalog(df: DataFrame) -> DataFrame:
@@ -51,8 +50,9 @@ def null_rule_violations(df: DataFrame, rules: DataFrame, type_column: str,
 
     ``rules(operation_type, field)`` is a contract-sized table. Zero is a violation.
     """
-    fields = [r["field"] for r in rules.select("field").distinct().limit(MAX_CONTRACT_FIELDS)
-              .collect() if r["field"] in df.columns]
+    rules = rules.select("operation_type", "field").distinct()
+    pairs = collect_metadata(rules, "the null rules")
+    fields = [c for c in df.columns if any(r["field"] == c for r in pairs)]
     if not fields:
         return df.select(*keys, F.lit("").alias("field"), F.lit("").alias("value")).limit(0)
     long = df.select(*keys, F.col(type_column).alias("operation_type"),
@@ -60,8 +60,7 @@ def null_rule_violations(df: DataFrame, rules: DataFrame, type_column: str,
                                                  F.col(f"`{f}`").cast("string").alias("value"))
                                         for f in fields])))
     return (long.filter(F.col("value").isNotNull())
-            .join(F.broadcast(rules.select("operation_type", "field").distinct()),
-                  ["operation_type", "field"])
+            .join(F.broadcast(rules), ["operation_type", "field"])
             .select(*keys, "operation_type", "field", "value"))
 
 
@@ -72,12 +71,11 @@ def range_audit(df: DataFrame, contract: DataFrame) -> DataFrame:
     readable ``lo-hi`` range. All fields are measured in one pass: the contract is a
     metadata table, so its parsed bounds become literals of a single aggregation.
     """
-    parsed = (contract.select("field_name", "typical_range", "ord",
-                              parse_range(F.col("typical_range")).alias("r"))
-              .filter("r is not null").orderBy("ord").limit(MAX_CONTRACT_FIELDS + 1)
-              .select("field_name", "typical_range", "r.lo", "r.hi").collect())
-    if len(parsed) > MAX_CONTRACT_FIELDS:
-        raise ValueError(f"a field contract has at most {MAX_CONTRACT_FIELDS} rows")
+    parsed = collect_metadata(
+        contract.select("field_name", "typical_range", "ord",
+                        parse_range(F.col("typical_range")).alias("r"))
+        .filter("r is not null").orderBy("ord")
+        .select("field_name", "typical_range", "r.lo", "r.hi"), "the field contract")
     types = {f.name: f.dataType for f in df.schema.fields}
     schema = ("field string, typical_range string, observed_min double, observed_max double, "
               "out_of_range_pct double")

@@ -56,7 +56,7 @@ def data_summary(events: DataFrame, machine_name: str, order: str,
         place.alias("at"), F.struct(*signals.columns).alias("s")))).alias("_s")).select(
         F.col("_s.s").alias("signals"), one)
 
-    products = profiling.product_types(events, order).orderBy("first_seen").limit(PRODUCT_CAP + 1)
+    products = profiling.product_types(events, order).limit(PRODUCT_CAP + 1)
     listed = products.agg(F.array_sort(F.collect_list(F.struct("first_seen", "product")))
                           .alias("_p")).select(
         F.when(F.size("_p") <= PRODUCT_CAP, F.col("_p.product").cast("array<string>"))
