@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from millrace.session import reliable_checkpoint, spread_groups
 
-MAX_ROWS = 4_000_000
+MAX_ROWS = 1_000_000
 CELL = "_cell"
+NO_POSITION = -(2 ** 62)  # cell of rows without an order value: first, as in a sort
 
 
 def order_number(df: DataFrame, order: str) -> Column:
@@ -69,7 +70,16 @@ def with_cells(df: DataFrame, keys: list[str], order: str, max_rows: int = MAX_R
     if width is None:
         return df, False
     cell = F.floor(order_number(df, order) / F.lit(width)).cast("long")
-    return df.withColumn(CELL, cell), True
+    return df.withColumn(CELL, F.coalesce(cell, F.lit(NO_POSITION))), True
+
+
+def _with_carry(rows: DataFrame, carried: DataFrame, group: list[str]) -> DataFrame:
+    """Rows with the carried values of their cell; rows without a key find theirs too."""
+    named = carried.withColumnsRenamed({g: f"_of_{g}" for g in group})
+    same = F.lit(True)
+    for g in group:
+        same = same & rows[g].eqNullSafe(named[f"_of_{g}"])
+    return rows.join(named, same).drop(*[f"_of_{g}" for g in group])
 
 
 def _earlier(keys):
@@ -91,9 +101,9 @@ def row_index(df: DataFrame, keys: list[str], order: str, tie: list[str], name:
         F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"))
     inside = Window.partitionBy(*keys, CELL).orderBy(order, *tie)
-    out = (df.withColumn("_rn", F.row_number().over(inside) - 1)
-           .join(offsets, [*keys, CELL])
-           .withColumn(name, F.col("_rn") + F.col("_before")))
+    numbered = df.withColumn("_rn", F.row_number().over(inside) - 1)
+    out = _with_carry(numbered, offsets, [*keys, CELL]).withColumn(
+        name, F.col("_rn") + F.col("_before"))
     if total:
         out = out.withColumnRenamed("_total", total)
     return out.drop("_rn", "_before", "_total", CELL)
@@ -115,7 +125,7 @@ def running_last(df: DataFrame, keys: list[str], order: str, tie: list[str],
     carried = summary.select(
         *group, *[F.last(n, ignorenulls=True).over(_earlier(keys)).alias(f"_in_{n}")
                   for n in values])
-    return (out.join(carried, group)
+    return (_with_carry(out, carried, group)
             .withColumns({n: F.coalesce(n, f"_in_{n}") for n in values})
             .drop(CELL, *[f"_in_{n}" for n in values]))
 
@@ -145,7 +155,7 @@ def sum_since_reset(df: DataFrame, keys: list[str], order: str, tie: list[str],
         .rowsBetween(Window.unboundedPreceding, 0)))
     carried = ends.select(*group, F.coalesce(
         F.lag("_end").over(Window.partitionBy(*keys).orderBy(CELL)), F.lit(0.0)).alias("_in"))
-    return (out.join(carried, group)
+    return (_with_carry(out, carried, group)
             .withColumn(name, F.col(name) + F.when(F.col("_epoch") == 0, F.col("_in")).otherwise(0.0))
             .drop("_epoch", "_in", CELL))
 
@@ -187,7 +197,7 @@ def affine_fold(df: DataFrame, keys: list[str], order: str, tie: list[str], star
     key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in cells)
 
     def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, *tie])
+        pdf = pdf.sort_values([order, *tie], na_position="first")
         ca, cb, clo, chi = _compose(pdf["a"].tolist(), pdf["b"].tolist(),
                                     pdf["lo"].tolist(), pdf["hi"].tolist())
         row = {k: [pdf[k].iloc[0]] for k in cells}
@@ -202,7 +212,7 @@ def affine_fold(df: DataFrame, keys: list[str], order: str, tie: list[str], star
     before = Window.partitionBy(*keys).orderBy(place)
     carried = ends.select(*keys, F.col(place).alias(CELL),
                           F.coalesce(F.lag("_end").over(before), "_start").alias("_in"))
-    joined = df.join(carried, cells)
+    joined = _with_carry(df, carried, cells)
     return _fold_groups(joined, cells, order, tie, "_in", name).drop("_in", CELL)
 
 
@@ -210,7 +220,7 @@ def _fold_groups(df, group, order, tie, start, name):
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, *tie])
+        pdf = pdf.sort_values([order, *tie], na_position="first")
         return pdf.assign(**{name: _replay(pdf[start].iloc[0], pdf["a"].tolist(),
                                            pdf["b"].tolist(), pdf["lo"].tolist(),
                                            pdf["hi"].tolist())})

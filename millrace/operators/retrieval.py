@@ -107,7 +107,7 @@ def merge_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """(chunk_id, first_hit, matched_queries): each chunk once, its queries in catalogue
     order. ``queries(query_id, query_ord, query)``; a chunk has at most one hit per query,
     so the arrays are bounded by the catalogue."""
-    placed = hits.join(F.broadcast(queries.select("query_id", "query_ord", "query")), "query_id")
+    placed = hits.join(queries.select("query_id", "query_ord", "query"), "query_id")
     merged = placed.groupBy("chunk_id").agg(
         F.min(F.struct("query_ord", "rank")).alias("first_hit"),
         F.array_sort(F.collect_list(F.struct("query_ord", "query"))).alias("_q"))
@@ -122,7 +122,7 @@ def topic_chunks(merged: DataFrame, topics: DataFrame) -> DataFrame:
     """
     of_query = topics.groupBy("query").agg(F.max_by("topic", "ord").alias("topic"))
     return (merged.select("chunk_id", "first_hit", F.explode("matched_queries").alias("query"))
-            .join(F.broadcast(of_query), "query", "left")
+            .join(of_query, "query", "left")
             .select(F.coalesce("topic", F.lit("general")).alias("topic"), "chunk_id", "first_hit")
             .distinct())
 
@@ -162,7 +162,7 @@ def with_curated(hits: DataFrame, queries: DataFrame, curated: DataFrame) -> Dat
     """(chunk_id, origin, position): hits unique by id in first-hit order, then curated
     chunks that were not hit. Both sides are bounded: k x queries hits and a
     hand-written list, ordered by ``ord``."""
-    first = (hits.join(F.broadcast(queries.select("query_id", "query_ord")), "query_id")
+    first = (hits.join(queries.select("query_id", "query_ord"), "query_id")
              .groupBy("chunk_id").agg(F.min(F.struct("query_ord", "rank")).alias("at")))
     found = first.select("chunk_id", F.lit("hit").alias("origin"), F.col("at.query_ord").alias("a"),
                          F.col("at.rank").cast("long").alias("b"))

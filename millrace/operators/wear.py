@@ -164,7 +164,7 @@ def nonlinear_wear(rows: DataFrame, keys: list[str], order: str, tie: list[str],
     celled, sliced = with_cells(rows, keys, order, max_rows)
 
     def from_start(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _run_rules(pdf.sort_values([order, *tie]), {r.state: r.start for r in rules},
+        return _run_rules(pdf.sort_values([order, *tie], na_position="first"), {r.state: r.start for r in rules},
                           rules, maintenance)
 
     if not sliced:
@@ -174,7 +174,7 @@ def nonlinear_wear(rows: DataFrame, keys: list[str], order: str, tie: list[str],
         if not len(pdf):
             return pd.DataFrame(columns=schema.names)
         at = {r.state: float(levels[r.state].iloc[0]) if len(levels) else r.start for r in rules}
-        return _run_rules(pdf.sort_values([order, *tie]), at, rules, maintenance)
+        return _run_rules(pdf.sort_values([order, *tie], na_position="first"), at, rules, maintenance)
 
     names = [r.state for r in rules]
     cells = [r[0] for r in celled.select(CELL).distinct().orderBy(CELL).collect()]

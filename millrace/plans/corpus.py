@@ -230,7 +230,7 @@ SELECT topic, count(*) AS n_chunks, md5(string_agg('--- Chunk ' || i || ' | page
 def chunk_context(spark, folder):
     docs = table(spark, folder, "documents").select(
         F.col("doc_id").alias("chunk_id"), "text", F.col("n_chars").alias("page"))
-    placed = docs.join(F.broadcast(placed_chunks(spark, folder)), "chunk_id")
+    placed = docs.join(placed_chunks(spark, folder), "chunk_id")
     return retrieval.numbered_context(placed).select(
         "topic", "n_chunks", F.md5(F.col("context").cast("binary")).alias("digest"))
 
@@ -242,7 +242,7 @@ def topic_context(spark, folder):
     docs = table(spark, folder, "documents").select(
         F.col("doc_id").alias("chunk_id"), "text", F.col("doc_id").alias("start_page"),
         F.col("n_chars").alias("end_page"))
-    placed = docs.join(F.broadcast(placed_chunks(spark, folder)), "chunk_id")
+    placed = docs.join(placed_chunks(spark, folder), "chunk_id")
     return retrieval.topic_context(placed).select(
         "topic", F.md5(F.col("context").cast("binary")).alias("digest"))
 

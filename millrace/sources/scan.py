@@ -167,9 +167,9 @@ def query_catalogue(rows: DataFrame, required: list[tuple[str, str]]) -> DataFra
     ``required`` lists (phase, topic) pairs each machine must define; topic ``""`` asks
     for the phase alone. A machine that lacks one fails the job with its name.
     """
-    need = rows.sparkSession.createDataFrame(required, "phase string, topic string")
-    machines = rows.select("machine_id").distinct().withColumn("_k", F.lit(1))
-    wanted = machines.join(F.broadcast(need.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    need = F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(t).alias("topic"))
+                     for p, t in required])
+    wanted = rows.select("machine_id").distinct().select("machine_id", F.inline(need))
     have = rows.select("machine_id", "phase", F.explode(F.array(
         F.lit(""), F.coalesce("topic", F.lit("")))).alias("topic")).distinct()
     lacking = wanted.join(have, ["machine_id", "phase", "topic"], "left_anti").orderBy(

@@ -163,3 +163,17 @@ def test_maintenance_first_among_equal_times(spark):
     both = wear.merge_maintenance(events, log).orderBy("ts", "_kind").collect()
     assert [r.maintenance_type for r in both] == ["clean", None]
     assert both[0].value is None
+
+
+def test_rows_without_key_or_order_survive(spark):
+    data = [(None if i % 3 == 0 else 1, None if i % 5 == 0 else i % 17, i, float(i % 4)) for i in range(90)]
+    df = spark.createDataFrame(data, "unit int, ts int, event int, value double").withColumn(
+        "service", F.col("event") % 7 == 0)
+    runs = []
+    for max_rows in (10 ** 9, 10):
+        placed = ordered.row_index(df, ["unit"], "ts", ["event"], "t", max_rows=max_rows)
+        worn = wear.wear_index(placed, ["unit"], "ts", ["event"], 0.01, "value", "service", max_rows=max_rows)
+        folded = wear.fold_states(worn, ["unit"], "ts", ["event"], wear.accumulation_step(
+            F.col("value") - 1.5, 3.0), F.lit(1.0), max_rows=max_rows)
+        runs.append({r.event: (r.t, round(r.wear, 9), round(r.level, 9)) for r in folded.collect()})
+    assert len(runs[0]) == 90 and runs[0] == runs[1]
