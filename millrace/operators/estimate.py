@@ -13,15 +13,16 @@ from pyspark.sql import types as T
 from millrace.functions.numeric import coerce_number
 from millrace.operators.health import health_of
 from millrace.operators.ordered import MAX_ROWS, affine_fold, row_index
-from millrace.operators.wear import TRACKING_CAP
+from millrace.operators.wear import PER_1000H, TRACKING_CAP, step_rate
 from millrace.operators.wiring import output_map
 from millrace.operators.quality import column_catalog
-from millrace.session import reliable_checkpoint, spread_groups
+from millrace.session import collect_metadata, reliable_checkpoint, spread_groups
 
 # Fixed values of the estimation.
 MEMBERS, STRIDE, SEED, PROCESS_NOISE = 100, 50, 42, 1e-4
 SPREAD, LEAST_SPREAD = 0.01, 1e-3
 RUL_SAMPLES, HORIZON = 50, 10_000
+DEFAULT_RATE = 1e-4
 STEPS_PER_SLICE = 50_000
 
 
@@ -68,6 +69,40 @@ class StateSpec:
         return 1.0, 0.0, float("-inf"), float("inf")
 
 
+def state_rates(states: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Adds ``rate`` per step and ``drive`` to specified states.
+
+    An explicit ``<state>_rate`` parameter is per 1000 operating hours; else the rate is
+    one over the parameter named as timescale; else the default. The driver's parameter
+    default is the constant drive, 1.0 without one.
+    """
+    key = ["machine_id", "component"]
+    known = parameters.select(*key, F.col("name").alias("_name"), F.col("default").alias("_value"))
+
+    def parameter(name, alias):
+        found = known.select(*key, F.col("_name").alias("_wanted"), F.col("_value").alias(alias))
+        return lambda df: (df.withColumn("_wanted", name)
+                           .join(found, [*key, "_wanted"], "left").drop("_wanted"))
+
+    out = states
+    for step in (parameter(F.concat("name", F.lit("_rate")), "_rate"),
+                 parameter(F.col("degradation_timescale"), "_scale"),
+                 parameter(F.col("driver"), "_drive")):
+        out = step(out)
+    return out.withColumns({
+        "rate": F.when(F.col("_rate").isNotNull(), step_rate(F.col("_rate"), F.lit(PER_1000H)))
+        .when(F.col("_scale") > 0, 1.0 / F.col("_scale")).otherwise(F.lit(DEFAULT_RATE)),
+        "drive": F.coalesce("_drive", F.lit(1.0))}).drop("_rate", "_scale", "_drive")
+
+
+def component_states(rated: DataFrame) -> list[StateSpec]:
+    """The states of one component model, as used by ``propagate``."""
+    return [StateSpec(r["name"], r["state_type"], r["initial_value"] or 0.0, r["rate"], r["drive"],
+                      0.0 if r["min_value"] is None else r["min_value"],
+                      1.0 if r["max_value"] is None else r["max_value"])
+            for r in collect_metadata(rated.orderBy("pos"), "the component's state table")]
+
+
 # ------------------------------------------------------------------ deterministic normals
 
 def _uniform(digest: Column, at: int) -> Column:

@@ -26,6 +26,15 @@ MODEL_SCHEMA = (
     "`from`:string,`to`:string,signal_name:string,unit:string,typical_value:string>>>>")
 
 
+_PORT = "array<struct<name:string,unit:string,description:string>>"
+SPEC_SCHEMA = (
+    f"component_name string, inputs {_PORT}, outputs {_PORT}, "
+    "states array<struct<name:string,unit:string,state_type:string,initial_value:double,"
+    "min_value:double,max_value:double,degradation_timescale:string,driver:string>>, "
+    "events array<struct<name:string,event_severity:string,threshold_states:array<string>>>, "
+    "parameters array<struct<name:string,default:double,unit:string>>")
+
+
 def _files(spark: SparkSession, pattern: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -125,6 +134,25 @@ def read_physics(spark: SparkSession, path: str, machine_id=None) -> DataFrame:
         .drop("role")
 
 
+def read_specs(spark: SparkSession, path: str, machine_id=None) -> dict[str, DataFrame]:
+    """Component specification JSON files as long tables: states, events, parameters and
+    ports, each with (machine_id, component, pos)."""
+    raw = spark.read.schema(SPEC_SCHEMA).json(path, multiLine=True)
+    machine = machine_id if machine_id is not None else F.element_at(
+        F.split("_metadata.file_path", "/"), -3)
+    specs = raw.withColumn("machine_id", machine).withColumnRenamed("component_name", "component")
+    key = ["machine_id", "component"]
+
+    def long(column, **extra):
+        rows = specs.select(*key, F.posexplode(column).alias("pos", "_r")).select(
+            *key, "pos", "_r.*")
+        return rows.withColumns({n: F.lit(v) for n, v in extra.items()}) if extra else rows
+
+    return {"states": long("states"), "events": long("events"), "parameters": long("parameters"),
+            "ports": long("inputs", direction="input").unionByName(
+                long("outputs", direction="output"))}
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Page texts ``(doc, page_num, text)``."""
     return spark.read.parquet(path).select(

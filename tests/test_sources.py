@@ -53,6 +53,27 @@ def test_model_json(spark, tmp_path):
     assert [(r.ord, r.field_name, r.source_pages) for r in contract] == [(0, "t", [1, 2]), (1, "p", None)]
 
 
+def test_component_specs(spark, tmp_path):
+    from millrace.operators.estimate import component_states, state_rates
+    folder = tmp_path / "press" / "specs"
+    folder.mkdir(parents=True)
+    write(folder / "filter.json", json.dumps({
+        "component_name": "filter", "inputs": [{"name": "air"}], "outputs": [{"name": "flow", "unit": "l/s"}],
+        "states": [{"name": "condition", "state_type": "degradation", "initial_value": 1.0, "min_value": 0, "max_value": 1,
+                    "degradation_timescale": "life", "driver": "dust"},
+                   {"name": "seal", "state_type": "degradation", "initial_value": 1.0},
+                   {"name": "level", "state_type": "static", "initial_value": 0.5}],
+        "events": [{"name": "choked", "event_severity": "warning", "threshold_states": ["condition"]}],
+        "parameters": [{"name": "life", "default": 8000.0}, {"name": "dust", "default": 2.0}, {"name": "seal_rate", "default": 0.5}]}))
+    tables = scan.read_specs(spark, str(folder / "*.json"))
+    assert [(r.machine_id, r.component, r.name, r.threshold_states) for r in tables["events"].collect()] == [
+        ("press", "filter", "choked", ["condition"])]
+    assert sorted((r.direction, r.name) for r in tables["ports"].collect()) == [("input", "air"), ("output", "flow")]
+    specs = component_states(state_rates(tables["states"], tables["parameters"]))
+    assert [(s.name, s.rate, s.drive) for s in specs] == [
+        ("condition", 1 / 8000, 2.0), ("seal", 0.0005, 1.0), ("level", 1e-4, 1.0)]
+
+
 def test_manifest_falls_back_to_all_files(spark):
     available = spark.createDataFrame([("b.pdf",), ("a.pdf",)], "filename string")
     listed = spark.createDataFrame([(0, "x.pdf", None)], "ord int, filename string, source_type string")
