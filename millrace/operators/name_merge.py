@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.keywords import ANTONYMS, antonym_conflict, antonym_mask
-from millrace.session import reliable_checkpoint
+from millrace.session import reliable_checkpoint, spread_groups
 
 # Fixed values of the similarity rule.
 JACCARD_WEIGHT, RATIO_WEIGHT = 0.6, 0.4
@@ -46,17 +46,19 @@ def similar_names(names: DataFrame, least_score: float = CONFIRM,
     t = (floor - RATIO_WEIGHT) / JACCARD_WEIGHT
     single_limit = math.floor((1 + t) / t + 1e-9)  # largest size sum that may share one token
 
-    base = names.select(
+    # Distinct names only, read several times below: computed once.
+    base = reliable_checkpoint(names.select(
         "scope", "name", F.struct("first_run", "first_ord").alias("seen"),
-        F.array_distinct(F.split("name", "_")).alias("tokens"))
+        F.array_distinct(F.split("name", "_")).alias("tokens")))
     exploded = base.select("scope", "name", F.explode("tokens").alias("token"))
     frequency = exploded.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("n"))
     rare_first = (exploded.join(frequency, ["scope", "token"])
                   .groupBy("scope", "name")
                   .agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("_r"))
                   .select("scope", "name", F.col("_r.token").alias("rare")))
-    sized = (base.drop("tokens").join(rare_first, ["scope", "name"])
-             .withColumns({"size": F.size("rare"), "mask": antonym_mask(F.col("rare"))}))
+    sized = reliable_checkpoint(
+        base.drop("tokens").join(rare_first, ["scope", "name"])
+        .withColumns({"size": F.size("rare"), "mask": antonym_mask(F.col("rare"))}))
 
     single = F.when(F.col("size") + 1 <= single_limit,
                     F.transform("rare", lambda x: F.array(x))).otherwise(
@@ -100,7 +102,8 @@ def similar_names(names: DataFrame, least_score: float = CONFIRM,
     ).otherwise((n_shared >= 2) & (F.slice("shared", 1, 2) == F.col("key")))
     kept = pairs.filter(own_block & (
         JACCARD_WEIGHT * n_shared / n_either + F.col("best_ratio") >= floor - 1e-9))
-    scored = kept.select(
+    # Survivors are few bytes but cost a string comparison each.
+    scored = spread_groups(kept, ["scope", "name_a", "name_b"]).select(
         "scope", "name_a", "name_b",
         _score(F.col("name_a"), F.col("name_b"), n_shared, n_either).alias("s"))
     return (scored.select("scope", "name_a", "name_b", "s.score", "s.rounded",
@@ -117,10 +120,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     its result goes to the checkpoint folder, which bounds the plan and survives
     the loss of executors.
     """
-    both = edges.select("scope", F.col("name_a").alias("u"), F.col("name_b").alias("v"))
+    forward = F.struct(F.col("name_a").alias("u"), F.col("name_b").alias("v"))
+    backward = F.struct(F.col("name_b").alias("u"), F.col("name_a").alias("v"))
     links = reliable_checkpoint(
-        both.unionByName(both.select("scope", F.col("v").alias("u"), F.col("u").alias("v")))
-        .distinct())
+        edges.select("scope", F.inline(F.array(forward, backward))).distinct())
     labels = reliable_checkpoint(
         links.groupBy("scope", F.col("u").alias("name"))
         .agg(F.least(F.first("u"), F.min("v")).alias("label")))
