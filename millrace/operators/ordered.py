@@ -93,7 +93,8 @@ def row_index(df: DataFrame, keys: list[str], order: str, tie: list[str], name:
     df, sliced = with_cells(df, keys, order, max_rows)
     if not sliced:
         by_key = Window.partitionBy(*keys)
-        out = df.withColumn(name, F.row_number().over(by_key.orderBy(order, *tie)) - 1)
+        out = df.withColumn(
+            name, F.row_number().over(by_key.orderBy(order, *tie)).cast("long") - 1)
         return out.withColumn(total, F.count(F.lit(1)).over(by_key)) if total else out
     counts = df.groupBy(*keys, CELL).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
