@@ -36,7 +36,7 @@ def _read_json(text):
     for candidate in _candidates(text):
         try:
             return json.dumps(json.loads(candidate), ensure_ascii=False)
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
     return None
 

@@ -159,7 +159,7 @@ UNIT_SCHEMA = T.ArrayType(T.StructType([
 def _class_units(source: str):
     try:
         tree = ast.parse(source or "")
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError):
         return []
     lines = source.splitlines()
 
