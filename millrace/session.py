@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,21 +26,22 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the checkpoint folder of the session.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``. Only a single-process session without
+    that setting, as in tests, gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="millrace-checkpoint-")
+    return folder
 
-    A cluster names the shared folder in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` through the checkpoint folder of the session."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="millrace-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
 
 
