@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, mixing, pii, simhash, toxicity
+from millrace.llm import bpe, embedding_dedup, licenses, mixing, neighbours, perspectives, pii, simhash, toxicity
 from millrace.llm.common import load, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,16 +27,31 @@ def op1(spark, folder):
     return pii.report(load(spark, folder, "documents"))
 
 
+@query("op3_neighbours")
+def op3(spark, folder):
+    return neighbours.nearest(load(spark, folder, "embeddings"))
+
+
 @query("op4_simhash")
 def op4(spark, folder):
     return simhash.near_duplicates(load(spark, folder, "documents"))
 
 
+@query("op5_embedding_dedup")
+def op5(spark, folder):
+    return embedding_dedup.near_duplicates(load(spark, folder, "embeddings"))
+
+
 @query("op6_mixing")
 def op6(spark, folder):
     return mixing.taken_words(load(spark, folder, "documents")).drop("h")
 
 
+@query("op7_perspectives", perspectives.SQL)
+def op7(spark, folder):
+    return perspectives.dialogues(load(spark, folder, "conversations"))
+
+
 @query("op8_bpe")
 def op8(spark, folder):
     return bpe.round_trip(load(spark, folder, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
@@ -45,3 +60,8 @@ def op8(spark, folder):
 @query("op9_toxicity")
 def op9(spark, folder):
     return toxicity.flagged(load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
+@query("op10_licenses", licenses.SQL)
+def op10(spark, folder):
+    return licenses.scan(load(spark, folder, "documents"))
