@@ -31,13 +31,13 @@ GRAPH = "c long, near binary, sims binary"
 class Shape:
     """Sizes of the index and the search; every row is indexed whatever they are."""
 
-    degree: int = 24
+    degree: int = 32
     tables: int = 10
     block: int = 1024
     rounds: int = 3
     offered: int = 8
-    beam: int = 64
-    expanded: int = 24
+    beam: int = 160
+    expanded: int = 40
     steps: int = 5
 
 

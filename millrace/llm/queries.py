@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, embedding_dedup, licenses, mixing, neighbours, perspectives, pii, simhash, toxicity
+from millrace.llm import bpe, embedding_dedup, licenses, mixing, neighbours, perspectives, pii, simhash, token_files, toxicity
 from millrace.llm.common import load, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def op1(spark, folder):
     return pii.report(load(spark, folder, "documents"))
 
 
+@query("op2_token_files")
+def op2(spark, folder):
+    return token_files.written_report(load(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), 2)
+
+
 @query("op3_neighbours")
 def op3(spark, folder):
     return neighbours.nearest(load(spark, folder, "embeddings"))
