@@ -165,13 +165,15 @@ class Network:
 
 
 def train(texts: list[str], labels: list[int], sample: Sample = Sample()) -> Network | None:
-    """Fit on whole texts by the worst windows of each; None if a label is missing.
+    """Fit on whole texts, and an empty one as clean, by the worst windows of each; None if a
+    label is missing.
 
     The loss of a text goes to its windows by the softmax of their logits, and Adam moves all
     parameters, embeddings included. The order of texts and the seed fix the result.
     """
     if len(set(labels)) < 2:
         return None
+    texts, labels = [*texts, ""], [*labels, 0]
     net, rng, where = Network(sample.seed), np.random.default_rng(sample.seed), {"<>": 0}
     rows, owner = [], []
     for i, text in enumerate(texts):
