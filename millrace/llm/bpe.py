@@ -21,28 +21,43 @@ from pyspark.sql import functions as F
 from millrace.llm.common import text_or_empty, text_parts
 
 NONE = np.int32(2**31 - 1)
-CACHED = 200_000
+CACHED = 100_000
 LONG = 512
 #: Fixed value: the pattern that splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as file:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+
+
+@lru_cache(maxsize=2)
+def parts(path: str) -> list[bytes]:
+    """The bytes of every id."""
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for part, rank in ranks.items():
+        out[rank] = part
+    return out
+
+
 class Merger:
     """Merges pre-tokens by the ranks of a file of ``base64 rank`` lines; ids are ranks."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as file:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.parts = [b""] * (max(self.ranks.values()) + 1)
-        for part, rank in self.ranks.items():
-            self.parts[rank] = part
-        self.pairs = {(self.ranks[p[:i]], self.ranks[p[i:]]): rank for p, rank in self.ranks.items()
-                      for i in range(1, len(p)) if p[:i] in self.ranks and p[i:] in self.ranks}
-        keys = np.array([a << 32 | b for a, b in self.pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.array(list(self.pairs.values()), np.int32)[order]
+        self.ranks = read_ranks(path)
+        ranks = self.ranks
+        found = np.fromiter((v for p, rank in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks
+                             for v in (ranks[p[:i]] << 32 | ranks[p[i:]], rank)), np.int64).reshape(-1, 2)
+        found = found[np.argsort(found[:, 0])]
+        self.keys, self.values = found[:, 0].copy(), found[:, 1].astype(np.int32)
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
 
+    @lru_cache(maxsize=1)  # noqa: B019 - long pre-tokens are rare; short ones search the arrays
+    def pairs(self) -> dict[tuple[int, int], int]:
+        return {(k >> 32, k & 0xFFFFFFFF): v for k, v in zip(self.keys.tolist(), self.values.tolist())}
+
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         wanted = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
@@ -105,7 +120,7 @@ class Merger:
         """The same for one long pre-token."""
         n = len(word)
         width = 1 << (n - 1).bit_length()
-        ids, none, pairs = [self.ranks[bytes([b])] for b in word], int(NONE), self.pairs
+        ids, none, pairs = [self.ranks[bytes([b])] for b in word], int(NONE), self.pairs()
         tree = [none] * (2 * width)
         tree[width:width + n - 1] = [pairs.get(p, none) for p in zip(ids, ids[1:])]
         for i in range(width - 1, 0, -1):
@@ -225,7 +240,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``tokens`` with the bytes that the ids stand for (binary); null ids give empty bytes."""
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        part = merger(path).parts.__getitem__
+        part = parts(path).__getitem__
         for rows in batches:
             yield pd.Series([b"".join(map(part, np.frombuffer(r, "<u4").tolist())) for r in rows], dtype=object)
 
