@@ -112,7 +112,7 @@ def similar_names(names: DataFrame, least_score: float = CONFIRM,
             .filter(F.col("label").isNotNull() & (F.col("rounded") >= least_score)))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(scope, name, label): the smallest name of each component, for names with an edge.
 
     Minimum labels spread along edges and through labels (pointer jumping), so a
@@ -127,7 +127,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     labels = reliable_checkpoint(
         links.groupBy("scope", F.col("u").alias("name"))
         .agg(F.least(F.first("u"), F.min("v")).alias("label")))
-    for _ in range(max_rounds):
+    while True:
         around = (links.join(labels.select("scope", F.col("name").alias("v"), "label"),
                              ["scope", "v"])
                   .groupBy("scope", F.col("u").alias("name"))
@@ -143,7 +143,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = moved.drop("old")
         if moved.filter("label <> old").isEmpty():
             return labels
-    raise RuntimeError("component labels did not settle")
 
 
 def merge_names(counts: DataFrame, edges: DataFrame) -> DataFrame:

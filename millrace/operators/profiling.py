@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from millrace.functions import keywords
 
 CATEGORY_CAP = 20
-MEDIAN_ROWS, MEDIAN_BINS = 5_000_000, 4096
+MEDIAN_BINS = 4096
 _TEXT = (T.StringType,)
 
 
@@ -47,15 +47,24 @@ def exact_medians(df: DataFrame, values: dict[str, Column],
     bins x columns counts.
     """
     names = list(values)
+    infinity = F.lit(float("inf"))
+    finite = {n: F.when(F.abs(values[n]) < infinity, values[n]) for n in names}
     stats = df.agg(*[m for i, n in enumerate(names) for m in (
-        F.count(values[n]).alias(f"n{i}"), F.min(values[n]).alias(f"l{i}"),
-        F.max(values[n]).alias(f"h{i}"))]).first()
+        F.count(values[n]).alias(f"n{i}"), F.count(finite[n]).alias(f"f{i}"),
+        F.count(F.when(values[n] == -infinity, 1)).alias(f"m{i}"),
+        F.min(finite[n]).alias(f"l{i}"), F.max(finite[n]).alias(f"h{i}"))]).first() if names else {}
+    values = finite  # infinite values are ranks before and after the bracket
     # Per column: bracket ends and the one or two middle ranks inside it.
     open_, done = {}, dict.fromkeys(names)
     for i, n in enumerate(names):
-        count, low, high = stats[f"n{i}"], stats[f"l{i}"], stats[f"h{i}"]
-        if count:
-            open_[n] = (low, high, (count - 1) // 2, count // 2)
+        count, inside, below = stats[f"n{i}"], stats[f"f{i}"], stats[f"m{i}"]
+        first, second = (count - 1) // 2 - below, count // 2 - below
+        if count and first < 0:
+            done[n] = float("nan") if second >= inside and second >= 0 else float("-inf")
+        elif count and second >= inside:
+            done[n] = float("inf")
+        elif count:
+            open_[n] = (stats[f"l{i}"], stats[f"h{i}"], first, second)
     while True:
         for n, (low, high, _, _) in list(open_.items()):
             if low == high:
@@ -88,13 +97,11 @@ def exact_medians(df: DataFrame, values: dict[str, Column],
                 before += row["n"]
 
 
-def numeric_profile(df: DataFrame, columns: list[str] | None = None,
-                    median_rows: int = MEDIAN_ROWS) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per numeric column: missing share, min, max, mean, std, median, unit.
 
-    All columns share one aggregation. The built-in exact median holds every distinct
-    value of a column in one task, so tables above ``median_rows`` rows get the
-    histogram search, which is exact as well.
+    All columns share one aggregation. Medians come from the histogram search at every
+    size, as the built-in one holds every distinct value of a column in one task.
     """
     columns = signal_columns(df) if columns is None else columns
     fields = [f for f in df.schema.fields if f.name in columns
@@ -106,14 +113,11 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None,
         return (value.cast("int") if isinstance(field.dataType, T.BooleanType)
                 else value).cast("double")
 
-    medians = None
-    if fields and df.count() > median_rows:
-        medians = exact_medians(df, {f.name: number(f) for f in fields})
+    medians = exact_medians(df, {f.name: number(f) for f in fields})
     measures = []
     for i, field in enumerate(fields):
         value = number(field)
-        median = (F.median(value) if medians is None
-                  else F.lit(medians[field.name]).cast("double"))
+        median = F.lit(medians[field.name]).cast("double")
         measures.append(F.struct(
             F.lit(field.name).alias("field"),
             F.lit(field.dataType.simpleString()).alias("dtype"),

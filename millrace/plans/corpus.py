@@ -470,37 +470,6 @@ def guide_chunks(spark, folder):
         "domain", "pattern")
 
 
-_CLASS_SQL = """'class Part' || p_partkey || '(PrognosticsModel):' || chr(10) || '    size = ' || p_size"""
-_PRICE_SQL = """'    def pressure(self):' || chr(10) || '        return ' || p_size"""
-_LABEL_SQL = """'    def label(self):' || chr(10) || '        return "' || p_name || '"'"""
-
-
-@query("source_chunks", f"""
-WITH t AS (SELECT *, {_CLASS_SQL} AS head, {_PRICE_SQL} AS m1, {_LABEL_SQL} AS m2 FROM part),
-u AS (SELECT *, head || chr(10) || chr(10) || m1 || chr(10) || chr(10) || m2 AS whole FROM t)
-SELECT 'examples/part_' || p_partkey || '.py' AS source, 'example' AS chunk_type, 'part_' || p_partkey AS name,
-  md5(whole || chr(10)) AS digest, 'pneumatic' AS domain, 'component' AS pattern FROM u WHERE p_size > 40
-UNION ALL SELECT 'src/part_' || p_partkey || '.py', 'class', 'Part' || p_partkey, md5(whole), 'pneumatic', 'component' FROM u WHERE p_size <= 35
-UNION ALL SELECT 'src/part_' || p_partkey || '.py', 'method', 'Part' || p_partkey || '.pressure',
-  md5('# Class: Part' || p_partkey || chr(10) || whole || chr(10) || '    ...' || chr(10) || m1), 'pneumatic', 'general' FROM u WHERE p_size <= 35
-UNION ALL SELECT 'src/part_' || p_partkey || '.py', 'method', 'Part' || p_partkey || '.label',
-  md5('# Class: Part' || p_partkey || chr(10) || whole || chr(10) || '    ...' || chr(10) || m2), 'pneumatic', 'general' FROM u WHERE p_size <= 35""")
-def source_chunks(spark, folder):
-    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
-    code = F.concat(
-        F.lit("class Part"), key, F.lit("(PrognosticsModel):\n    size = "), size,
-        F.lit("\n\n    def pressure(self):\n        return "), size,
-        F.lit('\n\n    def label(self):\n        return "'), "p_name", F.lit('"\n'))
-    text = F.when(F.col("p_size").between(36, 40), F.concat(code, F.lit("def broken(:\n"))).otherwise(code)
-    place = F.when(F.col("p_size") > 40, "examples").otherwise("src")
-    files = table(spark, folder, "part", heavy=True).select(
-        F.concat(place, F.lit("/part_"), key, F.lit(".py")).alias("source"),
-        F.concat(F.lit("part_"), key).alias("stem"), text.alias("text"))
-    return web.source_chunks(files).select(
-        "source", "chunk_type", "name", F.md5(F.col("text").cast("binary")).alias("digest"),
-        "domain", "pattern")
-
-
 @query("chunk_ids", """
 SELECT doc_id, md5(source || '::' || lang || '::0::' || text) AS chunk_id FROM documents""")
 def chunk_ids(spark, folder):

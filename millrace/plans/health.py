@@ -58,9 +58,9 @@ WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER
 p AS (SELECT *, floor(n * 0.2::DOUBLE) AS part FROM r)
 SELECT user_id, 'value' AS metric, n, round(avg(value) FILTER (rn <= part), 6) AS early_mean, round(avg(value) FILTER (rn > n - part), 6) AS late_mean,
   round(stddev_samp(value) FILTER (rn <= part), 6) AS early_std, round(stddev_samp(value) FILTER (rn > n - part), 6) AS late_std
-FROM p WHERE n > 50 AND (rn <= part OR rn > n - part) GROUP BY user_id, n""")
+FROM p WHERE rn <= part OR rn > n - part GROUP BY user_id, n""")
 def drift_early_late(spark, folder):
-    drift = health.drift_early_late(events(spark, folder), UNIT, ORDER, TIE, ["value"], 50)
+    drift = health.drift_early_late(events(spark, folder), UNIT, ORDER, TIE, ["value"])
     return drift.select("user_id", "metric", "n", *[F.round(c, 6).alias(c) for c in (
         "early_mean", "late_mean", "early_std", "late_std")])
 
@@ -223,29 +223,6 @@ def accumulation_fold(spark, folder):
     return out.select("event_id", F.round("level", 6).alias("level"))
 
 
-WEAR_RULES = [
-    wear.WearRule("grinder", 0.0004, "value", "power", k=2.0, p=2.0, restore={"signup": ("scale", 0.9)}),
-    wear.WearRule("scale_", 0.0006, "value", "saturating", p=1.2, restore={"signup": ("scale", 0.5)}),
-    wear.WearRule("efficiency", 0.0003, "value", "decay", p=0.8, start=1.0, lo=0.3, restore={"signup": ("add", 0.2)}),
-    wear.WearRule("dirt", 0.0002, "value", "coupled", k=3.0, other="grinder", restore={"signup": ("reset", 0.0)}),
-]
-_GRINDER = ("CASE WHEN s.event_type = 'signup' THEN {p.grinder} * (1 - 0.9::DOUBLE) ELSE least(1.0::DOUBLE, "
-            "{p.grinder} + 0.0004::DOUBLE * s.value * (1 + 2.0::DOUBLE * pow({p.grinder}, 2))) END")
-
-
-@query("nonlinear_wear", _fold_sql(
-    {"grinder": 0.0, "scale_": 0.0, "efficiency": 1.0, "dirt": 0.0},
-    {"grinder": _GRINDER,
-     "scale_": "CASE WHEN s.event_type = 'signup' THEN {p.scale_} * 0.5::DOUBLE ELSE least(1.0::DOUBLE, {p.scale_} + 0.0006::DOUBLE * s.value * pow(1 - {p.scale_}, 1.2)) END",
-     "efficiency": "CASE WHEN s.event_type = 'signup' THEN least(1.0::DOUBLE, {p.efficiency} + 0.2::DOUBLE) ELSE greatest(0.3::DOUBLE, {p.efficiency} - 0.0003::DOUBLE * s.value * pow({p.efficiency}, 0.8)) END",
-     "dirt": f"CASE WHEN s.event_type = 'signup' THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, {{p.dirt}} + 0.0002::DOUBLE * s.value * (1 + 3.0::DOUBLE * ({_GRINDER}))) END"}))
-def nonlinear_wear(spark, folder):
-    rows = events(spark, folder).withColumn(
-        "maintenance_type", F.when(F.col("service"), F.col("event_type")))
-    out = wear.nonlinear_wear(rows, UNIT, ORDER, TIE, WEAR_RULES)
-    return out.select("event_id", *[F.round(r.state, 6).alias(r.state) for r in WEAR_RULES])
-
-
 # ------------------------------------------------------------------ audits
 
 _HISTORY = """WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t,
@@ -317,18 +294,6 @@ def observations(spark, folder):
         .withColumn("t", F.col("t").cast("long"))
 
 
-@query("output_map", """SELECT * FROM (VALUES ('value', 'grinder.value'), ('event_type', 'pump.event_type'), ('user_id', 'pump.user_id')) v(field, port)
-CROSS JOIN (SELECT count(*) AS n_rows FROM events)""")
-def output_map(spark, folder):
-    from millrace.operators.quality import column_catalog
-    from millrace.operators.wiring import output_map as columns_to_ports
-    rows = table(spark, folder, "events")
-    ports = spark.createDataFrame(PORTS, "ord int, port string")
-    size = rows.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("_one", F.lit(1))
-    return (columns_to_ports(column_catalog(rows), ports).withColumn("_one", F.lit(1))
-            .join(F.broadcast(size), "_one").drop("_one"))
-
-
 # ------------------------------------------------------------------ ensembles and RUL
 
 STATES = [
@@ -338,18 +303,6 @@ STATES = [
     estimate.StateSpec("frame", "static", 0.5),
 ]
 NAMES = [s.name for s in STATES]
-RUL_EVENTS = [
-    {"event": "seal_worn", "states": [{"state": "seal", "form": "wearout", "threshold": 0.3}]},
-    {"event": "drawer_full", "states": [{"state": "drawer", "form": "limit", "threshold": 0.95}]},
-    {"event": "too_hot", "states": [{"state": "heat", "form": "limit", "threshold": 0.8}]},
-    {"event": "never_hot", "states": [{"state": "heat", "form": "limit", "threshold": 0.95}]},
-    {"event": "frame_bent", "states": [{"state": "frame", "form": "limit", "threshold": 0.4}]},
-    {"event": "any_cause", "states": [{"state": "seal", "form": "wearout", "threshold": 0.3},
-                                      {"state": "drawer", "form": "limit", "threshold": 0.9}]},
-    {"event": "both_causes", "combine": "all", "states": [
-        {"state": "seal", "form": "wearout", "threshold": 0.3},
-        {"state": "drawer", "form": "limit", "threshold": 0.9}]},
-]
 
 
 def members(spark, folder):
@@ -378,87 +331,8 @@ def initial_members(spark, folder):
     return members(spark, folder).select("user_id", "member", *[F.round(n, 6).alias(n) for n in NAMES])
 
 
-def samples(spark, folder, noise=estimate.PROCESS_NOISE):
-    return estimate.propagate(members(spark, folder), STATES, UNIT, noise=noise)
-
-
-@query("ensemble_summary")
-def ensemble_summary(spark, folder):
-    return estimate.ensemble_summary(samples(spark, folder), UNIT, NAMES)
-
-
-@query("ensemble_health")
-def ensemble_health(spark, folder):
-    return estimate.ensemble_health(samples(spark, folder), UNIT, RUL_EVENTS)
-
-
 # Without process noise the states have closed forms, also where they are clamped: the
 # first step clamps the start, and then each state moves one way.
-_CALM = _MEMBERS + """, g AS (SELECT *, unnest(list_distinct(list_append(generate_series(1, n_steps - 1, 50), n_steps - 1))) AS t FROM mem WHERE n_steps > 1),
-p AS (SELECT user_id, member, t, least(1.0::DOUBLE, greatest(0.0::DOUBLE, least(1.0::DOUBLE, seal - 0.0008::DOUBLE) - 0.0008::DOUBLE * (t - 1))) AS seal,
-   least(1.0::DOUBLE, drawer + 0.004::DOUBLE * t) AS drawer,
-   greatest(0.0::DOUBLE, 0.9::DOUBLE + (heat - 0.9::DOUBLE) * pow(0.98::DOUBLE, t)) AS heat, frame FROM g)"""
-
-
-@query("calm_ensemble", _CALM + " " + " UNION ALL ".join(
-    f"SELECT user_id, t, '{n}' AS state, round(avg({n}), 6) AS mean, round(stddev_pop({n}), 6) AS std FROM p GROUP BY user_id, t" for n in NAMES))
-def calm_ensemble(spark, folder):
-    out = estimate.ensemble_summary(samples(spark, folder, noise=0.0), UNIT, NAMES)
-    return out.select("user_id", "t", "state", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
-
-
-@query("rul_forecast")
-def rul_forecast(spark, folder):
-    """From the noisy last ensemble to remaining life."""
-    last = samples(spark, folder).filter("is_last")
-    return estimate.rul_summary(last, UNIT, STATES, RUL_EVENTS)
-
-
-def _time_sql(event):
-    parts = []
-    for s in event["states"]:
-        n, thr = s["state"], f"{s['threshold']}::DOUBLE"
-        if n == "seal":
-            parts.append(f"CASE WHEN seal <= {thr} THEN 0.0::DOUBLE ELSE ceil(({thr} - seal) / (-0.0008::DOUBLE)) END")
-        elif n == "drawer":
-            parts.append(f"CASE WHEN drawer >= {thr} THEN 0.0::DOUBLE ELSE ceil(({thr} - drawer) / 0.004::DOUBLE) END")
-        elif n == "heat":
-            parts.append(f"CASE WHEN heat >= {thr} THEN 0.0::DOUBLE WHEN ({thr} - 0.9::DOUBLE) / (heat - 0.9::DOUBLE) > 0 AND "
-                         f"({thr} - 0.9::DOUBLE) / (heat - 0.9::DOUBLE) < 1 THEN ceil(ln(({thr} - 0.9::DOUBLE) / (heat - 0.9::DOUBLE)) / ln(0.98::DOUBLE)) END")
-        else:
-            parts.append(f"CASE WHEN {n} >= {thr} THEN 0.0::DOUBLE END")
-    parts = [f"coalesce({p}, CAST('inf' AS DOUBLE))" for p in parts]
-    first = parts[0] if len(parts) == 1 else (
-        f"{'least' if event.get('combine', 'any') == 'any' else 'greatest'}({', '.join(parts)})")
-    return f"CASE WHEN ({first}) <= 10000 THEN ({first}) END"
-
-
-def _health_sql(event):
-    parts = []
-    for s in event["states"]:
-        thr = f"{s['threshold']}::DOUBLE"
-        raw = (f"({thr} - avg({s['state']})) / {thr}" if s["form"] == "limit"
-               else f"(avg({s['state']}) - {thr}) / (1.0::DOUBLE - {thr})")
-        parts.append(f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {raw}))")
-    if len(parts) == 1:
-        return parts[0]
-    return f"{'least' if event.get('combine', 'any') == 'any' else 'greatest'}({', '.join(parts)})"
-
-
-_RUL = _MEMBERS + ", r AS (" + " UNION ALL ".join(
-    f"""SELECT user_id, '{e['event']}' AS event, {_health_sql(e)} <= 0 AS already_triggered,
-  avg({_time_sql(e)}) FILTER (member < 50) AS m, stddev_pop({_time_sql(e)}) FILTER (member < 50) AS d,
-  min({_time_sql(e)}) FILTER (member < 50) AS l, max({_time_sql(e)}) FILTER (member < 50) AS h FROM mem GROUP BY user_id"""
-    for e in RUL_EVENTS) + """)
-SELECT user_id, event, already_triggered, round(CASE WHEN already_triggered THEN 0.0::DOUBLE ELSE m END, 6) AS rul_mean,
-  round(CASE WHEN already_triggered THEN 0.0::DOUBLE ELSE d END, 6) AS rul_std, CASE WHEN NOT already_triggered THEN l END AS rul_min,
-  CASE WHEN NOT already_triggered THEN h END AS rul_max, NOT already_triggered AND m IS NULL AS beyond_horizon FROM r"""
-
-
-@query("rul_summary", _RUL)
-def rul_summary(spark, folder):
-    out = estimate.rul_summary(members(spark, folder), UNIT, STATES, RUL_EVENTS)
-    return out.withColumns({"rul_mean": F.round("rul_mean", 6), "rul_std": F.round("rul_std", 6)})
 
 
 @query("event_times", """

@@ -11,7 +11,7 @@ from check_sql import TABLES, rows_of
 
 FOLDER = "/root/testdata/sf0.001"
 SOME = ("range_audit null_fraction categorical_profile wear_signals chunk_dedup chunk_pack vector_topk "
-        "section_ranges model_audit external_inputs maintenance_due wear_fold rul_summary").split()
+        "section_ranges model_audit external_inputs maintenance_due wear_fold ").split()
 
 
 def test_every_sql_has_a_query():
