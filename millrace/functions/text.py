@@ -11,6 +11,7 @@ BLANK = r"[\s\x1c-\x1f]"
 BLANK_CHARACTERS = "".join(map(chr, (
     *range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b),
     0x2028, 0x2029, 0x202f, 0x205f, 0x3000)))
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
 
 
@@ -19,6 +20,11 @@ def strip_blank(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANK_CHARACTERS))
 
 
+def text_lines(text: Column) -> Column:
+    """The lines of a text, empty ones too, at every kind of line end."""
+    return F.split(text, LINE_END, -1)
+
+
 def normalize_name(text: Column) -> Column:
     """Field-name form: lower case words joined by single underscores."""
     joined = F.regexp_replace(strip_blank(F.lower(text)), rf"(?U)({BLANK}|-)+", "_")
@@ -90,8 +96,7 @@ def valid_section(token: Column) -> Column:
 
 def is_toc_page(text: Column) -> Column:
     """A contents page: at least 3 lines with leaders and a page number, and over 30 %."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"),
-                                 strip_blank), lambda line: line != "")
+    lines = F.filter(F.transform(text_lines(text), strip_blank), lambda line: line != "")
     entries = F.filter(
         lines,
         lambda line: line.rlike(r"\.{3,}|\. \. \.") & line.rlike(rf"(?U){BLANK}\d{{1,3}}$"),

@@ -1,17 +1,16 @@
-"""Raw chunks from HTML pages, RST guides and Python sources."""
+"""Raw chunks from HTML pages and RST guides."""
 
 from __future__ import annotations
 
-import ast
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import keywords
-from millrace.functions.text import strip_blank
+from millrace.functions.text import LINE_END, strip_blank
 
 # Where a page keeps its main text (first match wins), what is noise
 # otherwise, and the size limits of sections.
@@ -22,7 +21,6 @@ HIDDEN_TAGS = frozenset(("script", "style", "template"))
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SECTION_MIN_CHARS, HEADER_MAX_CHARS = 100, 80
 RST_MIN_CHARS = 50
-CLASS_HEADER_LINES = 15
 
 
 class _PageText(HTMLParser):
@@ -97,29 +95,16 @@ def main_content(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.mapInPandas(parse, schema)
 
 
-def _sections(text: str) -> list[str]:
-    sections, current = [], []
+# A line that opens a section: short, not all in capitals, no opening bracket first.
+_OPENING = (rf"(?U)(?=[^\S\n]*[^\s\x1c-\x1f(](?:[^\n]{{0,{HEADER_MAX_CHARS - 3}}}[^\s\x1c-\x1f])?[^\S\n]*(?:\n|\z))"
+            r"(?:(?=[^\n]*[\p{IsLowercase}\p{Lt}])|(?![^\n]*\p{IsUppercase}))")
 
-    def close():
-        section = "\n".join(current).strip()
-        if len(section) > SECTION_MIN_CHARS:
-            sections.append(section)
 
-    for line in (text or "").splitlines():
-        bare = line.strip()
-        if 0 < len(bare) < HEADER_MAX_CHARS and not bare.isupper() and bare[0] != "(":
-            close()
-            current = [line]
-        else:
-            current.append(line)
-    close()
-    return sections
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def guide_sections(texts: pd.Series) -> pd.Series:
+def guide_sections(text: Column) -> Column:
     """Sections that open at header-like lines; runs of 100 characters or less are lost."""
-    return texts.map(_sections)
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), LINE_END, "\n")
+    runs = F.transform(F.split(plain, rf"\n(?={_OPENING})", -1), strip_blank)
+    return F.filter(runs, lambda run: F.length(run) > SECTION_MIN_CHARS)
 
 
 def page_chunks(content: DataFrame) -> DataFrame:
@@ -147,64 +132,3 @@ def rst_chunks(files: DataFrame) -> DataFrame:
                     F.concat("stem", F.lit("_section_"), F.col("section").cast("string")).alias("name"),
                     "text", keywords.domain_tag(F.col("piece")).alias("domain"),
                     keywords.pattern_tag(F.col("piece"), F.col("stem")).alias("pattern")))
-
-
-UNIT_SCHEMA = T.ArrayType(T.StructType([
-    T.StructField("name", T.StringType()), T.StructField("text", T.StringType()),
-    T.StructField("methods", T.ArrayType(T.StructType([
-        T.StructField("name", T.StringType()), T.StructField("own", T.StringType()),
-        T.StructField("text", T.StringType())])))]))
-
-
-def _class_units(source: str):
-    try:
-        tree = ast.parse(source or "")
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    lines = source.splitlines()
-
-    def text_of(node, most=None):
-        last = node.end_lineno if most is None else min(node.end_lineno, node.lineno - 1 + most)
-        return "\n".join(lines[node.lineno - 1:last])
-
-    units = []
-    for node in ast.walk(tree):
-        if not isinstance(node, ast.ClassDef):
-            continue
-        header = text_of(node, CLASS_HEADER_LINES)
-        methods = [{"name": f"{node.name}.{m.name}", "own": text_of(m),
-                    "text": f"# Class: {node.name}\n{header}\n    ...\n{text_of(m)}"}
-                   for m in node.body if isinstance(m, ast.FunctionDef)]
-        units.append({"name": node.name, "text": text_of(node), "methods": methods})
-    return units
-
-
-@F.pandas_udf(UNIT_SCHEMA)
-def class_units(sources: pd.Series) -> pd.Series:
-    """Classes of a Python source with their methods; none if it does not parse."""
-    return sources.map(_class_units)
-
-
-def source_chunks(files: DataFrame) -> DataFrame:
-    """Raw chunks of ``files(source, stem, text)`` holding Python code: a class and each
-    of its methods, or the whole file when it is an example or a test."""
-    whole = F.col("source").rlike(r"(^|[/:])(examples|tests)/")
-    examples = files.filter(whole).select(
-        "source", F.lit("example").alias("chunk_type"), F.col("stem").alias("name"), "text",
-        keywords.domain_tag(F.col("text")).alias("domain"),
-        keywords.pattern_tag(F.col("text"), F.col("stem")).alias("pattern"))
-    units = files.filter(~whole).select("source", F.explode(class_units("text")).alias("u"))
-    tagged = units.select(
-        "source", keywords.domain_tag(F.col("u.text")).alias("domain"),
-        F.concat(
-            F.array(F.struct(F.lit("class").alias("chunk_type"), F.col("u.name").alias("name"),
-                             F.col("u.text").alias("own"), F.col("u.text").alias("text"),
-                             F.col("u.name").alias("tag_name"))),
-            F.transform("u.methods", lambda m: F.struct(
-                F.lit("method").alias("chunk_type"), m["name"].alias("name"),
-                m["own"].alias("own"), m["text"].alias("text"),
-                F.substring_index(m["name"], ".", -1).alias("tag_name")))).alias("items"))
-    flat = tagged.select("source", "domain", F.inline("items"))
-    classes = flat.select("source", "chunk_type", "name", "text", "domain",
-                          keywords.pattern_tag(F.col("own"), F.col("tag_name")).alias("pattern"))
-    return examples.unionByName(classes)

@@ -110,24 +110,41 @@ def test_top_k_equals_brute_force(spark, metric, monkeypatch):
         assert {(r.query_id, r.chunk_id, r["rank"]) for r in out} == want
 
 
-def test_contents_formats():
+def scanned(spark, page, kind):
+    found = sections.scan_pages(spark.createDataFrame([("d", 1, page)], "doc string, page_num long, text string"))
+    return [(r.heading, r.target) for r in found.filter(found.kind == kind).orderBy("idx").collect()]
+
+
+def heading(spark, page):
+    return next((h for h, _ in scanned(spark, page, "scan")), None)
+
+
+def test_contents_formats(spark):
     page = ("Contents\n1.1 General description . . . . 3\n1.2 PHYSICS   10\n2.1 Diffusion\t\n\n 12\n"
             "2.2 Wrapped title\nwith rest ..... 14\n0.16 Density   9\n3.1 Lost\nno page here\n21.1 Far   3")
-    assert sections.toc_entries(page) == [
+    assert scanned(spark, page, "toc") == [
         ("1.1 General description", 3), ("1.2 PHYSICS", 10), ("2.1 Diffusion", 12),
         ("2.2 Wrapped title with rest", 14)]
 
 
-def test_page_headings():
-    assert sections.page_heading("intro\n2.1 Diffusion system\ntext") == "2.1 Diffusion system"
-    assert sections.page_heading("1.06 Density table\n0.16 Value here\nno") is None
-    assert sections.page_heading("2.1 Diffusion 14") is None  # short line with a page number
-    assert sections.page_heading("1.1 A ..... 3\n1.2 B ..... 4\n1.3 C ..... 5") is None
+def test_page_headings(spark):
+    assert heading(spark, "intro\n2.1 Diffusion system\ntext") == "2.1 Diffusion system"
+    assert heading(spark, "1.06 Density table\n0.16 Value here\nno") is None
+    assert heading(spark, "2.1 Diffusion 14") is None  # short line with a page number
+    assert heading(spark, "1.1 A ..... 3\n1.2 B ..... 4\n1.3 C ..... 5") is None
     left = ["Some long left column text here ", "3.2 Pump unit assembly overview", "more words on the left side now"]
     right = ["right column words follow here", "and again more right words", "4.4 Another heading right"]
     page = "\n".join(f"{a:<36}    {b}" for a, b in zip(left, right))
-    assert sections.split_columns(page.splitlines()) is not None
-    assert sections.page_heading(page) == "3.2 Pump unit assembly overview"
+    split = spark.createDataFrame([(page,)], "text string").select(sections.split_columns(F.col("text")).alias("parts"))
+    assert len(split.first().parts) == 2
+    assert heading(spark, None) is None and heading(spark, "") is None
+    assert heading(spark, page) == "3.2 Pump unit assembly overview"
+
+
+def test_widest_gap(spark):
+    lines = ["a   b   c", "aa   bb     cc", "no gap", "x     y   zz      w", "", "tab   \tx"]
+    found = spark.createDataFrame([(s,) for s in lines], "s string").select(sections.widest_gap(F.col("s")).alias("at"))
+    assert [r.at for r in found.collect()] == [1, 7, None, 12, None, None]
 
 
 def test_section_ranges(spark):
@@ -156,22 +173,8 @@ def test_main_content():
     assert html_text("<div id='main-content'>i</div>") == "i"
 
 
-def test_guide_sections():
+def test_guide_sections(spark):
     long = "x" * 120
-    assert web._sections(f"Title\n{long}\n(note)\nSecond\nshort\nTHIRD LINE\n{long}") == [
+    text = spark.createDataFrame([(f"Title\n{long}\n(note)\nSecond\nshort\nTHIRD LINE\n{long}",)], "text string")
+    assert text.select(web.guide_sections(F.col("text")).alias("s")).first().s == [
         f"Title\n{long}\n(note)", f"short\nTHIRD LINE\n{long}"]
-
-
-def test_class_units(spark):
-    code = ("import os\nclass A:\n    x = 1\n    def f(self):\n        return 1\n\nclass B:\n    class C:\n"
-            "        def g(self):\n            pass\n    async def h(self):\n        pass\n")
-    units = web._class_units(code)
-    assert [(u["name"], [m["name"] for m in u["methods"]]) for u in units] == [
-        ("A", ["A.f"]), ("B", []), ("C", ["C.g"])]
-    assert units[0]["methods"][0]["text"].startswith("# Class: A\nclass A:\n    x = 1")
-    assert web._class_units("def (") == []
-    files = spark.createDataFrame([("pkg/a.py", "a", code), ("examples/b.py", "b", "x = battery"),
-                                   ("pkg/c.py", "c", "def (")], "source string, stem string, text string")
-    out = {(r.source, r.chunk_type, r.name) for r in web.source_chunks(files).collect()}
-    assert out == {("pkg/a.py", "class", "A"), ("pkg/a.py", "method", "A.f"), ("pkg/a.py", "class", "B"),
-                   ("pkg/a.py", "class", "C"), ("pkg/a.py", "method", "C.g"), ("examples/b.py", "example", "b")}
