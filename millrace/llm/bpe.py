@@ -9,11 +9,13 @@ time. Short pre-tokens run together, one tree per lane of an array.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from millrace.llm.common import text_or_empty, text_parts
 NONE = np.int32(2**31 - 1)
 CACHED = 100_000
 LONG = 512
+PASS_CHARS = 500_000
 #: Fixed value: the pattern that splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -248,7 +251,24 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 per row of ``docs`` (doc_id, text)."""
-    return decode(encode(docs.select("doc_id", "text"), path), path).select(
-        "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 per row of ``docs`` (doc_id, text).
+
+    One Python pass encodes, decodes the ids and digests both, so ids and decoded texts
+    never travel; a null text counts as an empty one, repeated rows stay.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, part = Encoder(path), parts(path).__getitem__
+        for batch in batches:
+            rows = []
+            for some in text_parts(batch.column(1).to_pylist(), PASS_CHARS):
+                for ids in encoder.encode(some):
+                    decoded = b"".join(map(part, np.frombuffer(ids, "<u4").tolist()))
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            n, of_ids, of_decoded = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_decoded, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(
+        run, f"doc_id {doc_id}, n_tokens long, ids_sha256 string, decoded_sha256 string")
