@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_or_empty, text_parts
+from millrace.llm.common import column_parts, text_or_empty, text_parts
 
 NONE = np.int32(2**31 - 1)
 CACHED = 100_000
@@ -58,8 +58,8 @@ class Merger:
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
 
     @lru_cache(maxsize=1)  # noqa: B019 - long pre-tokens are rare; short ones search the arrays
-    def pairs(self) -> dict[tuple[int, int], int]:
-        return {(k >> 32, k & 0xFFFFFFFF): v for k, v in zip(self.keys.tolist(), self.values.tolist())}
+    def pairs(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.values.tolist()))
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         wanted = left.astype(np.int64) << 32 | right
@@ -125,7 +125,7 @@ class Merger:
         width = 1 << (n - 1).bit_length()
         ids, none, pairs = [self.ranks[bytes([b])] for b in word], int(NONE), self.pairs()
         tree = [none] * (2 * width)
-        tree[width:width + n - 1] = [pairs.get(p, none) for p in zip(ids, ids[1:])]
+        tree[width:width + n - 1] = [pairs.get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
         for i in range(width - 1, 0, -1):
             tree[i] = min(tree[2 * i], tree[2 * i + 1])
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -152,9 +152,9 @@ class Merger:
             put(gone, none)
             if follows < n:
                 before[follows] = at
-            put(at, pairs.get((best, ids[follows]), none) if follows < n else none)
+            put(at, pairs.get(best << 32 | ids[follows], none) if follows < n else none)
             if before[at] >= 0:
-                put(before[at], pairs.get((ids[before[at]], best), none))
+                put(before[at], pairs.get(ids[before[at]] << 32 | best, none))
         return np.array([i for i in ids if i >= 0], np.int32)
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
@@ -260,7 +260,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         encoder, part = Encoder(path), parts(path).__getitem__
         for batch in batches:
             rows = []
-            for some in text_parts(batch.column(1).to_pylist(), PASS_CHARS):
+            for some in column_parts(batch.column(1), PASS_CHARS):
                 for ids in encoder.encode(some):
                     decoded = b"".join(map(part, np.frombuffer(ids, "<u4").tolist()))
                     rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))

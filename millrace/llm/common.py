@@ -52,6 +52,12 @@ def text_parts(texts: list[str], most_chars: int = 2_000_000) -> Iterator[list[s
         yield part
 
 
+def column_parts(column: pa.Array, most_chars: int, rows: int = 256) -> Iterator[list[str]]:
+    """The texts of an Arrow column as ``text_parts``, made into strings some rows at a time."""
+    for at in range(0, len(column), rows):
+        yield from text_parts(column.slice(at, rows).to_pylist(), most_chars)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables that hold whole groups of the sorted stream, with the groups' boundaries.
 

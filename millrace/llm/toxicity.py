@@ -12,18 +12,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh, text_or_empty, text_parts
+from millrace.llm.common import column_parts, fresh, text_or_empty
 
 WINDOW, STRIDE = 32, 24
 WORD_BUCKETS, GROUP_BUCKETS = 1 << 14, 1 << 16
 WORD_DIM, GROUP_DIM, HIDDEN, ATTENTION = 8, 24, 8, 8
 GROUP_SIZES = (3, 4, 5)
 EDGE = ".,;:!?\"'()[]{}<>*#$%&_-"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 50_000
+PASS_CHARS, PASS_WINDOWS = 500_000, 1024
 
 
 @dataclass(frozen=True)
@@ -240,7 +241,7 @@ def train(texts: list[str], labels: list[int], sample: Sample = Sample()) -> Net
 class Scorer:
     """Scores texts; gate inputs are kept for a bounded number of words."""
 
-    def __init__(self, net: Network, most_windows: int = 4096):
+    def __init__(self, net: Network, most_windows: int = PASS_WINDOWS):
         self.net, self.most = net, most_windows
         self._empty()
 
@@ -318,13 +319,13 @@ def score(docs: DataFrame, net: Network | None, column: str = "score") -> DataFr
         return docs.withColumn(column, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def worst_window(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def worst_window(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            parts = [scorer.scores(part) for part in text_parts(texts.tolist())]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            parts = [scorer.scores(part) for part in column_parts(texts, PASS_CHARS)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.withColumn(column, F.pandas_udf(worst_window, "double")(text_or_empty()))
+    return docs.withColumn(column, F.arrow_udf(worst_window, "double")(text_or_empty()))
 
 
 def flagged(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> DataFrame:
