@@ -24,10 +24,9 @@ MASK = (1 << TOP) - 1
 _P = np.arange(4096)
 STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in _P], np.int64)
 SQUASH = np.array([min(65000, max(500, round(65536 / (1 + math.exp(-x / 256))))) for x in range(-2400, 2401)], np.int64)
-# Nodes of a binary tree over the 256 classes: for each class its path, and which steps go right.
-_CLASS = np.arange(256)
-PATH = np.stack([(256 + _CLASS) >> (8 - d) for d in range(1, 9)], axis=1)
-RIGHT = (PATH & 1).astype(np.int64)
+# For each place in a row of 16 counts: ones before it.
+BELOW = (np.arange(16) < np.arange(16)[:, None]).astype(np.int32)
+ID_BITS = 17
 
 
 class Model:
@@ -36,33 +35,32 @@ class Model:
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
         self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.ids = [np.full(lanes * SLOTS, -1, np.int32) for _ in range(2)]
-        self.trust = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
+        # Per slot: how often the id held, and the id + 1; 0: nothing seen.
+        self.seen = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
         self.rates = [np.repeat(np.array([[64, 800, 1600, 2400, 2800, 3200, 3600, 3900]], np.int64), lanes, 0).ravel() for _ in range(2)]
         self.weights = [np.full(lanes, w, np.int64) for w in (20000, 20000, 6000)]
-        tree = np.zeros(512, np.int32)
-        tree[256:] = 2
-        for i in range(255, 0, -1):
-            tree[i] = tree[2 * i] + tree[2 * i + 1]
-        self.tree = np.tile(tree, lanes)
+        # Order-0 counts of the 256 classes, of each 16 of them, and of all.
+        self.counts = np.full(lanes * 256, 2, np.int32)
+        self.sixteens = np.full(lanes * 16, 32, np.int32)
+        self.totals = np.full(lanes, 512, np.int64)
 
     def predict(self, k: int):
         """(proposed id or -1, odds of 65536 that it comes)."""
         lane, a, b = self.lane[:k], self.last1[:k], self.last2[:k]
         at = [lane * SLOTS + (a * 0x9E5 + (a >> 7) & SLOTS - 1), lane * SLOTS + ((a * 0x2F3B + b * 0x1657 + (b >> 5)) & SLOTS - 1)]
-        ids = [self.ids[o][at[o]] for o in (0, 1)]
-        trust = [self.trust[o][at[o]].astype(np.int64) for o in (0, 1)]
+        seen = [self.seen[o].take(at[o]) for o in (0, 1)]
+        ids = [(s & (1 << ID_BITS) - 1) - 1 for s in seen]
+        trust = [s >> ID_BITS for s in seen]
         proposed = np.where(trust[1] > 0, ids[1], ids[0])
         rate_at = [lane * 8 + t for t in trust]
         inputs = []
         for o in (0, 1):
-            s = STRETCH[self.rates[o][rate_at[o]]]
+            s = STRETCH.take(self.rates[o].take(rate_at[o]))
             inputs.append(np.where(ids[o] == proposed, s, np.minimum(-np.abs(s), -200)))
-        tree, base = self.tree, lane * 512
-        share = (tree[base + 256 + (np.maximum(proposed, 0) >> 8)] << 12) // tree[base + 1]
-        inputs.append(STRETCH[np.minimum(share, 4095)] >> 1)
+        share = (self.counts.take(lane * 256 + (np.maximum(proposed, 0) >> 8)) << 12) // self.totals[:k]
+        inputs.append(STRETCH.take(np.minimum(share, 4095)) >> 1)
         mixed = sum(w[:k] * x for w, x in zip(self.weights, inputs)) >> 15
-        odds = SQUASH[np.clip(mixed, -2400, 2400) + 2400]
+        odds = SQUASH.take(np.clip(mixed, -2400, 2400) + 2400)
         self.kept = (k, at, ids, trust, rate_at, inputs, odds, proposed)
         return proposed, odds
 
@@ -73,32 +71,33 @@ class Model:
             w[:k] = np.clip(w[:k] + ((error * x) >> 14), -(1 << 17), 1 << 17)
         for o in (0, 1):
             hit = ids[o] == actual
-            rate = self.rates[o][rate_at[o]]
+            rate = self.rates[o].take(rate_at[o])
             self.rates[o][rate_at[o]] = rate + ((np.where(hit, 4095, 0) - rate) >> 5)
-            self.trust[o][at[o]] = np.where(hit, np.minimum(trust[o] + 1, 7), 1)
-            self.ids[o][at[o]] = actual
-        path = (self.lane[:k] * 512)[:, None] + PATH[actual >> 8]
-        self.tree[path.ravel()] += STEP
-        self.tree[self.lane[:k] * 512 + 1] += STEP
+            self.seen[o][at[o]] = np.where(hit, np.minimum(trust[o] + 1, 7), 1) << ID_BITS | actual + 1
+        self.counts[self.lane[:k] * 256 + (actual >> 8)] += STEP
+        self.sixteens[self.lane[:k] * 16 + (actual >> 12)] += STEP
+        self.totals[:k] += STEP
         self.last2[:k] = self.last1[:k]
         self.last1[:k] = actual
 
     def class_range(self, lanes: np.ndarray, classes: np.ndarray):
         """(classes before, count, total) of order-0 counts."""
-        base = lanes * 512
-        path = base[:, None] + PATH[classes]
-        before = (self.tree[path - RIGHT[classes]] * RIGHT[classes]).sum(axis=1)
-        return before, self.tree[base + 256 + classes], self.tree[base + 1]
+        high = classes >> 4
+        before = (self.sixteens.reshape(-1, 16).take(lanes, axis=0) * BELOW.take(high, axis=0)).sum(axis=1) + (
+            self.counts.reshape(-1, 16).take(lanes * 16 + high, axis=0) * BELOW.take(classes & 15, axis=0)).sum(axis=1)
+        return before, self.counts.take(lanes * 256 + classes), self.totals.take(lanes)
 
     def find_class(self, lanes: np.ndarray, target: np.ndarray):
-        base, node, rest = lanes * 512, np.ones(len(lanes), np.int64), target.copy()
-        for _ in range(8):
-            node = 2 * node
-            left = self.tree[base + node]
-            right = rest >= left
-            rest -= np.where(right, left, 0)
-            node += right
-        return node - 256, target - rest
+        """(class whose range holds the target, classes before)."""
+        row = np.arange(len(lanes))
+        upper = self.sixteens.reshape(-1, 16).take(lanes, axis=0)
+        ends = upper.cumsum(axis=1)
+        high = (ends <= target[:, None]).sum(axis=1)
+        before = ends[row, high] - upper[row, high]
+        inner = self.counts.reshape(-1, 16).take(lanes * 16 + high, axis=0)
+        ends = inner.cumsum(axis=1) + before[:, None]
+        low = (ends <= target[:, None]).sum(axis=1)
+        return high << 4 | low, ends[row, low] - inner[row, low]
 
 
 def _in_step(lengths: np.ndarray):
@@ -183,9 +182,9 @@ def decode_lanes(payloads: list[bytes], lengths: np.ndarray) -> list[np.ndarray]
         actual = proposed.astype(np.int64)
         miss = np.flatnonzero(~hit)
         if len(miss):
-            part, target = ask(miss, model.tree[miss * 512 + 1])
+            part, target = ask(miss, model.totals.take(miss))
             found, before = model.find_class(miss, target)
-            take(miss, part, before, model.tree[miss * 512 + 256 + found])
+            take(miss, part, before, model.counts.take(miss * 256 + found))
             part, target = ask(miss, 256)
             take(miss, part, target, 1)
             actual[miss] = found << 8 | target

@@ -46,7 +46,7 @@ class Tokens:
         split = spec.get("pre_tokenizer") or {}
         self.pieces = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get(
             "use_regex", True) and not split.get("add_prefix_space")
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,10 +62,10 @@ class Tokens:
             clean = all(p and not p[0].isspace() and not p[-1].isspace() for p in pieces if p not in known)
             (split if clean else whole).append((i, pieces))
         new = list({p for _, pieces in split for p in pieces[1:] if p not in known})
-        known.update(zip(new, self._plain([" " + p for p in new])))
+        known.update((p, ids.tobytes()) for p, ids in zip(new, self._plain([" " + p for p in new])))
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         for (i, pieces), first in zip(split, self._plain([pieces[0] for _, pieces in split])):
-            out[i] = np.concatenate([first, *[known[p] for p in pieces[1:]]])
+            out[i] = np.frombuffer(first.tobytes() + b"".join([known[p] for p in pieces[1:]]), np.uint32)
         for (i, _), ids in zip(whole, self._plain([texts[i] for i, _ in whole])):
             out[i] = ids
         return out
