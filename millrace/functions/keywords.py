@@ -89,10 +89,6 @@ def column_role(column_name: Column) -> Column:
     )
 
 
-def is_wear_column(column_name: Column) -> Column:
-    return _any_word(F.lower(column_name), WEAR_WORDS)
-
-
 def machine_type(machine_name: Column, column_names: Column) -> Column:
     """First keyword group found in the machine name and its column names."""
     text = F.lower(F.concat_ws(" ", machine_name, F.array_join(column_names, " ")))

@@ -141,11 +141,17 @@ def categorical_profile(df: DataFrame, order: str, columns: list[str] | None = N
     appearance per text column, with the number of distinct values.
 
     ``order`` is the row order of the source. Values are pre-aggregated to one row
-    per distinct value before they meet; the rank keeps ``cap`` rows per task.
+    per distinct value before they meet; the rank keeps ``cap`` rows per task. A column
+    without values has one row with 0 distinct values, no category and no position.
     """
     columns = signal_columns(df) if columns is None else columns
     fields = [f for f in df.schema.fields
               if f.name in columns and not isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    spark = df.sparkSession
+    catalogue = spark.createDataFrame([(f.name,) for f in fields], "field string")
+    if not fields:
+        return catalogue.selectExpr("field", "string(null) AS category", "int(null) AS position",
+                                    "bigint(null) AS n_unique")
     long = df.select(F.col(order).alias("_ord"), F.inline(F.array(*[
         F.struct(F.lit(f.name).alias("field"),
                  F.col(f"`{f.name}`").cast("string").alias("category")) for f in fields])))
@@ -153,10 +159,10 @@ def categorical_profile(df: DataFrame, order: str, columns: list[str] | None = N
               .agg(F.min("_ord").alias("first_seen")))
     counts = values.groupBy("field").agg(F.count(F.lit(1)).alias("n_unique"))
     rank = Window.partitionBy("field").orderBy("first_seen", "category")
-    return (values.withColumn("position", F.row_number().over(rank))
-            .filter(F.col("position") <= cap)
-            .join(F.broadcast(counts), "field")
-            .select("field", "category", "position", "n_unique"))
+    first = (values.withColumn("position", F.row_number().over(rank))
+             .filter(F.col("position") <= cap).select("field", "category", "position"))
+    return (catalogue.join(counts, "field", "left").join(first, "field", "left")
+            .select("field", "category", "position", F.coalesce("n_unique", F.lit(0)).alias("n_unique")))
 
 
 def date_range(df: DataFrame) -> DataFrame:

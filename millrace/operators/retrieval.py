@@ -44,7 +44,8 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, filters: tuple[str,
     side; it is scanned once per query block and never broadcast or joined. A chunk
     qualifies when it equals every filter column of the query that is not null. Each
     task keeps only its k best per query, so k x queries rows per task are shuffled.
-    Distances are compared at nine digits, equal ones by chunk id.
+    Distances are compared at nine digits, equal ones by chunk id. A vector without a
+    direction, such as a zero vector, has no cosine distance: it is null and ranks last.
     """
     hits = None
     id_type = queries.schema["query_id"].dataType.simpleString()
@@ -54,7 +55,7 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, filters: tuple[str,
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         hits = chunks.sparkSession.createDataFrame([], schema)
-    best = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    best = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "chunk_id")
     return (hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "chunk_id", "rank", "distance",
                     F.round(1 - F.col("distance"), 4).alias("score")))
@@ -64,7 +65,8 @@ def _scan_block(rows, chunks, k, filters, metric, chunk_id, schema):
     ids = [r["query_id"] for r in rows]
     matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
     if metric == "cosine":
-        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
     wanted = {c: [r[c] for r in rows] for c in filters}
 
     def distances(vectors):
@@ -81,7 +83,9 @@ def _scan_block(rows, chunks, k, filters, metric, chunk_id, schema):
             if not len(pdf):
                 continue
             vectors = np.stack(pdf["_vector"].to_numpy()).astype(np.float64)
-            found = np.round(distances(vectors), 9)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                found = np.round(distances(vectors), 9)
+            found[np.isnan(found)] = np.inf  # sorts last, leaves as null
             keys = pdf["_id"].to_numpy()
             for q in range(len(ids)):
                 mask = np.ones(len(keys), dtype=bool)
@@ -95,7 +99,7 @@ def _scan_block(rows, chunks, k, filters, metric, chunk_id, schema):
                     d, i = d[near], i[near]
                 merged = sorted(zip([*best[q][0], *d.tolist()], [*best[q][1], *i.tolist()]))[:k]
                 best[q] = ([m[0] for m in merged], [m[1] for m in merged])
-        out = [(ids[q], i, d) for q in range(len(ids)) for d, i in zip(*best[q])]
+        out = [(ids[q], i, None if np.isinf(d) else d) for q in range(len(ids)) for d, i in zip(*best[q])]
         yield pd.DataFrame(out, columns=["query_id", "chunk_id", "distance"])
 
     narrow = chunks.select(F.col(chunk_id).alias("_id"), F.col("embedding").alias("_vector"),

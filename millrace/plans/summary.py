@@ -37,7 +37,8 @@ def data_summary(events: DataFrame, machine_name: str, order: str,
                            .alias(c) for c in columns]).unpivot(
         [], [f"`{c}`" for c in columns], "field", "missing_pct")
     categories = categorical.groupBy("field").agg(
-        F.array_sort(F.collect_list(F.struct("position", "category"))).alias("_c"),
+        F.array_sort(F.collect_list(F.when(
+            F.col("position").isNotNull(), F.struct("position", "category")))).alias("_c"),
         F.max("n_unique").alias("n_unique"))
     text = categories.join(missing, "field").join(
         profiling.column_roles(events).select("field", "dtype"), "field")

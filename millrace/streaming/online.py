@@ -47,22 +47,31 @@ def wear_stream(events: DataFrame, unit: str, ts: str, amount: str, reset: str,
                 late: str = "10 minutes") -> DataFrame:
     """(unit, ts, wear) after each micro-batch: the clamped sum since the last reset.
 
-    The state of a unit is one number. Rows of a batch are applied in time order;
-    rows beyond the watermark are dropped before they reach the state.
+    The state of a unit is its level and the time of its last row. Rows of a batch are
+    applied in time order; rows without a time or older than the watermark are dropped in the
+    step, as the engine hands them over. A unit whose rows were all dropped reports nothing.
     """
-    schema = T.StructType([events.schema[unit], T.StructField("ts", T.TimestampType()),
+    schema = T.StructType([events.schema[unit], T.StructField("micros", T.LongType()),
                            T.StructField("wear", T.DoubleType())])
 
     def advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        level = state.get[0] if state.exists else 0.0
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        level, last = state.get if state.exists else (0.0, None)
+        rows = pd.concat(list(batches))
+        rows = rows[rows["micros"] >= state.getCurrentWatermarkMs() * 1000]
+        if not len(rows):
+            return
+        rows = rows.sort_values("micros", kind="stable")
         for used, service in zip(rows["amount"], rows["service"]):
             level = 0.0 if service else min(1.0, level + (0.0 if pd.isna(used) else max(0.0, used)))
-        state.update((level,))
-        yield pd.DataFrame({unit: [key[0]], "ts": [rows["ts"].iloc[-1]], "wear": [level]})
+        newest = int(rows["micros"].iloc[-1])
+        last = newest if last is None else max(last, newest)
+        state.update((level, last))
+        yield pd.DataFrame({unit: [key[0]], "micros": [last], "wear": [level]})
 
     prepared = events.withWatermark(ts, late).select(
-        unit, F.col(ts).alias("ts"), F.col(amount).cast("double").alias("amount"),
+        unit, F.col(ts).alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"),
+        F.col(amount).cast("double").alias("amount"),
         F.coalesce(F.col(reset), F.lit(False)).alias("service"))
-    return prepared.groupBy(unit).applyInPandasWithState(
-        advance, schema, "level double", "update", "NoTimeout")
+    worn = prepared.groupBy(unit).applyInPandasWithState(
+        advance, schema, "level double, micros long", "update", "NoTimeout")
+    return worn.select(unit, F.timestamp_micros("micros").alias("ts"), "wear")

@@ -119,6 +119,14 @@ def heading(spark, page):
     return next((h for h, _ in scanned(spark, page, "scan")), None)
 
 
+def test_zero_vectors_rank_last(spark):
+    chunks = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([("q", [1.0, 0.0]), ("zero", [0.0, 0.0])], "query_id string, embedding array<double>")
+    out = retrieval.top_k(queries, chunks, 3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.chunk_id, r.distance) for r in out] == [
+        ("q", 2, 0.0), ("q", 3, 1.0), ("q", 1, None), ("zero", 1, None), ("zero", 2, None), ("zero", 3, None)]
+
+
 def test_contents_formats(spark):
     page = ("Contents\n1.1 General description . . . . 3\n1.2 PHYSICS   10\n2.1 Diffusion\t\n\n 12\n"
             "2.2 Wrapped title\nwith rest ..... 14\n0.16 Density   9\n3.1 Lost\nno page here\n21.1 Far   3")

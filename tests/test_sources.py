@@ -153,6 +153,16 @@ def test_summary_round_trip(spark, tmp_path, coffee):
     assert by_name["coffee_buildup_before"] == ["clean"] and by_name["scale_buildup_before"] == ["clean", "descale"]
 
 
+def test_columns_of_nulls_are_reported(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "a", None)], "n int, kind string, note string")
+    found = {(r.field, r.category, r.position, r.n_unique)
+             for r in profiling.categorical_profile(df, "n", ["kind", "note"]).collect()}
+    assert found == {("kind", "a", 1, 2), ("kind", "b", 2, 2), ("note", None, None, 0)}
+    signals = {s.field: s for s in data_summary(df, "machine", "n").first().signals}
+    assert signals["note"].categories == [] and signals["note"].n_unique == 0 and signals["note"].missing_pct == 100
+    assert signals["kind"].categories == ["a", "b"]
+
+
 def test_medians_without_holding_values(spark):
     rng = random.Random(2)
     for n in (1, 2, 9, 500):

@@ -49,3 +49,13 @@ def test_wear_follows_batches(spark, tmp_path):
     for r in out:
         levels.setdefault(r.unit, []).append(round(r.wear, 6))
     assert levels == {1: [0.7, 0.2], 2: [0.9, 1.0]}
+
+
+def test_wear_drops_late_rows(spark, tmp_path):
+    batches = [[(1, at(0), 1, 0.2, False)], [(2, at(600), 1, 0.1, False)],
+               [(3, at(5), 1, 0.5, False), (4, None, 1, 0.3, False)],  # ten hours late; no time
+               [(5, at(595), 1, 0.1, False)]]  # older than the last row, but in time
+    out = run(spark, tmp_path, batches, lambda s: online.wear_stream(s, "unit", "ts", "value", "service"),
+              "late_wear", "update")
+    assert [(r.ts, round(r.wear, 6)) for r in sorted(out, key=lambda r: r.wear)] == [
+        (at(0), 0.2), (at(600), 0.3), (at(600), 0.4)]
