@@ -2,8 +2,9 @@
 
 Slot n of the mix belongs to the source in whose interval of cumulative weights the point
 frac(n * golden ratio) falls, so every stretch of the mix holds the sources in proportion. The
-k-th slot of a source takes its block k; past the last block the source begins again. A block
-is a run of equally many words of the source's documents in shuffled order.
+k-th slot of a source takes its block k: a run of equally many words of the source's documents in
+shuffled order, which begin again past their end. The last block ends where the source's target
+is reached, so slots decide the order, not how much of a source is taken.
 
 Sizes are summed per (source, bucket of the shuffle key) before positions are given out, so no
 task holds a source: what one task orders is a bucket of narrow rows, 1/4096 of a source.
@@ -65,32 +66,53 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         .otherwise(F.col("first.level") * F.col("weight")).alias("target"))
 
 
+def whole_targets(targets: DataFrame) -> DataFrame:
+    """``targets`` with ``words``: targets in whole words, each less than a word off and together as
+    many as the tables have."""
+    before = Window.orderBy(F.col("source").asc_nulls_last())
+    high = F.floor(F.round(F.sum("target").over(before.rowsBetween(Window.unboundedPreceding, 0)), 3) + 0.5)
+    return targets.withColumn("to", high).withColumn(
+        "words", F.least(F.col("to") - F.coalesce(F.lag("to").over(before), F.lit(0)), MOST_USES * F.col("source_size"))).drop("to")
+
+
 def schedule(targets: DataFrame, total: int, block: int) -> DataFrame:
-    """sk, block, slot, use: the mix in order of slot; ``use`` counts the passes over a source."""
+    """sk, turn, slot: the places of a source's blocks in the mix, its last and shorter one
+    included. The mix is in order of slot, sk, turn.
+
+    Points that fall to a source beyond its last block stay unused. A source that meets too few
+    points, as one of less than a block may, has its other blocks spread evenly, half a slot on.
+    """
     before = Window.orderBy(F.col("source").asc_nulls_last())
+    count = math.ceil(total / block)
     high = F.sum("target").over(before.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(float(max(total, 1)))
     bounds = targets.withColumn("high", high).withColumn("low", F.coalesce(F.lag("high").over(before), F.lit(0.0))) \
         .withColumn("high", F.when(F.lead("sk").over(before).isNull(), 2.0).otherwise(F.col("high"))) \
-        .withColumn("blocks", F.ceil(F.col("source_size") / block)).where("blocks > 0") \
-        .select("sk", "low", "high", "blocks", F.explode(F.sequence(
-            F.floor(F.col("low") * CELLS), F.floor(F.least("high", F.lit(0.9999999)) * CELLS))).alias("cell"))
+        .withColumn("blocks", F.ceil(F.col("words") / block)).where("blocks > 0")
+    cells = bounds.select("sk", "low", "high", "blocks", F.explode(F.sequence(
+        F.floor(F.col("low") * CELLS), F.floor(F.least("high", F.lit(0.9999999)) * CELLS))).alias("cell"))
     point = F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))
-    slots = targets.sparkSession.range(math.ceil(total / block)).withColumn("x", point) \
-        .withColumn("cell", F.floor(F.col("x") * CELLS))
-    placed = slots.join(bounds, "cell").where("low <= x and x < high")
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("sk").orderBy("id")) - 1)
-    return ranked.select("sk", (F.col("rank") % F.col("blocks")).alias("block"), F.col("id").alias("slot"),
-                         F.floor(F.col("rank") / F.col("blocks")).alias("use")).where(F.col("use") < MOST_USES)
+    slots = targets.sparkSession.range(count).withColumn("x", point).withColumn("cell", F.floor(F.col("x") * CELLS))
+    placed = slots.join(cells, "cell").where("low <= x and x < high")
+    ranked = placed.withColumn("turn", (F.row_number().over(Window.partitionBy("sk").orderBy("id")) - 1).cast("long")) \
+        .where(F.col("turn") < F.col("blocks")).select("sk", "turn", F.col("id").cast("double").alias("slot"))
+    ranked = reliable_checkpoint(ranked)
+    met = ranked.groupBy("sk").agg(F.count(F.lit(1)).alias("met"))
+    rest = bounds.select("sk", "blocks").join(met, "sk", "left").withColumn("met", F.coalesce("met", F.lit(0).cast("long"))) \
+        .where("met < blocks").select("sk", "blocks", F.explode(F.sequence("met", F.col("blocks") - 1)).alias("turn"))
+    return ranked.union(rest.select(
+        "sk", "turn", F.floor((F.col("turn") + 0.5) * count / F.col("blocks")).cast("double") + 0.5))
 
 
 def mix(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces). ``documents``: one narrow row per row of ``docs`` with sk, bucket, rn
     (together its key), doc_id, source, size, source_size, target, h. ``pieces``: the mix itself,
-    the words [first, last) of a document that a slot takes: sk, bucket, rn, slot, use, first, last.
+    the words [first, last) of a document that a slot takes: sk, bucket, rn, slot, turn, use
+    (passes over the source before), first, last.
 
-    A mix has at most ``slots`` slots of equally many words. A null text has size 0, a null
-    source is a source of its own, rows that agree in doc_id are ordered by size and text, equal
-    rows are documents of their own. An empty table, or one without words, has no pieces.
+    The mix has about ``slots`` slots of equally many words, which fix its order only: a source
+    gives its target to the word, however large a slot is. A null text has size 0, a null source
+    is a source of its own, rows that agree in doc_id are ordered by size and text, equal rows are
+    documents of their own. An empty table, or one without words, has no pieces.
     """
     rows = reliable_checkpoint(sized(docs))
     buckets = rows.groupBy("sk", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source"))
@@ -98,21 +120,25 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
                                                           F.sum("bucket_size").alias("source_size")))
     total = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     block = max(1, -(-total // slots))
-    targets = reliable_checkpoint(source_targets(sizes))
+    targets = reliable_checkpoint(whole_targets(source_targets(sizes)))
     begins = Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("sk", "bucket", F.coalesce(F.sum("bucket_size").over(begins), F.lit(0)).alias("offset")) \
-        .join(targets.select("sk", "source_size", "target"), "sk")
+        .join(targets.select("sk", "source_size", "target", "words"), "sk")
     inside = Window.partitionBy("sk", "bucket").orderBy("key", "doc_id", "size", "h")
     placed = rows.withColumn("rn", F.row_number().over(inside)) \
         .withColumn("begin", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")) \
         .join(offsets, ["sk", "bucket"]).withColumn("begin", F.col("begin") + F.col("offset"))
     documents = placed.select("sk", "bucket", "rn", "doc_id", "source", "size", "source_size", "target", "h", "begin")
-    cut = documents.where("size > 0").select("sk", "bucket", "rn", "begin", "size", F.explode(F.sequence(
-        F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block"))
-    pieces = cut.join(schedule(targets, total, block), ["sk", "block"]).select(
-        "sk", "bucket", "rn", "slot", "use",
-        (F.greatest(F.col("begin"), F.col("block") * block) - F.col("begin")).alias("first"),
-        (F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.col("begin")).alias("last"))
+    passes = placed.where("size > 0").select(
+        "sk", "bucket", "rn", "begin", "size", "source_size", "words", F.explode(F.sequence(F.lit(0), F.lit(MOST_USES - 1))).alias("use")) \
+        .withColumn("start", F.col("use") * F.col("source_size") + F.col("begin")) \
+        .withColumn("end", F.least(F.col("start") + F.col("size"), F.col("words"))).where("start < end")
+    cut = passes.select("sk", "bucket", "rn", "use", "start", "end", F.explode(F.sequence(
+        F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("turn"))
+    pieces = cut.join(schedule(targets, total, block), ["sk", "turn"]).select(
+        "sk", "bucket", "rn", "slot", "turn", "use",
+        (F.greatest(F.col("start"), F.col("turn") * block) - F.col("start")).alias("first"),
+        (F.least(F.col("end"), (F.col("turn") + 1) * block) - F.col("start")).alias("last"))
     return documents, pieces
 
 

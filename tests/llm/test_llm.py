@@ -293,6 +293,30 @@ def test_mixing_near_targets_and_stable(spark, docs, none):
     assert ids.count(4) == ids.count(5) == 1
 
 
+@pytest.mark.parametrize("slots", [3, 40, 5000])
+def test_mixing_reaches_targets_whatever_the_slots(spark, slots):
+    rows = [(i, prose(i, 40), "big") for i in range(200)] + [(1000 + i, prose(i, 10), "tiny") for i in range(5)] + \
+        [(2000, "one", "x"), (2001, prose(9, 700), "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents, pieces = mixing.mix(df, slots)
+    taken = {}
+    for r in mixing.taken_words(df, slots).collect():
+        taken.setdefault((r.source, r.target), []).append(r.taken)
+    assert sum(map(sum, taken.values())) == sum(len(t.split()) for _, t, _ in rows)
+    for (source, target), words in taken.items():
+        assert abs(sum(words) - target) < 1, source
+    assert taken[("tiny", 150.0)] == [30] * 5
+    whole = {}
+    block = -(-sum(len(t.split()) for _, t, _ in rows) // slots)
+    for r in pieces.collect():
+        assert 0 <= r.first < r.last
+        whole.setdefault((r.sk, r.turn), []).append(r.last - r.first)
+    last = {s: max(t for k, t in whole if k == s) for s, _ in whole}
+    for (s, t), words in whole.items():
+        assert sum(words) == block if t < last[s] else 0 < sum(words) <= block
+    assert {r.doc_id for r in mixing.mixed_documents(df, slots).collect()} >= {1000, 1004, 2000, 2001}
+
+
 # --- chat views
 
 def test_views_rotate_and_masks_cover_the_viewer(spark):
