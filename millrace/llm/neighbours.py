@@ -4,8 +4,9 @@ Nodes are distinct vectors. A first graph comes from blocks of vectors that are
 the order of their sign codes under several sets of hyperplanes. A round of NN-descent joins
 every node with its neighbours and a sample of the nodes that name it, compares those with each
 other, and keeps the best ``degree`` per node. A query walks the graph: it expands the best
-nodes of its beam that it hasn't expanded yet, for a number of rounds. Graph work uses vectors
-rounded to bytes; the scores of what is returned are exact.
+nodes of its beam that it hasn't expanded yet, for a number of rounds. Graph work uses unit vectors
+in single precision and compares them by cosine - 1, which keeps its digits where vectors are nearly
+equal; the whole beam is scored exactly before it is cut.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from millrace.session import reliable_checkpoint, shuffle_width
 
 SEED, BITS = 23, 14
 GRAPH = "c long, near binary, sims binary"
+NONE = -4.0  # below every cosine - 1
 
 
 @dataclass(frozen=True)
@@ -42,27 +44,29 @@ class Shape:
 
 
 def _codes(table: DataFrame, tables: int) -> DataFrame:
-    """c, q (unit vector rounded to bytes), codes (a sign code per table, dimension first)."""
+    """c, q (unit vector in single precision), codes (a sign code per table, dimension first),
+    ties (per table a projection that orders vectors of one code, nearly equal ones too)."""
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         weights = (1 << np.arange(BITS)[::-1]).astype(np.int64)
         for vectors in batches:
-            small, codes = np.empty(len(vectors), object), np.empty(len(vectors), object)
+            small, codes, ties = (np.empty(len(vectors), object) for _ in range(3))
             for at, rows in by_dimension(vectors):
                 rows = unit(rows)
                 dim = rows.shape[1]
                 code = (rows @ planes(SEED, dim, tables * BITS) > 0).reshape(len(rows), tables, BITS) @ weights
-                scaled = np.rint(rows * (127 / np.abs(rows).max(axis=1, keepdims=True))).astype(np.int8)
-                for i, row, own in zip(at, scaled, code):
-                    small[i], codes[i] = row.tobytes(), (own + dim * (1 << BITS)).tolist()
-            yield pd.DataFrame({"q": small, "codes": codes})
+                tie = rows @ planes(SEED + 1, dim, tables)
+                for i, row, own, order in zip(at, rows.astype(np.float32), code, tie):
+                    small[i], codes[i], ties[i] = row.tobytes(), (own + dim * (1 << BITS)).tolist(), order.tolist()
+            yield pd.DataFrame({"q": small, "codes": codes, "ties": ties})
 
-    return table.select("c", F.pandas_udf(run, "q binary, codes array<long>")("v").alias("h")).select("c", "h.q", "h.codes")
+    return table.select("c", F.pandas_udf(run, "q binary, codes array<long>, ties array<double>")("v").alias("h")) \
+        .select("c", "h.q", "h.codes", "h.ties")
 
 
 def _small(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rounded vectors of one length as unit rows."""
+    """Vectors of one length as unit rows."""
     values = column.to_pylist()
-    rows = np.frombuffer(b"".join(values), np.int8).reshape(len(values), -1).astype(np.float32)
+    rows = np.frombuffer(b"".join(values), np.float32).reshape(len(values), -1).astype(np.float64)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -94,8 +98,9 @@ def _merge(candidates: DataFrame, most: int) -> DataFrame:
 
 
 def _offers(c: np.ndarray, sims: np.ndarray, least: np.ndarray, most: int) -> list[tuple]:
-    """Per row of a block, its ``most`` best others that beat ``least``."""
-    np.fill_diagonal(sims, -2)
+    """Per row of a block, its ``most`` best others that beat ``least``; ``sims`` is cosine - 1."""
+    sims = sims.astype(np.float32)
+    np.fill_diagonal(sims, NONE)
     take = min(most, len(c) - 1)
     if take < 1:
         return []
@@ -124,7 +129,7 @@ def first_graph(coded: DataFrame, shape: Shape) -> DataFrame:
                         break
                     c = table.column("c").to_numpy()[k:end]
                     q = _small(table.column("q").slice(k, end - k))
-                    out += _offers(c, q @ q.T, np.full(len(c), -2), shape.degree)
+                    out += _offers(c, q @ q.T - 1, np.full(len(c), NONE), shape.degree)
                     done = end
             held, rows = table.slice(done).to_batches(), table.num_rows - done
             return _rows(["c", "near", "sims"], out)
@@ -138,9 +143,10 @@ def first_graph(coded: DataFrame, shape: Shape) -> DataFrame:
         if rows:
             yield flush(0)
 
-    spread = coded.select("c", "q", F.posexplode("codes").alias("t", "code"))
+    spread = coded.select("c", "q", "ties", F.posexplode("codes").alias("t", "code")) \
+        .select("c", "q", "t", "code", F.col("ties")[F.col("t")].alias("tie"))
     width = max(1, shuffle_width(coded.sparkSession))
-    ordered = spread.repartitionByRange(width, "t", "code", "c").sortWithinPartitions("t", "code", "c")
+    ordered = spread.repartitionByRange(width, "t", "code", "tie", "c").sortWithinPartitions("t", "code", "tie", "c")
     return _merge(ordered.mapInArrow(run, GRAPH), shape.degree)
 
 
@@ -171,7 +177,7 @@ def around(graph: DataFrame, shape: Shape, salt: int) -> DataFrame:
 def descend(graph: DataFrame, coded: DataFrame, shape: Shape, salt: int) -> DataFrame:
     """One round: neighbours of a node meet there and offer themselves to each other."""
     def least(sims: pd.Series) -> pd.Series:
-        return pd.Series([float(np.frombuffer(s, np.float32)[-1]) if len(s) >= 4 * shape.degree else -2.0 for s in sims])
+        return pd.Series([float(np.frombuffer(s, np.float32)[-1]) if len(s) >= 4 * shape.degree else NONE for s in sims])
 
     bar = graph.select(F.col("c").alias("member"), F.pandas_udf(least, "double")("sims").alias("least"))
     members = around(graph, shape, salt).join(coded.select(F.col("c").alias("member"), "q"), "member").join(bar, "member")
@@ -182,7 +188,7 @@ def descend(graph: DataFrame, coded: DataFrame, shape: Shape, salt: int) -> Data
             out = []
             for s, e in zip(bounds[k:k + 512].tolist(), bounds[k + 1:k + 513].tolist()):
                 rows = _small(q.slice(s, e - s))
-                out += _offers(c[s:e], rows @ rows.T, bars[s:e], shape.offered)
+                out += _offers(c[s:e], rows @ rows.T - 1, bars[s:e], shape.offered)
             yield _rows(["c", "near", "sims"], out)
 
     return _merge(map_groups(members, ["center"], run, GRAPH).union(graph), shape.degree)
@@ -228,7 +234,7 @@ def greedy_search(starts: DataFrame, coded: DataFrame, graph: DataFrame, shape:
             if rest:
                 rows = _small(pa.array([q[own], *(q[i] for i in rest)]))
                 ids = np.concatenate([ids, member[rest]])
-                best = np.concatenate([best, (rows[1:] @ rows[0]).astype(np.float32)])
+                best = np.concatenate([best, (rows[1:] @ rows[0] - 1).astype(np.float32)])
             ids, best = _best(ids, best, shape.beam)
             out.append((int(c[s]), q[own], ids.tobytes(), best.tobytes(), seen[own], b""))
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), (pa.int64(), *[pa.binary()] * 5))],
@@ -263,8 +269,7 @@ def nearest(table: DataFrame, every: int = 50, k: int = 5, shape: Shape = Shape(
                                   .join(distinct.select("c", "k1", "k2"), ["k1", "k2"]).select("vec_id", "c"))
     starts = queries.select("c").distinct().join(coded.select("c", "q"), "c")
     found = greedy_search(starts, coded, graph, shape)
-    kept = found.select("c", F.expr(f"substr(near, 1, {8 * 3 * k})").alias("near"))
-    pairs = _edges(kept).union(starts.select("c", F.col("c").alias("other")))
+    pairs = _edges(found).union(starts.select("c", F.col("c").alias("other")))
     vectors = distinct.select("c", "v")
 
     def cosine(a: pd.Series, b: pd.Series) -> pd.Series:

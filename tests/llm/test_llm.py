@@ -168,6 +168,30 @@ def test_neighbours_recall_and_scores(spark, vectors):
     assert {r.vec_id for r in neighbours.nearest(table.where("vec_id in (0, 1, 2000)")).collect()} == {1}
 
 
+def recall(table, rows, every, **sizes):
+    """Share of the true five nearest, by exact cosines of rows (id, vector)."""
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    got = {}
+    for r in neighbours.nearest(table, every=every, **sizes).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    queries = [i for i in range(len(rows)) if i % every == 0]
+    def best(i):
+        apart = ((m - m[i]) ** 2).sum(axis=1)  # digits of nearly equal vectors
+        apart[i] = 9
+        return set(np.argsort(apart)[:5].tolist())
+    return sum(len(got[i] & best(i)) for i in queries) / (5 * len(queries))
+
+
+def test_neighbours_in_a_group_of_nearly_equal_vectors(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(24)
+    rows = [(i, (rng.standard_normal(24) if i % 3 else centre + rng.standard_normal(24) * 0.001).tolist()) for i in range(6000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    shape = neighbours.Shape(degree=16, tables=4, block=128, rounds=4, beam=64, expanded=16, steps=5)
+    assert recall(table, rows, 60, shape=shape) >= 0.9  # all queries lie in the group
+
+
 @pytest.mark.parametrize("block", [16, 512])
 def test_embedding_links_equal_brute_force(vectors, block):
     rows, table = vectors
