@@ -3,16 +3,18 @@
 Nodes are distinct vectors. A first graph comes from blocks of vectors that are neighbours in
 the order of their sign codes under several sets of hyperplanes. A round of NN-descent joins
 every node with its neighbours and a sample of the nodes that name it, compares those with each
-other, and keeps the best ``degree`` per node. A query walks the graph: it expands the best
-nodes of its beam that it hasn't expanded yet, for a number of rounds. Graph work uses unit vectors
+other, and keeps the best ``degree`` per node; rounds end when few edges change. A query walks the
+graph: it expands the best nodes of its beam that it hasn't expanded yet, until that no longer
+improves its best. Bits, tables and beam grow with the rows. Graph work uses unit vectors
 in single precision and compares them by cosine - 1, which keeps its digits where vectors are nearly
 equal; the whole beam is scored exactly before it is cut.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -24,14 +26,18 @@ from millrace.llm.common import map_groups
 from millrace.llm.vectors import by_dimension, classes, keyed, planes, unit
 from millrace.session import reliable_checkpoint, shuffle_width
 
-SEED, BITS = 23, 14
+SEED = 23
 GRAPH = "c long, near binary, sims binary"
 NONE = -4.0  # below every cosine - 1
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Sizes of the index and the search; every row is indexed whatever they are."""
+    """Sizes of the index and the search; every row is indexed whatever they are.
+
+    ``rounds`` and ``steps`` are the least numbers; rounds go on while more than ``settled`` of
+    the edges change, and the search of a query while a step improves its best.
+    """
 
     degree: int = 32
     tables: int = 10
@@ -41,22 +47,30 @@ class Shape:
     beam: int = 160
     expanded: int = 40
     steps: int = 5
+    bits: int = 14
+    settled: float = 0.01
 
+    def grown(self, rows: int) -> Shape:
+        """The sizes for so many rows: one bit for each doubling beyond 2 ** 16, one table and an
+        eighth of the beam too."""
+        more = max(0, math.ceil(math.log2(max(rows, 1))) - 16)
+        return replace(self, bits=self.bits + more, tables=self.tables + more, beam=self.beam + self.beam * more // 8)
 
-def _codes(table: DataFrame, tables: int) -> DataFrame:
+
+def _codes(table: DataFrame, tables: int, bits: int) -> DataFrame:
     """c, q (unit vector in single precision), codes (a sign code per table, dimension first),
     ties (per table a projection that orders vectors of one code, nearly equal ones too)."""
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        weights = (1 << np.arange(BITS)[::-1]).astype(np.int64)
+        weights = (1 << np.arange(bits)[::-1]).astype(np.int64)
         for vectors in batches:
             small, codes, ties = (np.empty(len(vectors), object) for _ in range(3))
             for at, rows in by_dimension(vectors):
                 rows = unit(rows)
                 dim = rows.shape[1]
-                code = (rows @ planes(SEED, dim, tables * BITS) > 0).reshape(len(rows), tables, BITS) @ weights
+                code = (rows @ planes(SEED, dim, tables * bits) > 0).reshape(len(rows), tables, bits) @ weights
                 tie = rows @ planes(SEED + 1, dim, tables)
                 for i, row, own, order in zip(at, rows.astype(np.float32), code, tie):
-                    small[i], codes[i], ties[i] = row.tobytes(), (own + dim * (1 << BITS)).tolist(), order.tolist()
+                    small[i], codes[i], ties[i] = row.tobytes(), (own + dim * (1 << bits)).tolist(), order.tolist()
             yield pd.DataFrame({"q": small, "codes": codes, "ties": ties})
 
     return table.select("c", F.pandas_udf(run, "q binary, codes array<long>, ties array<double>")("v").alias("h")) \
@@ -119,7 +133,7 @@ def first_graph(coded: DataFrame, shape: Shape) -> DataFrame:
             nonlocal held, rows
             table = pa.Table.from_batches(held).combine_chunks()
             t, code = table.column("t").to_numpy(), table.column("code").to_numpy()
-            part = t * (1 << 20) + (code >> BITS)  # blocks never mix tables or dimensions
+            part = t * (1 << 20) + (code >> shape.bits)  # blocks never mix tables or dimensions
             cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
             out, done = [], 0
             for s, e in zip(cuts[:-1], cuts[1:]):
@@ -196,32 +210,48 @@ def descend(graph: DataFrame, coded: DataFrame, shape: Shape, salt: int) -> Data
 
 def build_graph(coded: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """c, near, sims (the neighbours of a node, best first, as bytes) for every node of ``coded``."""
-    graph = first_graph(coded, shape)
-    for salt in range(shape.rounds):
-        graph = descend(graph, coded, shape, salt)
+    graph, salt, share = first_graph(coded, shape), 0, 1.0
+    while salt < shape.rounds or share > shape.settled:
+        before, graph = graph, descend(graph, coded, shape, salt)
+        salt, share = salt + 1, _changed(before, graph)
     return graph
 
 
-def greedy_search(starts: DataFrame, coded: DataFrame, graph: DataFrame, shape: Shape = Shape()) -> DataFrame:
+def _changed(before: DataFrame, after: DataFrame) -> float:
+    """Share of the edges of ``after`` that ``before`` doesn't have; 0 without edges. Rounds only
+    better a node's edges, so it falls to 0."""
+    def new(old: pd.Series, now: pd.Series) -> pd.Series:
+        return pd.Series([int((~np.isin(np.frombuffer(n, np.int64), np.frombuffer(o, np.int64))).sum())
+                          for o, n in zip(old, now)], dtype="int64")
+
+    both = after.select("c", F.col("near").alias("now")).join(before.select("c", F.col("near").alias("old")), "c", "left")
+    fresh, edges = both.select(
+        F.pandas_udf(new, "long")(F.coalesce("old", F.lit(b"")), "now").alias("new"), (F.length("now") / 8).alias("n")) \
+        .agg(F.coalesce(F.sum("new"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
+    return fresh / max(edges, 1)
+
+
+def greedy_search(starts: DataFrame, coded: DataFrame, graph: DataFrame, shape: Shape = Shape(), k: int = 5) -> DataFrame:
     """From ``starts`` (c, q: nodes to search from) to c, near, sims: the beam of each."""
     links = reliable_checkpoint(around(graph, shape, -1))
     beam = reliable_checkpoint(starts.join(graph, "c", "left").select(
         "c", "q", F.coalesce("near", F.lit(b"")).alias("near"), F.coalesce("sims", F.lit(b"")).alias("sims"),
-        F.lit(b"").alias("seen"), F.lit(b"").alias("front")))
-    schema = "c long, q binary, near binary, sims binary, seen binary, front binary"
+        F.lit(b"").alias("seen"), F.lit(b"").alias("front"), F.lit(True).alias("better")))
+    schema = "c long, q binary, near binary, sims binary, seen binary, front binary, better boolean"
 
-    def choose(batches):
-        """The best nodes of the beam that weren't expanded become the front."""
+    def choose(batches, every):
+        """The best nodes of the beam that weren't expanded become the front: of each search, or of
+        those whose last step bettered their best."""
         for batch in batches:
-            near, seen = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            near, seen, better = (batch.column(i).to_pylist() for i in (2, 4, 6))
             fronts, all_seen = [], []
-            for n, s in zip(near, seen):
+            for n, s, on in zip(near, seen, better):
                 ids, old = np.frombuffer(n, np.int64), np.frombuffer(s, np.int64)
-                front = ids[~np.isin(ids, old)][:shape.expanded]
+                front = ids[~np.isin(ids, old)][:shape.expanded if every or on else 0]
                 fronts.append(front.tobytes())
                 all_seen.append(np.concatenate([old, front]).tobytes())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(all_seen, pa.binary()),
-                                              pa.array(fronts, pa.binary())], schema=batch.schema)
+                                              pa.array(fronts, pa.binary()), batch.column(6)], schema=batch.schema)
 
     def run(table, bounds):
         c, q, member = table.column("c").to_numpy(), table.column("q").to_pylist(), table.column("member").to_numpy()
@@ -230,18 +260,24 @@ def greedy_search(starts: DataFrame, coded: DataFrame, graph: DataFrame, shape:
         for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             own = next(i for i in range(s, e) if near[i] is not None)
             rest = [i for i in range(s, e) if i != own]
+            had = near[own][:8 * (k + 1)]
             ids, best = np.frombuffer(near[own], np.int64), np.frombuffer(sims[own], np.float32)
             if rest:
                 rows = _small(pa.array([q[own], *(q[i] for i in rest)]))
                 ids = np.concatenate([ids, member[rest]])
                 best = np.concatenate([best, (rows[1:] @ rows[0] - 1).astype(np.float32)])
             ids, best = _best(ids, best, shape.beam)
-            out.append((int(c[s]), q[own], ids.tobytes(), best.tobytes(), seen[own], b""))
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), (pa.int64(), *[pa.binary()] * 5))],
-                                         ["c", "q", "near", "sims", "seen", "front"])
-
-    for _ in range(shape.steps):
-        beam = reliable_checkpoint(beam.mapInArrow(choose, schema))
+            out.append((int(c[s]), q[own], ids.tobytes(), best.tobytes(), seen[own], b"", ids[:k + 1].tobytes() != had))
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), (pa.int64(), *[pa.binary()] * 5, pa.bool_()))],
+                                         ["c", "q", "near", "sims", "seen", "front", "better"])
+
+    step = 0
+    while True:
+        every = step < shape.steps
+        beam = reliable_checkpoint(beam.mapInArrow(lambda batches, every=every: choose(batches, every), schema))
+        if beam.where("length(front) > 0").isEmpty():
+            break
+        step += 1
         front = _edges(beam.select("c", F.col("front").alias("near")))
         found = front.join(links, front["other"] == links["center"]).select("c", "member").distinct() \
             .where("c <> member").join(coded.select(F.col("c").alias("member"), "q"), "member")
@@ -263,12 +299,13 @@ def nearest(table: DataFrame, every: int = 50, k: int = 5, shape: Shape = Shape(
     """
     rows = keyed(table)
     distinct = classes(rows, k + 1)
-    coded = reliable_checkpoint(_codes(distinct, shape.tables))
+    shape = shape.grown(distinct.count())
+    coded = reliable_checkpoint(_codes(distinct, shape.tables, shape.bits))
     graph = build_graph(coded, shape)
     queries = reliable_checkpoint(rows.where(F.col("vec_id") % every == 0).select("vec_id", "k1", "k2").distinct()
                                   .join(distinct.select("c", "k1", "k2"), ["k1", "k2"]).select("vec_id", "c"))
     starts = queries.select("c").distinct().join(coded.select("c", "q"), "c")
-    found = greedy_search(starts, coded, graph, shape)
+    found = greedy_search(starts, coded, graph, shape, k)
     pairs = _edges(found).union(starts.select("c", F.col("c").alias("other")))
     vectors = distinct.select("c", "v")
 

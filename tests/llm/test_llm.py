@@ -192,6 +192,17 @@ def test_neighbours_in_a_group_of_nearly_equal_vectors(spark):
     assert recall(table, rows, 60, shape=shape) >= 0.9  # all queries lie in the group
 
 
+def test_neighbours_effort_grows_until_settled(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(4000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    shape = neighbours.Shape(degree=12, tables=2, block=64, rounds=1, beam=48, expanded=12, steps=1)
+    assert recall(table, rows, 80, shape=shape) >= 0.9
+    base = neighbours.Shape()
+    assert base.grown(51_282) == base.grown(0) == base
+    assert (base.grown(3_000_000).bits, base.grown(3_000_000).tables) == (base.bits + 6, base.tables + 6)
+
+
 @pytest.mark.parametrize("block", [16, 512])
 def test_embedding_links_equal_brute_force(vectors, block):
     rows, table = vectors
