@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -93,12 +93,25 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
 
 
 def map_groups(df: DataFrame, keys: list[str],
-               run: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """One shuffle by ``keys``, then ``run`` over tables of whole groups. The caller bounds
-    the groups; the shuffle has a fixed width, as bytes say little about the work."""
+               run: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, then: Sequence = ()) -> DataFrame:
+    """One shuffle by ``keys``, then ``run`` over tables of whole groups, in order of ``then``. The
+    caller bounds the groups; the shuffle has a fixed width, as bytes say little about the work."""
     def tasks(batches):
         for table, bounds in whole_groups(batches, keys):
             yield from run(table, bounds)
 
-    spread = df.repartition(shuffle_width(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    spread = df.repartition(shuffle_width(df.sparkSession), *keys).sortWithinPartitions(*keys, *then)
     return spread.mapInArrow(tasks, schema)
+
+
+def slices(text, gap, most: int = 1 << 22):
+    """``text`` (str or bytes) in order, in parts of about ``most`` characters that end with a
+    match of ``gap``, a pattern of one character that no word holds."""
+    at = 0
+    while len(text) - at > most:
+        cut = gap.search(text, at + most)
+        if cut is None:
+            break
+        yield text[at:cut.end()]
+        at = cut.end()
+    yield text[at:]

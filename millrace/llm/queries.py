@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, embedding_dedup, licenses, mixing, neighbours, perspectives, pii, simhash, token_files, toxicity
+from millrace.llm import (bpe, embedding_dedup, lexical, licenses, mixing, neighbours, perspectives, pii, secrets,
+                          simhash, spelling, token_files, toxicity)
 from millrace.llm.common import load, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +71,18 @@ def op9(spark, folder):
 @query("op10_licenses", licenses.SQL)
 def op10(spark, folder):
     return licenses.scan(load(spark, folder, "documents"))
+
+
+@query("op11_secrets")
+def op11(spark, folder):
+    return secrets.scan(load(spark, folder, "documents"))
+
+
+@query("op12_lexical", lexical.SQL)
+def op12(spark, folder):
+    return lexical.search(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+
+
+@query("op13_spelling")
+def op13(spark, folder):
+    return spelling.variants(load(spark, folder, "documents"))
