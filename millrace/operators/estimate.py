@@ -1,33 +1,30 @@
-"""Observations, ensemble propagation and remaining useful life."""
+"""Observations, ensembles and remaining useful life."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions.numeric import coerce_number
 from millrace.operators.health import health_of
-from millrace.operators.ordered import MAX_ROWS, affine_fold, row_index
-from millrace.operators.wear import PER_1000H, TRACKING_CAP, step_rate
+from millrace.operators.ordered import row_index
+from millrace.operators.wear import PER_1000H, step_rate
 from millrace.operators.wiring import output_map
 from millrace.operators.quality import column_catalog
-from millrace.session import collect_metadata, reliable_checkpoint, spread_groups
 
 # Fixed values of the estimation.
-MEMBERS, STRIDE, SEED, PROCESS_NOISE = 100, 50, 42, 1e-4
+MEMBERS, STRIDE, SEED = 100, 50, 42
 SPREAD, LEAST_SPREAD = 0.01, 1e-3
-RUL_SAMPLES, HORIZON = 50, 10_000
 DEFAULT_RATE = 1e-4
-STEPS_PER_SLICE = 50_000
 
 
 def observations(rows: DataFrame, unit: list[str], order: str, tie: list[str],
-                 ports: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+                 ports: DataFrame, ranges: int | None = None) -> DataFrame:
     """(unit, t, port, value): numbers seen at the model's output ports; ``t`` is the row
     position of the unit, also for rows without any number."""
     mapping = {r["field"]: r["port"] for r in output_map(column_catalog(rows), ports).collect()}
@@ -35,7 +32,7 @@ def observations(rows: DataFrame, unit: list[str], order: str, tie: list[str],
     fields = [c for c in rows.columns if c in mapping]
     placed = row_index(rows.select(*unit, order, *tie, *[c for c in fields
                                                          if c not in (*unit, order, *tie)]),
-                       unit, order, tie, "t", max_rows=max_rows)
+                       unit, order, tie, "t", ranges=ranges)
     return placed.select(*unit, "t", F.inline(F.array(*[
         F.struct(F.lit(mapping[c]).alias("port"), coerce_number(F.col(c), types[c]).alias("value"))
         for c in fields]))).filter("value is not null")
@@ -58,16 +55,6 @@ class StateSpec:
     hi: float = 1.0
     target: float = 0.0
 
-    def affine(self) -> tuple[float, float, float, float]:
-        if self.state_type == "degradation":
-            return 1.0, -self.rate * self.drive, self.lo, self.hi
-        if self.state_type == "accumulation":
-            return 1.0, self.rate * self.drive, 0.0, self.hi
-        if self.state_type == "tracking":
-            pull = min(self.rate, TRACKING_CAP)
-            return 1.0 - pull, pull * self.target, self.lo, self.hi
-        return 1.0, 0.0, float("-inf"), float("inf")
-
 
 def state_rates(states: DataFrame, parameters: DataFrame) -> DataFrame:
     """Adds ``rate`` per step and ``drive`` to specified states.
@@ -95,14 +82,6 @@ def state_rates(states: DataFrame, parameters: DataFrame) -> DataFrame:
         "drive": F.coalesce("_drive", F.lit(1.0))}).drop("_rate", "_scale", "_drive")
 
 
-def component_states(rated: DataFrame) -> list[StateSpec]:
-    """The states of one component model, as used by ``propagate``."""
-    return [StateSpec(r["name"], r["state_type"], r["initial_value"] or 0.0, r["rate"], r["drive"],
-                      0.0 if r["min_value"] is None else r["min_value"],
-                      1.0 if r["max_value"] is None else r["max_value"])
-            for r in collect_metadata(rated.orderBy("pos"), "the component's state table")]
-
-
 # ------------------------------------------------------------------ deterministic normals
 
 def _uniform(digest: Column, at: int) -> Column:
@@ -115,7 +94,7 @@ def hashed_normal(*parts: Column) -> Column:
     partitioning, and again when a task is repeated."""
     digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
     u, v = _uniform(digest, 1), _uniform(digest, 9)
-    return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * np.pi * v)
+    return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * math.pi * v)
 
 
 def initial_members(units: DataFrame, specs: list[StateSpec], members: int = MEMBERS,
@@ -129,138 +108,12 @@ def initial_members(units: DataFrame, specs: list[StateSpec], members: int = MEM
         * hashed_normal(F.lit(seed), unit_text, F.col("member"), F.lit(s.name)) for s in specs})
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """64-bit finalizer of the splitmix generator, as a counter-based hash."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _noise(keys: np.ndarray, t: np.ndarray, n_states: int) -> np.ndarray:
-    """Normals for (rows, states) at step ``t`` of each row; ``keys`` identify unit and
-    member."""
-    with np.errstate(over="ignore"):
-        base = _mix((keys + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-                    + np.arange(1, n_states + 1, dtype=np.uint64)[None, :]
-                    * np.uint64(0xD1B54A32D192ED03))
-    u = ((base >> np.uint64(32)).astype(np.float64) + 0.5) / 4294967296.0
-    v = ((base & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 4294967296.0
-    return np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * v)
-
-
-def _steps(specs):
-    a, b, lo, hi = (np.array(x) for x in zip(*[s.affine() for s in specs]))
-    return a, b, lo, hi
-
-
-def propagate(starts: DataFrame, specs: list[StateSpec], unit: list[str], stride: int = STRIDE,
-              noise: float = PROCESS_NOISE, steps_per_slice: int = STEPS_PER_SLICE) -> DataFrame:
-    """(unit, member, t, is_last, states...): sampled levels of every member.
-
-    ``starts(unit, n_steps, member, states...)``; member rows advance independently
-    through t = 1..n_steps-1, so the job is a narrow map over members. Samples are
-    taken inside it (t = 1, 1+stride, ...), plus the last step. Series longer than
-    ``steps_per_slice`` are cut in time: every step is clamped-affine with noise known
-    from its coordinates, so slices are summarized in parallel, their start levels
-    folded, and the slices replayed.
-    """
-    names = [s.name for s in specs]
-    keyed = spread_groups(starts.withColumn("_key", F.xxhash64(*unit, "member")), ["_key"])
-    longest = starts.agg(F.max("n_steps")).first()[0] or 0
-    if longest <= steps_per_slice:
-        begun = keyed.withColumns({"_from": F.lit(1).cast("long"),
-                                   "_to": F.col("n_steps") - 1})
-        return _replay_slices(begun, specs, unit, stride, noise)
-    slices = keyed.withColumn("_from", F.explode(F.sequence(
-        F.lit(1).cast("long"), F.greatest(F.col("n_steps") - 1, F.lit(1)),
-        F.lit(steps_per_slice).cast("long")))).withColumn(
-        "_to", F.least(F.col("_from") + steps_per_slice - 1, F.col("n_steps") - 1))
-    # One row per member, state and slice; the fold reads it more than once.
-    summary = reliable_checkpoint(_summarize_slices(slices, specs, unit, noise))
-    folded = affine_fold(summary, [*unit, "member", "state"], "_from", [], "start", "level")
-    ends = folded.groupBy(*unit, "member", F.col("_to").alias("_end")).agg(*[
-        F.max(F.when(F.col("state") == n, F.col("level"))).alias(n) for n in names])
-    later = (slices.filter("_from > 1").drop(*names).withColumn("_end", F.col("_from") - 1)
-             .join(ends, [*unit, "member", "_end"]).drop("_end"))
-    begun = slices.filter("_from = 1").unionByName(later)
-    return _replay_slices(begun, specs, unit, stride, noise)
-
-
-def _unit_fields(df, unit):
-    return [df.schema[c] for c in unit]
-
-
-def _replay_slices(begun, specs, unit, stride, noise):
-    names = [s.name for s in specs]
-    schema = T.StructType([
-        *_unit_fields(begun, unit), T.StructField("member", T.IntegerType()),
-        T.StructField("t", T.LongType()), T.StructField("is_last", T.BooleanType()),
-        *[T.StructField(n, T.DoubleType()) for n in names]])
-    a, b, lo, hi = _steps(specs)
-
-    def run(batches):
-        for pdf in batches:
-            first, last = pdf["_from"].to_numpy(), pdf["_to"].to_numpy()
-            final = pdf["n_steps"].to_numpy() - 1
-            level = pdf[names].to_numpy(dtype=np.float64)
-            keys = pdf["_key"].to_numpy().astype(np.uint64)
-            labels = pdf[[*unit, "member"]]
-            held = []
-            for j in range(int((last - first).max()) + 1 if len(pdf) else 0):
-                on = np.flatnonzero(first + j <= last)
-                t = first[on] + j
-                level[on] = (np.clip(a * level[on] + b, lo, hi)
-                             + noise * _noise(keys[on], t, len(names)))
-                keep = ((t - 1) % stride == 0) | (final[on] == t)
-                if keep.any():
-                    done, at = on[keep], t[keep]
-                    out = labels.iloc[done].assign(t=at, is_last=final[done] == at)
-                    out[names] = level[done]
-                    held.append(out)
-                    if sum(map(len, held)) > 50_000:
-                        yield pd.concat(held)
-                        held = []
-            if held:
-                yield pd.concat(held)
-
-    return begun.mapInPandas(run, schema)
-
-
-def _summarize_slices(slices, specs, unit, noise):
-    names = [s.name for s in specs]
-    schema = T.StructType([
-        *_unit_fields(slices, unit), T.StructField("member", T.IntegerType()),
-        T.StructField("state", T.StringType()), T.StructField("_from", T.LongType()),
-        T.StructField("_to", T.LongType()),
-        *[T.StructField(n, T.DoubleType()) for n in ("a", "b", "lo", "hi", "start")]])
-    a, b, lo, hi = _steps(specs)
-
-    def run(batches):
-        for pdf in batches:
-            first, last = pdf["_from"].to_numpy(), pdf["_to"].to_numpy()
-            start = pdf[names].to_numpy(dtype=np.float64)
-            keys = pdf["_key"].to_numpy().astype(np.uint64)
-            shape = start.shape
-            ca, cb = np.ones(shape), np.zeros(shape)
-            clo, chi = np.full(shape, -np.inf), np.full(shape, np.inf)
-            for j in range(int((last - first).max()) + 1 if len(pdf) else 0):
-                on = np.flatnonzero(first + j <= last)
-                t = first[on] + j
-                shake = noise * _noise(keys[on], t, len(names))
-                ca[on], cb[on] = a * ca[on], a * cb[on] + b + shake
-                clo[on] = np.clip(a * clo[on] + b, lo, hi) + shake
-                chi[on] = np.clip(a * chi[on] + b, lo, hi) + shake
-            base = pdf[[*unit, "member", "_from", "_to"]]
-            yield pd.concat([
-                base.assign(state=n, a=ca[:, j], b=cb[:, j], lo=clo[:, j], hi=chi[:, j],
-                            start=start[:, j])
-                for j, n in enumerate(names)])[schema.names]
-
-    return slices.mapInPandas(run, schema)
+# ------------------------------------------------------------------ summaries
 
+def strided(samples: DataFrame, stride: int = STRIDE, step: str = "t") -> DataFrame:
+    """Every ``stride``-th step from the first one after the start, which is step 0."""
+    return samples.filter((F.col(step) >= 1) & ((F.col(step) - 1) % stride == 0))
 
-# ------------------------------------------------------------------ summaries
 
 def ensemble_summary(samples: DataFrame, unit: list[str], states: list[str]) -> DataFrame:
     """(unit, t, state, mean, std): mean and population deviation over the members."""
@@ -271,78 +124,20 @@ def ensemble_summary(samples: DataFrame, unit: list[str], states: list[str]) ->
 
 
 def ensemble_health(samples: DataFrame, unit: list[str], events: list[dict]) -> DataFrame:
-    """(unit, t, event, health): mean over the members with a number; null without any."""
+    """(unit, t, event, health): mean over the members whose states are all numbers; null without any."""
+    def known(e):
+        states = [F.col(s["state"]) for s in e["states"]]
+        return reduce(and_, [x.isNotNull() & ~F.isnan(x) for x in states])
+
     wide = samples.groupBy(*unit, "t").agg(*[
-        F.struct(F.lit(e["event"]).alias("event"),
-                 F.avg(F.when(~F.isnan(health_of(e)), health_of(e))).alias("health"))
+        F.struct(F.lit(e["event"]).alias("event"), F.avg(F.when(known(e), health_of(e))).alias("health"))
         .alias(f"_{i}") for i, e in enumerate(events)])
     return wide.select(*unit, "t", F.inline(F.array(*[f"_{i}" for i in range(len(events))])))
 
 
-def _time_to(spec: StateSpec, form: str, threshold: float) -> Column:
-    """Steps until the state reaches the threshold, without noise; null for never."""
-    x = F.col(spec.name)
-    reached = x >= threshold if form == "limit" else x <= threshold
-    change = spec.affine()[1]
-    if spec.state_type in ("degradation", "accumulation"):
-        gap = threshold - x
-        steps = F.ceil(gap / F.lit(change)).cast("double") if change else F.lit(None).cast("double")
-        steps = F.when((gap > 0) == F.lit(change > 0), steps)
-    elif spec.state_type == "tracking" and 0 < spec.rate:
-        left = (threshold - spec.target) / (x - spec.target)
-        steps = F.when((left > 0) & (left < 1), F.ceil(
-            F.log(left) / float(np.log(1 - min(spec.rate, TRACKING_CAP)))).cast("double"))
-    else:
-        steps = F.lit(None).cast("double")
-    return F.when(reached, 0.0).otherwise(steps)
-
-
-def time_of_event(event: dict, specs: list[StateSpec], horizon: int = HORIZON) -> Column:
-    """Steps until the event of one member, null beyond the horizon."""
-    by_name = {s.name: s for s in specs}
-    times = [F.coalesce(_time_to(by_name[s["state"]], s["form"], s["threshold"]),
-                        F.lit(float("inf"))) for s in event["states"]]
-    if len(times) == 1:
-        first = times[0]
-    else:
-        first = F.least(*times) if event.get("combine", "any") == "any" else F.greatest(*times)
-    return F.when(first <= horizon, first)
-
-
-def rul_summary(members: DataFrame, unit: list[str], specs: list[StateSpec], events: list[dict],
-                samples: int = RUL_SAMPLES, horizon: int = HORIZON) -> DataFrame:
-    """One row per unit and event: already triggered (health of the mean state), or mean,
-    population deviation, min and max of the members' times, or beyond the horizon.
-
-    ``members(unit, member, states...)`` is the last ensemble; the first ``samples``
-    members are drawn. One aggregation covers the means and all events.
-    """
-    drawn = F.col("member") < samples
-    measures = [F.avg(s.name).alias(f"_m_{s.name}") for s in specs]
-    for i, e in enumerate(events):
-        at = F.when(drawn, time_of_event(e, specs, horizon))
-        measures += [F.avg(at).alias(f"_a{i}"), F.stddev_pop(at).alias(f"_d{i}"),
-                     F.min(at).alias(f"_l{i}"), F.max(at).alias(f"_h{i}")]
-    grouped = members.groupBy(*unit).agg(*measures)
-    means = grouped.withColumns({s.name: F.col(f"_m_{s.name}") for s in specs})
-    rows = []
-    for i, e in enumerate(events):
-        triggered = health_of(e) <= 0
-
-        def unless(value, zero=False, hit=triggered):
-            return F.when(hit, F.lit(0.0 if zero else None).cast("double")).otherwise(value)
-
-        rows.append(F.struct(
-            F.lit(e["event"]).alias("event"), triggered.alias("already_triggered"),
-            unless(F.col(f"_a{i}"), True).alias("rul_mean"),
-            unless(F.col(f"_d{i}"), True).alias("rul_std"),
-            unless(F.col(f"_l{i}")).alias("rul_min"), unless(F.col(f"_h{i}")).alias("rul_max"),
-            (~triggered & F.col(f"_a{i}").isNull()).alias("beyond_horizon")))
-    return means.select(*unit, F.inline(F.array(*rows)))
-
-
 def summarize_times(times: DataFrame, keys: list[str]) -> DataFrame:
-    """The same summary from given event times ``(keys, triggered, time)``, where a
+    """One row per key: already triggered, or mean, population deviation, least and largest time, or
+    beyond the horizon, from event times ``(keys, triggered, time)``, where a
     missing or infinite time means not within the horizon."""
     finite = F.when(F.abs("time") < float("inf"), F.col("time"))
     stats = times.groupBy(*keys).agg(

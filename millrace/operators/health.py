@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numeric import clip
-from millrace.operators.ordered import MAX_ROWS, row_index
+from millrace.operators.ordered import row_index
 from millrace.session import collect_metadata
 
 # Upper ends of the vibration severity bands (mm/s).
@@ -107,17 +107,15 @@ def operation_mix(events: DataFrame, type_column: str, flags: dict[str, Column])
 
 def drift_early_late(events: DataFrame, unit: list[str], order: str, tie: list[str],
                      metrics: list[str], least_rows: int = 0,
-                     max_rows: int = MAX_ROWS) -> DataFrame:
+                     ranges: int | None = None) -> DataFrame:
     """(unit, metric, n, early_mean, late_mean, early_std, late_std): the first and last
-    fifth of each unit's rows. Units with ``least_rows`` rows or fewer are left out."""
+    fifth of each unit's rows, null where a fifth is no row. Units with ``least_rows`` rows
+    or fewer are left out."""
     placed = row_index(events.select(*unit, order, *tie, *metrics), unit, order, tie, "_t",
-                       total="_n", max_rows=max_rows)
+                       total="_n", ranges=ranges)
     part = F.floor(F.col("_n") * F.lit(EARLY_LATE_SHARE))
-    # Only the two ends are kept, before the values are grouped.
-    ends = (placed.filter((F.col("_n") > least_rows)
-                          & ((F.col("_t") < part) | (F.col("_t") >= F.col("_n") - part)))
-            .withColumns({"_early": F.col("_t") < part,
-                          "_late": F.col("_t") >= F.col("_n") - part}))
+    ends = placed.filter(F.col("_n") > least_rows).withColumns({
+        "_early": F.col("_t") < part, "_late": F.col("_t") >= F.col("_n") - part})
     long = ends.select(*unit, "_n", "_early", "_late", F.inline(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("_v"))
         for m in metrics])))

@@ -1,24 +1,36 @@
-"""Ordered per-key work that stays bounded when one key holds much of the data.
-
-A plain window keeps all rows of a key in one task. Each function here first looks
-at the row count: if no key exceeds ``max_rows`` the plain window is the plan.
-Otherwise every key is cut along its order column into cells of at most
-``max_rows`` rows, the cells are processed in parallel, and a small per-cell
-summary carries counts, last values or states from cell to cell.
+"""Ordered work per key as one scan over ranges of (key, order, tie).
+
+Rows are dealt out by ranges of the whole sort key, so a key that holds much of the data is cut
+like any other and a range is as large as the next. The ranges are written to the checkpoint
+folder, as their bounds are sampled and must not change. Each is read once for what its last
+key has come to, one row a range; these rows, chained in order, give every range the state in
+which its first key enters it. A second reading gives the rows their values. Only the first
+key of a range can come from an earlier one, so the states are as many as there are ranges,
+whatever the number of keys, and travel by broadcast.
+
+The steps are associative (counts, last values, sums since a reset, clamped affine states), so
+what a range does to a state is known before the state is. Sums are kept in whole multiples of
+2**-56 and give the same bits however the rows are cut.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import reliable_checkpoint, spread_groups
+from millrace.session import reliable_checkpoint, shuffle_width
 
-MAX_ROWS = 1_000_000
-CELL = "_cell"
-NO_POSITION = -(2 ** 62)  # cell of rows without an order value: first, as in a sort
+LANE_ROWS = 512
+HIGH_BITS, LOW_BITS = 16, 40
+LARGE, FULL = 2.0 ** 32, 1 << 60
 
 
 def order_number(df: DataFrame, order: str) -> Column:
@@ -33,197 +45,413 @@ def order_number(df: DataFrame, order: str) -> Column:
     return F.col(order)
 
 
-def cell_width(df: DataFrame, keys: list[str], order: str, max_rows: int = MAX_ROWS):
-    """Width of order cells so that no (key, cell) group exceeds ``max_rows`` rows.
+def _floats(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
 
-    None when the keys already fit. Each try is one pre-aggregated count over the
-    keys and the order column; the width is accepted only after its largest cell
-    was counted. Rows that share one order value cannot be separated.
-    """
-    if df.count() <= max_rows:
-        return None
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_rows:
+
+def _flags(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).fill_null(False).to_numpy(zero_copy_only=False)
+
+
+# ------------------------------------------------------------------ steps
+# A step has a state of a key's rows so far. ``state_after`` reads the rows [s, e) of one key, of
+# which the first ``begins`` the key or goes on; ``join`` puts the state of a later part behind that of an earlier one; ``values`` gives a
+# batch its column, with ``state`` for its first key and ``starts`` where the keys begin in it
+# (the first one at 0, also if it goes on from before).
+
+@dataclass(frozen=True)
+class Position:
+    """Zero-based position of the row within its key."""
+
+    name: str
+    sql_type: str = "long"
+
+    def inputs(self):
+        return []
+
+    def empty(self):
+        return 0
+
+    def state_after(self, state, batch, s, e, begins):
+        return state + e - s
+
+    def join(self, earlier, later):
+        return earlier + later
+
+    def values(self, state, batch, starts, begins):
+        begin = np.repeat(starts, np.diff(np.append(starts, batch.num_rows)))
+        at = np.arange(batch.num_rows) - begin
+        return pa.array(at + np.where(begin == 0, state, 0))
+
+
+@dataclass(frozen=True)
+class Last:
+    """Last non-null ``value`` so far, this row included; with ``first`` the key's first row
+    counts by its ``first`` column where ``value`` is null."""
+
+    name: str
+    value: str
+    sql_type: str
+    first: str | None = None
+
+    def inputs(self):
+        return [self.value, *([self.first] if self.first else [])]
+
+    def empty(self):
         return None
-    position = order_number(df, order)
-    low, high = df.agg(F.min(position), F.max(position)).first()
-    width = (high - low) * max_rows / (2 * largest)
-    whole = not isinstance(df.schema[order].dataType, (T.DoubleType, T.FloatType))
-    while True:
-        if whole:
-            width = max(1, int(width))
-        if width <= 0 or (whole and width == 1):
-            return width or None
-        cell = F.floor(position / F.lit(width))
-        largest = df.groupBy(*keys, cell.alias(CELL)).count().agg(F.max("count")).first()[0]
-        if largest <= max_rows:
-            return width
-        narrower = width * max_rows / (2 * largest)
-        if width - narrower < 1e-12:
-            return width
-        width = narrower
-
-
-def with_cells(df: DataFrame, keys: list[str], order: str, max_rows: int = MAX_ROWS):
-    """(df with a ``_cell`` column, True) when cells are needed, else (df, False)."""
-    width = cell_width(df, keys, order, max_rows)
-    if width is None:
-        return df, False
-    cell = F.floor(order_number(df, order) / F.lit(width)).cast("long")
-    return df.withColumn(CELL, F.coalesce(cell, F.lit(NO_POSITION))), True
-
-
-def _with_carry(rows: DataFrame, carried: DataFrame, group: list[str]) -> DataFrame:
-    """Rows with the carried values of their cell; rows without a key find theirs too."""
-    named = carried.withColumnsRenamed({g: f"_of_{g}" for g in group})
-    same = F.lit(True)
-    for g in group:
-        same = same & rows[g].eqNullSafe(named[f"_of_{g}"])
-    return rows.join(named, same).drop(*[f"_of_{g}" for g in group])
-
-
-def _earlier(keys):
-    return (Window.partitionBy(*keys).orderBy(CELL)
-            .rowsBetween(Window.unboundedPreceding, -1))
 
+    def _known(self, batch, starts, begins):
+        column = batch.column(self.value)
+        if self.first is not None:
+            at_start = np.zeros(batch.num_rows, bool)
+            at_start[starts if begins else starts[1:]] = True
+            column = pc.if_else(pc.and_(pa.array(at_start), column.is_null()), batch.column(self.first), column)
+        return column
+
+    def state_after(self, state, batch, s, e, begins):
+        part = batch.slice(s, e - s)
+        known = self._known(part, np.array([0]), begins).drop_null()
+        return (known[-1].as_py(),) if len(known) else state
+
+    def join(self, earlier, later):
+        return later or earlier
+
+    def values(self, state, batch, starts, begins):
+        column, n = self._known(batch, starts, begins), batch.num_rows
+        begin = np.repeat(starts, np.diff(np.append(starts, n)))
+        at = np.maximum.accumulate(np.where(column.is_valid().to_numpy(zero_copy_only=False), np.arange(n), -1))
+        inside = at >= begin
+        found = column.take(pa.array(np.where(inside, at, 0), mask=~inside)) if n else column
+        if state:
+            before = pa.array(~inside & (begin == 0))
+            found = pc.if_else(before, pa.scalar(state[0], column.type), found)
+        return found
+
+
+@dataclass(frozen=True)
+class SumSince:
+    """Sum of ``amount`` (null: 0) since the last row with ``reset``, which counts 0; with
+    ``first`` the key's first row is a reset too."""
+
+    name: str
+    amount: str
+    reset: str
+    first: bool = False
+    sql_type: str = "double"
+
+    def inputs(self):
+        return [self.amount, self.reset]
+
+    def empty(self):
+        return (False, 0, 0, 0.0)
+
+    def _parts(self, batch, starts, begins):
+        amount, reset = np.nan_to_num(_floats(batch, self.amount), nan=0.0, posinf=np.inf, neginf=-np.inf), _flags(batch, self.reset).copy()
+        if self.first:
+            reset[starts if begins else starts[1:]] = True
+        amount[reset] = 0.0
+        large = np.abs(amount) >= LARGE
+        scaled = np.where(large, 0.0, amount) * 2.0 ** HIGH_BITS
+        whole = np.floor(scaled)
+        return reset, whole.astype(np.int64), np.rint((scaled - whole) * 2.0 ** LOW_BITS).astype(np.int64), np.where(large, amount, 0.0)
+
+    @staticmethod
+    def _even(high, low):
+        return high + (low >> LOW_BITS), low & ((1 << LOW_BITS) - 1)
+
+    def state_after(self, state, batch, s, e, begins):
+        reset, high, low, large = self._parts(batch.slice(s, e - s), np.array([0]), begins)
+        marks = np.flatnonzero(reset)
+        at = int(marks[-1]) if len(marks) else 0
+        part = (bool(len(marks)), *self._even(int(high[at:].sum()), int(low[at:].sum())), float(large[at:].sum()))
+        return self.join(state, part)
+
+    def join(self, earlier, later):
+        if later[0]:
+            return later
+        high, low = self._even(earlier[1] + later[1], earlier[2] + later[2])
+        large = earlier[3] + later[3]
+        return (earlier[0], 0, low, large + high * 2.0 ** -HIGH_BITS) if abs(high) > FULL else (earlier[0], high, low, large)
+
+    def values(self, state, batch, starts, begins):
+        reset, high, low, large = self._parts(batch, starts, begins)
+        n = batch.num_rows
+        cut = reset.copy()
+        cut[starts] = True
+        begin = np.maximum.accumulate(np.where(cut, np.arange(n), 0))
+        sums = [c - c[begin] + x[begin] for x in (high, low) for c in (np.cumsum(x),)]
+        with np.errstate(invalid="ignore"):
+            c = np.cumsum(large)
+            big = c - c[begin] + large[begin] if np.isfinite(c).all() else _restarted(large, cut)
+        ends = starts[1] if len(starts) > 1 else n
+        follows = (np.arange(n) < ends) & ~(np.maximum.accumulate(reset) if n else reset)
+        sums[0] = sums[0] + np.where(follows, state[1], 0)
+        sums[1] = sums[1] + np.where(follows, state[2], 0)
+        big = big + np.where(follows, state[3], 0.0)
+        high, low = self._even(*sums)
+        return pa.array(big + (high * 2.0 ** -HIGH_BITS + low * 2.0 ** -(HIGH_BITS + LOW_BITS)))
+
+
+def _restarted(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Running sums that begin anew at ``cut``, for values that are not all finite."""
+    return np.concatenate([np.cumsum(part) for part in np.split(values, np.flatnonzero(cut)[1:])])
+
+
+@dataclass(frozen=True)
+class Fold:
+    """State x -> clamp(a*x + b, lo, hi) after each row, from ``start`` (constant per key).
+
+    A state is a level once the key's begin is known, else the four numbers of the composed step.
+    Long keys are cut into lanes that advance side by side: their steps are composed first,
+    combined by doubling, and then replayed from the levels in which they begin.
+    """
+
+    name: str
+    start: str
+    a: str = "a"
+    b: str = "b"
+    lo: str = "lo"
+    hi: str = "hi"
+    sql_type: str = "double"
+
+    def inputs(self):
+        return [self.start, self.a, self.b, self.lo, self.hi]
+
+    def empty(self):
+        return ("steps", (1.0, 0.0, -np.inf, np.inf))
+
+    def _arrays(self, batch):
+        return tuple(_floats(batch, c) for c in (self.a, self.b, self.lo, self.hi))
+
+    def state_after(self, state, batch, s, e, begins):
+        steps = tuple(x[s:e] for x in self._arrays(batch))
+        if begins:
+            state = ("level", float(_floats(batch.slice(s, 1), self.start)[0]))
+        if state[0] == "level":
+            return ("level", float(_replayed(steps, np.array([0]), np.array([state[1]]))[-1]))
+        return ("steps", tuple(float(x) for x in _compose(state[1], tuple(x[-1] for x in _composed(steps, np.array([0]), e - s)))))
+
+    def join(self, earlier, later):
+        if later[0] == "level":
+            return later
+        if earlier[0] == "level":
+            return ("level", float(_apply(later[1], earlier[1])))
+        return ("steps", tuple(float(x) for x in _compose(earlier[1], later[1])))
+
+    def values(self, state, batch, starts, begins):
+        levels = _floats(batch, self.start)[starts].copy()
+        if not begins:
+            levels[0] = state[1]
+        return pa.array(_replayed(self._arrays(batch), starts, levels))
+
+
+def _apply(step, level):
+    a, b, lo, hi = step
+    return np.fmin(hi, np.fmax(lo, a * level + b))
+
+
+def _compose(first, then):
+    """The step of ``first`` followed by ``then``; numbers or arrays."""
+    a, b, lo, hi = first
+    with np.errstate(invalid="ignore"):
+        ends = [np.where(then[0] == 0, then[1], then[0] * end + then[1]) for end in (lo, hi)]
+    ends = [np.fmin(then[3], np.fmax(then[2], end)) for end in ends]
+    return then[0] * a, then[0] * b + then[1], np.fmin(*ends), np.fmax(*ends)
+
+
+def _lanes(starts: np.ndarray, rows: int):
+    """Begins, lengths and owner (key number) of lanes of at most ``LANE_ROWS`` rows, longest first."""
+    lengths = np.diff(np.append(starts, rows))
+    count = -(-lengths // LANE_ROWS)
+    owner = np.repeat(np.arange(len(starts)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    begins = starts[owner] + nth * LANE_ROWS
+    return begins, np.minimum(LANE_ROWS, lengths[owner] - nth * LANE_ROWS), owner, nth
+
+
+def _composed(steps, starts, rows):
+    """The composed step of each lane and of all lanes of its key before it, itself included."""
+    begins, lengths, owner, nth = _lanes(starts, rows)
+    order = np.argsort(-lengths, kind="stable")
+    now = [np.full(len(order), x) for x in (1.0, 0.0, -np.inf, np.inf)]
+    sizes = -np.sort(-lengths)
+    for j in range(int(sizes[0]) if len(sizes) else 0):
+        k = int(np.searchsorted(-sizes, -j, side="left"))
+        at = begins[order[:k]] + j
+        for held, new in zip(now, _compose(tuple(x[:k] for x in now), tuple(x[at] for x in steps))):
+            held[:k] = new
+    lanes = [np.empty(len(order)) for _ in now]
+    for lane, x in zip(lanes, now):
+        lane[order] = x
+    reach = 1
+    while reach <= (int(nth.max()) if len(nth) else 0):  # doubling: what ``reach`` lanes before have come to
+        on = np.flatnonzero(nth >= reach)
+        joined = _compose(tuple(x[on - reach] for x in lanes), tuple(x[on] for x in lanes))
+        for lane, x in zip(lanes, joined):
+            lane[on] = x
+        reach *= 2
+    return tuple(lanes)
+
+
+def _replayed(steps, starts, levels):
+    """The level after each row of keys that begin at ``starts`` with ``levels``."""
+    rows = len(steps[0])
+    begins, lengths, owner, nth = _lanes(starts, rows)
+    now = levels[owner].astype(np.float64)
+    later = np.flatnonzero(nth > 0)
+    if len(later):
+        before = _composed(steps, starts, rows)
+        now[later] = _apply(tuple(x[later - 1] for x in before), now[later])
+    order = np.argsort(-lengths, kind="stable")
+    sizes, now, out = lengths[order], now[order], np.empty(rows)
+    for j in range(int(sizes[0]) if len(sizes) else 0):
+        k = int(np.searchsorted(-sizes, -j, side="left"))
+        at = begins[order[:k]] + j
+        now[:k] = _apply(tuple(x[at] for x in steps), now[:k])
+        out[at] = now[:k]
+    return out
+
+
+# ------------------------------------------------------------------ the scan
+
+def _keys_begin(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Rows at which another key begins, the first row included."""
+    changed = np.zeros(batch.num_rows, bool)
+    changed[:1] = True
+    for key in keys:
+        codes = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        changed[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(changed)
+
+
+def _key_at(batch: pa.RecordBatch, keys: list[str], at: int) -> bytes:
+    return repr([batch.column(k)[at].as_py() for k in keys]).encode()
+
+
+def _last_keys(batches: Iterator[pa.RecordBatch], keys: list[str], steps) -> Iterator[pa.RecordBatch]:
+    """One row for a range: its first and last key, and what the last one has come to in it. If
+    that is its only key, it may begin here or before: ``begun`` holds what it has come to if it
+    begins here, ``state`` else."""
+    first = last = states = begun = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        starts, now = _keys_begin(batch, keys), _key_at(batch, keys, 0)
+        if first is None:
+            first, at = now, batch.column("_range")[0].as_py()
+        if len(starts) > 1 or (last is not None and now != last):
+            states = [step.state_after(step.empty(), batch, int(starts[-1]), n, True) for step in steps]
+            begun = None
+        elif last is None:
+            states, begun = ([step.state_after(step.empty(), batch, 0, n, begins) for step in steps] for begins in (False, True))
+        else:
+            states, begun = ([step.state_after(state, batch, 0, n, False) for step, state in zip(steps, held)] if held else None
+                             for held in (states, begun))
+        last = _key_at(batch, keys, n - 1)
+    if first is not None:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([at], pa.int32()), *[pa.array([x], pa.binary()) for x in (first, last, pickle.dumps(states), pickle.dumps(begun))]],
+            ["_range", "first", "last", "state", "begun"])
+
+
+def _chained(batches: Iterator[pa.RecordBatch], steps) -> Iterator[pa.RecordBatch]:
+    """The state in which the first key of each range enters it, for keys that come from before."""
+    last, states, ranges, entering = None, None, [], []
+    for batch in batches:
+        for at, first, end, own, begun in zip(*(c.to_pylist() for c in batch.columns)):
+            own, begun = pickle.loads(own), pickle.loads(begun)
+            if first == last:
+                ranges.append(at)
+                entering.append(pickle.dumps(states))
+                states = own if begun is None else [s.join(x, y) for s, x, y in zip(steps, states, own)]
+            else:
+                states = begun or own
+            last = end
+    yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(entering, pa.binary())], ["_of", "_enters"])
+
+
+def _valued(batches: Iterator[pa.RecordBatch], keys: list[str], steps, kept: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a range with a column for each step."""
+    last = states = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        starts, first = _keys_begin(batch, keys), _key_at(batch, keys, 0)
+        if last is None and (entering := batch.column("_enters")[0].as_py()) is not None:
+            states = pickle.loads(entering)
+        elif first != last:
+            states = None
+        begins = states is None
+        held = [step.empty() for step in steps] if begins else states
+        added = [step.values(state, batch, starts, begins) for step, state in zip(steps, held)]
+        if len(starts) > 1:
+            held, begins = [step.empty() for step in steps], True
+        states = [step.state_after(state, batch, int(starts[-1]), n, begins) for step, state in zip(steps, held)]
+        last = _key_at(batch, keys, n - 1)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *added], [*batch.schema.names[:kept], *[s.name for s in steps]])
+
+
+def scan(df: DataFrame, keys: list[str], order: str, tie: list[str], steps: list, ranges: int | None = None) -> DataFrame:
+    """``df`` with one column for each of ``steps``, by (order, tie) within ``keys``.
+
+    Null keys are a key, null order values come first, rows that agree in order and tie follow
+    the digest of their other columns. ``ranges`` is the number of parts, by default the width of
+    the session's shuffles; the values do not depend on it (states of a `Fold` to their last
+    bits: exact up to ``LANE_ROWS`` rows of a key).
+    """
+    rest = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    sort = [*keys, order, *tie, "_digest"]
+    kept = len(df.columns)
+    ranged = reliable_checkpoint(
+        df.withColumn("_digest", F.xxhash64(*rest)).repartitionByRange(ranges or shuffle_width(df.sparkSession), *sort)
+        .sortWithinPartitions(*sort).drop("_digest").withColumn("_range", F.spark_partition_id()))
+    needed = dict.fromkeys([*keys, *[c for step in steps for c in step.inputs()]])
+    ends = ranged.select(*needed, "_range").mapInArrow(
+        lambda batches: _last_keys(batches, keys, steps), "_range int, first binary, last binary, state binary, begun binary")
+    enters = ends.repartition(1).sortWithinPartitions("_range").mapInArrow(
+        lambda batches: _chained(batches, steps), "_of int, _enters binary")
+    entered = ranged.join(F.broadcast(enters), F.col("_range") == F.col("_of"), "left").drop("_range", "_of")
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], *[f"`{s.name}` {s.sql_type}" for s in steps]])
+    return entered.mapInArrow(lambda batches: _valued(batches, keys, steps, kept), schema)
+
+
+# ------------------------------------------------------------------ single steps
 
 def row_index(df: DataFrame, keys: list[str], order: str, tie: list[str], name: str = "t",
-              total: str | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+              total: str | None = None, ranges: int | None = None) -> DataFrame:
     """Zero-based position of each row within its key; ``total`` adds the key's row count."""
-    df, sliced = with_cells(df, keys, order, max_rows)
-    if not sliced:
-        by_key = Window.partitionBy(*keys)
-        out = df.withColumn(
-            name, F.row_number().over(by_key.orderBy(order, *tie)).cast("long") - 1)
-        return out.withColumn(total, F.count(F.lit(1)).over(by_key)) if total else out
-    counts = df.groupBy(*keys, CELL).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        *keys, CELL,
-        F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"))
-    inside = Window.partitionBy(*keys, CELL).orderBy(order, *tie)
-    numbered = df.withColumn("_rn", F.row_number().over(inside) - 1)
-    out = _with_carry(numbered, offsets, [*keys, CELL]).withColumn(
-        name, F.col("_rn") + F.col("_before"))
     if total:
-        out = out.withColumnRenamed("_total", total)
-    return out.drop("_rn", "_before", "_total", CELL)
+        counts = df.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.count(F.lit(1)).alias(total))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+        df = df.join(counts, same).drop(*[f"_of_{k}" for k in keys])
+        out = scan(df, keys, order, tie, [Position(name)], ranges)
+        return out.select(*[c for c in out.columns if c not in (name, total)], name, total)
+    return scan(df, keys, order, tie, [Position(name)], ranges)
 
 
 def running_last(df: DataFrame, keys: list[str], order: str, tie: list[str],
-                 values: dict[str, Column], max_rows: int = MAX_ROWS) -> DataFrame:
+                 values: dict[str, Column], ranges: int | None = None) -> DataFrame:
     """Last non-null value so far (this row included) of each expression."""
-    df, sliced = with_cells(df, keys, order, max_rows)
-    group = [*keys, CELL] if sliced else keys
-    running = (Window.partitionBy(*group).orderBy(order, *tie)
-               .rowsBetween(Window.unboundedPreceding, 0))
-    out = df.withColumns({n: F.last(v, ignorenulls=True).over(running) for n, v in values.items()})
-    if not sliced:
-        return out
-    position = F.struct(order, *tie)
-    summary = df.groupBy(*group).agg(
-        *[F.max_by(v, F.when(v.isNotNull(), position)).alias(n) for n, v in values.items()])
-    carried = summary.select(
-        *group, *[F.last(n, ignorenulls=True).over(_earlier(keys)).alias(f"_in_{n}")
-                  for n in values])
-    return (_with_carry(out, carried, group)
-            .withColumns({n: F.coalesce(n, f"_in_{n}") for n in values})
-            .drop(CELL, *[f"_in_{n}" for n in values]))
+    given = df.withColumns({f"_v_{n}": v for n, v in values.items()})
+    types = {n: given.schema[f"_v_{n}"].dataType.simpleString() for n in values}
+    return scan(given, keys, order, tie, [Last(n, f"_v_{n}", types[n]) for n in values], ranges).drop(*[f"_v_{n}" for n in values])
 
 
 def sum_since_reset(df: DataFrame, keys: list[str], order: str, tie: list[str],
-                    amount: str, reset: str, name: str, max_rows: int = MAX_ROWS) -> DataFrame:
+                    amount: str, reset: str, name: str, ranges: int | None = None) -> DataFrame:
     """Running sum of ``amount`` since the last row with ``reset``; zero on that row."""
-    df, sliced = with_cells(df, keys, order, max_rows)
-    group = [*keys, CELL] if sliced else keys
-    step = F.when(F.col(reset), 0.0).otherwise(F.coalesce(F.col(amount), F.lit(0.0)))
-    ordered = Window.partitionBy(*group).orderBy(order, *tie)
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("_epoch", F.sum(F.col(reset).cast("long")).over(so_far))
-    in_epoch = (Window.partitionBy(*group, "_epoch").orderBy(order, *tie)
-                .rowsBetween(Window.unboundedPreceding, 0))
-    out = out.withColumn(name, F.sum(step).over(in_epoch))
-    if not sliced:
-        return out.drop("_epoch")
-    tails = (out.groupBy(*group, "_epoch").agg(F.sum(step).alias("_sum"))
-             .groupBy(*group).agg(F.max("_epoch").alias("_resets"),
-                                  F.max_by("_sum", "_epoch").alias("_tail")))
-    run = tails.withColumn(
-        "_run", F.sum(F.when(F.col("_resets") > 0, 1).otherwise(0)).over(
-            Window.partitionBy(*keys).orderBy(CELL)))
-    ends = run.withColumn("_end", F.sum("_tail").over(
-        Window.partitionBy(*keys, "_run").orderBy(CELL)
-        .rowsBetween(Window.unboundedPreceding, 0)))
-    carried = ends.select(*group, F.coalesce(
-        F.lag("_end").over(Window.partitionBy(*keys).orderBy(CELL)), F.lit(0.0)).alias("_in"))
-    return (_with_carry(out, carried, group)
-            .withColumn(name, F.col(name) + F.when(F.col("_epoch") == 0, F.col("_in")).otherwise(0.0))
-            .drop("_epoch", "_in", CELL))
-
-
-# ------------------------------------------------------------------ clamped affine folds
-# One step of a state is x -> clamp(a*x + b, lo, hi). Such steps compose to a step of
-# the same form, so a cell of rows has a four-number summary and a long
-# series of one key is folded in parallel, exactly.
-
-def _replay(start, a, b, lo, hi):
-    level, out = float(start), []
-    for ai, bi, low, high in zip(a, b, lo, hi):
-        level = min(high, max(low, ai * level + bi))
-        out.append(level)
-    return out
-
-
-def _compose(a, b, lo, hi):
-    ca, cb, clo, chi = 1.0, 0.0, float("-inf"), float("inf")
-    for ai, bi, low, high in zip(a, b, lo, hi):
-        ca, cb = ai * ca, ai * cb + bi
-        ends = (bi, bi) if ai == 0 else (ai * clo + bi, ai * chi + bi)
-        clo, chi = sorted(min(high, max(low, e)) for e in ends)
-    return ca, cb, clo, chi
+    return scan(df, keys, order, tie, [SumSince(name, amount, reset)], ranges)
 
 
 def affine_fold(df: DataFrame, keys: list[str], order: str, tie: list[str], start: str,
-                name: str = "level", max_rows: int = MAX_ROWS) -> DataFrame:
+                name: str = "level", ranges: int | None = None) -> DataFrame:
     """State after each row, for rows that carry step columns ``a, b, lo, hi``.
 
     ``start`` is the column with the initial state of the key (constant per key).
     Output: the input columns plus ``name``.
     """
-    df, sliced = with_cells(df, keys, order, max_rows)
-    if not sliced:
-        return _fold_groups(df, keys, order, tie, start, name)
-    cells = [*keys, CELL]
-    place = f"_{order.lstrip('_')}_cell"  # the cell number, as the order of the summary
-    key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in cells)
-
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, *tie], na_position="first")
-        ca, cb, clo, chi = _compose(pdf["a"].tolist(), pdf["b"].tolist(),
-                                    pdf["lo"].tolist(), pdf["hi"].tolist())
-        row = {k: [pdf[k].iloc[0]] for k in cells}
-        return pd.DataFrame({**row, "a": [ca], "b": [cb], "lo": [clo], "hi": [chi],
-                             "_start": [float(pdf[start].iloc[0])]})
-
-    summary = spread_groups(df, cells).groupBy(*cells).applyInPandas(
-        summarize, f"{key_schema}, a double, b double, lo double, hi double, _start double")
-    # One row per cell, read several times below: computed once, kept in the checkpoint folder.
-    summary = reliable_checkpoint(summary.withColumnRenamed(CELL, place))
-    ends = affine_fold(summary, keys, place, [], "_start", "_end", max_rows)
-    before = Window.partitionBy(*keys).orderBy(place)
-    carried = ends.select(*keys, F.col(place).alias(CELL),
-                          F.coalesce(F.lag("_end").over(before), "_start").alias("_in"))
-    joined = _with_carry(df, carried, cells)
-    return _fold_groups(joined, cells, order, tie, "_in", name).drop("_in", CELL)
-
-
-def _fold_groups(df, group, order, tie, start, name):
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, *tie], na_position="first")
-        return pdf.assign(**{name: _replay(pdf[start].iloc[0], pdf["a"].tolist(),
-                                           pdf["b"].tolist(), pdf["lo"].tolist(),
-                                           pdf["hi"].tolist())})
-
-    return spread_groups(df, group).groupBy(*group).applyInPandas(replay, schema)
+    return scan(df, keys, order, tie, [Fold(name, start)], ranges)

@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from millrace.operators.ordered import (CELL, MAX_ROWS, affine_fold, order_number, row_index,
-                                        running_last, sum_since_reset, with_cells)
-from millrace.session import reliable_checkpoint, spread_groups
+from millrace.operators.ordered import Last, SumSince, affine_fold, order_number, scan, sum_since_reset
 
 # Operating hours behind one unit of each rate basis, and the largest
 # tracking coefficient.
@@ -26,12 +20,12 @@ def step_rate(rate: Column, basis: Column) -> Column:
 
 def wear_index(events: DataFrame, unit: list[str], order: str, tie: list[str], rate: float,
                driver: str, reset: str, basis: str = PER_EVENT, name: str = "wear",
-               max_rows: int = MAX_ROWS) -> DataFrame:
+               ranges: int | None = None) -> DataFrame:
     """Linear wear of each unit: rate x driver summed since the last ``reset`` row,
     limited to [0, 1]. Equals the step-by-step clamped update for drivers >= 0."""
     used = events.withColumn("_use", step_rate(F.lit(float(rate)), F.lit(basis))
                              * F.greatest(F.col(driver).cast("double"), F.lit(0.0)))
-    out = sum_since_reset(used, unit, order, tie, "_use", reset, "_sum", max_rows)
+    out = sum_since_reset(used, unit, order, tie, "_use", reset, "_sum", ranges)
     return out.withColumn(name, F.least(F.lit(1.0), F.col("_sum"))).drop("_use", "_sum")
 
 
@@ -74,10 +68,10 @@ def choose_step(condition: Column, yes: dict[str, Column], no: dict[str, Column]
 
 def fold_states(rows: DataFrame, keys: list[str], order: str, tie: list[str],
                 steps: dict[str, Column], start: Column, name: str = "level",
-                max_rows: int = MAX_ROWS) -> DataFrame:
+                ranges: int | None = None) -> DataFrame:
     """State after each row of each key for affine ``steps``; hot keys fold in parallel."""
     prepared = rows.withColumns({**steps, "_from": start.cast("double")})
-    return affine_fold(prepared, keys, order, tie, "_from", name, max_rows) \
+    return affine_fold(prepared, keys, order, tie, "_from", name, ranges) \
         .drop("a", "b", "lo", "hi", "_from")
 
 
@@ -88,120 +82,11 @@ def merge_maintenance(events: DataFrame, maintenance: DataFrame) -> DataFrame:
             .unionByName(events.withColumn("_kind", F.lit(1)), allowMissingColumns=True))
 
 
-# ------------------------------------------------------------------ non-affine wear
-
-@dataclass(frozen=True)
-class WearRule:
-    """One state whose step is not affine: level += rate * driver * factor(level, other).
-
-    form ``power``: 1 + k*level**p; ``saturating``: (1-level)**p; ``decay``: -(level**p),
-    a state that falls from 1; ``coupled``: 1 + k*other, with ``other`` a state of an
-    earlier rule (its new level) or a later one (its old level).
-    ``restore`` maps a maintenance type to (kind, factor) as in ``restoring_step``.
-    """
-
-    state: str
-    rate: float
-    driver: str
-    form: str = "power"
-    k: float = 0.0
-    p: float = 1.0
-    other: str = ""
-    start: float = 0.0
-    lo: float = 0.0
-    hi: float = 1.0
-    restore: dict = field(default_factory=dict)
-
-    def stepper(self):
-        """(levels, drive) -> new level, with the form resolved once."""
-        name, rate, lo, hi, k, p, other = (self.state, self.rate, self.lo, self.hi, self.k,
-                                           self.p, self.other)
-        factor = {"power": lambda x, levels: 1.0 + k * x ** p,
-                  "saturating": lambda x, levels: max(0.0, 1.0 - x) ** p,
-                  "decay": lambda x, levels: -(x ** p),
-                  "coupled": lambda x, levels: 1.0 + k * levels[other]}[self.form]
-
-        def step(levels, drive):
-            x = levels[name]
-            return min(hi, max(lo, x + rate * drive * factor(x, levels)))
-        return step
-
-    def restored(self, level: float, maintenance: str) -> float:
-        kind, amount = self.restore.get(maintenance, (None, 0.0))
-        if kind == "scale":
-            return level * (1.0 - amount)
-        if kind == "add":
-            return min(1.0, level + amount)
-        return 0.0 if kind == "reset" else level
-
-
-def _run_rules(pdf: pd.DataFrame, levels: dict, rules, maintenance: str) -> pd.DataFrame:
-    drives = [pdf[r.driver].fillna(0.0).tolist() for r in rules]
-    kinds = pdf[maintenance].tolist()
-    serviced = pdf[maintenance].notna().tolist()
-    moves = [(r, r.state, r.stepper(), drive, []) for r, drive in zip(rules, drives)]
-    for i, service in enumerate(serviced):
-        for r, state, step, drive, out in moves:
-            level = r.restored(levels[state], kinds[i]) if service else step(levels, drive[i])
-            levels[state] = level
-            out.append(level)
-    return pdf.assign(**{state: out for _, state, _, _, out in moves})
-
-
-def nonlinear_wear(rows: DataFrame, keys: list[str], order: str, tie: list[str],
-                   rules: list[WearRule], maintenance: str = "maintenance_type",
-                   max_rows: int = MAX_ROWS) -> DataFrame:
-    """Levels of all rules after each row. A row with a maintenance type restores, any
-    other row wears.
-
-    These steps do not compose, so a unit's rows are inherently sequential. Units run
-    in parallel; a unit above ``max_rows`` advances cell by cell: each round folds one
-    time cell of all units from the levels carried out of the round before. A round
-    ends in the checkpoint folder, so a lost executor repeats one cell at most.
-    """
-    states = [T.StructField(r.state, T.DoubleType()) for r in rules]
-    schema = T.StructType([*rows.schema.fields, *states])
-    celled, sliced = with_cells(rows, keys, order, max_rows)
-
-    def from_start(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _run_rules(pdf.sort_values([order, *tie], na_position="first"), {r.state: r.start for r in rules},
-                          rules, maintenance)
-
-    if not sliced:
-        return spread_groups(rows, keys).groupBy(*keys).applyInPandas(from_start, schema)
-
-    def carried(pdf: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame(columns=schema.names)
-        at = {r.state: float(levels[r.state].iloc[0]) if len(levels) else r.start for r in rules}
-        return _run_rules(pdf.sort_values([order, *tie], na_position="first"), at, rules, maintenance)
-
-    names = [r.state for r in rules]
-    cells = [r[0] for r in celled.select(CELL).distinct().orderBy(CELL).collect()]
-    levels, parts = None, []
-    for cell in cells:
-        now = celled.filter(F.col(CELL) == cell).drop(CELL)
-        if levels is None:
-            levels = now.sparkSession.createDataFrame(
-                [], T.StructType([*[rows.schema[k] for k in keys], *states]))
-        done = reliable_checkpoint(now.groupBy(*keys).cogroup(levels.groupBy(*keys))
-                                   .applyInPandas(carried, schema))
-        parts.append(done)
-        newest = done.groupBy(*keys).agg(
-            F.max_by(F.struct(*names), F.struct(order, *tie)).alias("_l")).select(*keys, "_l.*")
-        levels = reliable_checkpoint(
-            levels.join(newest, keys, "left_anti").unionByName(newest))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 # ------------------------------------------------------------------ maintenance due
 
 def maintenance_due(events: DataFrame, unit: list[str], order: str, tie: list[str],
                     rules: list[dict], service: str, first_only: bool = False,
-                    max_rows: int = MAX_ROWS) -> DataFrame:
+                    ranges: int | None = None) -> DataFrame:
     """(input keys, rule): rows where a rule asks for maintenance.
 
     ``service`` is a boolean column of service rows. A rule is a dict with ``rule``,
@@ -209,16 +94,13 @@ def maintenance_due(events: DataFrame, unit: list[str], order: str, tie: list[st
     ``count`` of rows since then, or ``level`` with the ``column`` that must exceed the
     limit. All matches, or only the first in rule order.
     """
-    micros = order_number(events, order)
-    indexed = row_index(events.withColumn("_us", micros), unit, order, tie, "_t",
-                        max_rows=max_rows)
     marked = F.col(service)
-    seen = running_last(
-        indexed, unit, order, tie,
-        {"_since_us": F.when(marked | (F.col("_t") == 0), F.col("_us")),
-         "_since_t": F.when(marked | (F.col("_t") == 0), F.col("_t"))}, max_rows)
+    noted = events.withColumns({"_us": order_number(events, order), "_one": F.lit(1.0)}).withColumn("_mark", F.when(marked, F.col("_us")))
+    seen = scan(noted, unit, order, tie, [
+        Last("_since_us", "_mark", noted.schema["_us"].dataType.simpleString(), first="_us"),
+        SumSince("_since_t", "_one", service, first=True)], ranges)
     hours = (F.col("_us") - F.col("_since_us")) / 3_600_000_000
-    count = F.col("_t") - F.col("_since_t")
+    count = F.col("_since_t")
     tests = []
     for r in rules:
         if r["kind"] == "hours":

@@ -58,7 +58,7 @@ WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER
 p AS (SELECT *, floor(n * 0.2::DOUBLE) AS part FROM r)
 SELECT user_id, 'value' AS metric, n, round(avg(value) FILTER (rn <= part), 6) AS early_mean, round(avg(value) FILTER (rn > n - part), 6) AS late_mean,
   round(stddev_samp(value) FILTER (rn <= part), 6) AS early_std, round(stddev_samp(value) FILTER (rn > n - part), 6) AS late_std
-FROM p WHERE rn <= part OR rn > n - part GROUP BY user_id, n""")
+FROM p GROUP BY user_id, n""")
 def drift_early_late(spark, folder):
     drift = health.drift_early_late(events(spark, folder), UNIT, ORDER, TIE, ["value"])
     return drift.select("user_id", "metric", "n", *[F.round(c, 6).alias(c) for c in (
@@ -331,8 +331,41 @@ def initial_members(spark, folder):
     return members(spark, folder).select("user_id", "member", *[F.round(n, 6).alias(n) for n in NAMES])
 
 
-# Without process noise the states have closed forms, also where they are clamped: the
-# first step clamps the start, and then each state moves one way.
+# Members of an ensemble are the users of a profile, the event type; a member's rows are its steps.
+ENSEMBLE_STRIDE = 3
+_SAMPLES = _WEAR + f""",
+m AS (SELECT event_type, user_id, event_id, wear, CASE WHEN value <= 330 THEN 1 - value / 500 END AS margin,
+        row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) - 1 AS t FROM worn),
+sampled AS (SELECT * FROM m WHERE t >= 1 AND (t - 1) % {ENSEMBLE_STRIDE} = 0)"""
+
+
+def ensemble_samples(spark, folder):
+    rows = wide_states(spark, folder).withColumn("margin", F.when(F.col("value") <= 330, F.col("margin")))
+    placed = row_index(rows.select("event_type", *UNIT, ORDER, *TIE, "wear", "margin"), ["event_type", *UNIT], ORDER, TIE, "t")
+    return estimate.strided(placed, ENSEMBLE_STRIDE)
+
+
+@query("strided_steps", _SAMPLES + " SELECT event_type, user_id, event_id, t, round(wear, 6) AS wear FROM sampled")
+def strided_steps(spark, folder):
+    return ensemble_samples(spark, folder).select("event_type", "user_id", "event_id", "t", F.round("wear", 6).alias("wear"))
+
+
+@query("ensemble_states", _SAMPLES + """
+SELECT event_type, t, 'wear' AS state, round(avg(wear), 6) AS mean, round(stddev_pop(wear), 6) AS std FROM sampled GROUP BY ALL
+UNION ALL SELECT event_type, t, 'margin', round(avg(margin), 6), round(stddev_pop(margin), 6) FROM sampled GROUP BY ALL""")
+def ensemble_states(spark, folder):
+    out = estimate.ensemble_summary(ensemble_samples(spark, folder), ["event_type"], ["wear", "margin"])
+    return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@query("ensemble_health", _SAMPLES + """,
+e AS (SELECT event_type, t, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (0.3::DOUBLE - wear) / 0.3::DOUBLE)) AS worn,
+  CASE WHEN margin IS NOT NULL THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, (margin - 0.4::DOUBLE) / 0.6::DOUBLE)) END AS weak FROM sampled)
+SELECT event_type, t, 'worn' AS event, round(avg(worn), 6) AS health FROM e GROUP BY ALL
+UNION ALL SELECT event_type, t, 'weak', round(avg(weak), 6) FROM e GROUP BY ALL""")
+def ensemble_health(spark, folder):
+    out = estimate.ensemble_health(ensemble_samples(spark, folder), ["event_type"], EVENT_SPECS[:2])
+    return out.withColumn("health", F.round("health", 6))
 
 
 @query("event_times", """

@@ -164,8 +164,8 @@ def test_section_ranges(spark):
             ("a", 3, 0, 4, 11, "four [part 1]"), ("a", 3, 1, 12, 19, "four [part 2]"),
             ("a", 3, 2, 20, 24, "four [part 3]"), ("b", 0, 0, 1, 5, "pages_1_5"), ("b", 1, 0, 6, 7, "pages_6_7"),
             ("c", 0, 0, 1, 5, "pages_1_5")]
-    for max_rows in (10 ** 9, 2):
-        out = sections.section_ranges(starts, docs, max_rows=max_rows).collect()
+    for ranges in (1, 7):
+        out = sections.section_ranges(starts, docs, ranges=ranges).collect()
         assert sorted(tuple(r) for r in out) == want
 
 

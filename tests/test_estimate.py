@@ -1,6 +1,3 @@
-import math
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +6,6 @@ from millrace.operators.estimate import StateSpec
 
 SPECS = [StateSpec("wear", "degradation", 1.0, rate=0.01), StateSpec("fill", "accumulation", 0.2, rate=0.03),
          StateSpec("heat", "tracking", 0.1, rate=0.9, target=0.8), StateSpec("still", "static", 0.5)]
-NAMES = [s.name for s in SPECS]
 
 
 @pytest.fixture(scope="module")
@@ -18,10 +14,6 @@ def members(spark):
     return estimate.initial_members(units, SPECS, members=20).cache()
 
 
-def collect(df):
-    return {(r.unit, r.member, r.t): (r.is_last, *[r[n] for n in NAMES]) for r in df.collect()}
-
-
 def test_members_are_spread_and_repeatable(members):
     again = estimate.initial_members(members.select("unit", "n_steps").distinct().repartition(3),
                                      SPECS, members=20)
@@ -32,39 +24,6 @@ def test_members_are_spread_and_repeatable(members):
     assert abs(many[0]) < 0.5 and 0.6 < many[1] < 1.4
 
 
-def test_slices_equal_one_run(members):
-    whole = collect(estimate.propagate(members, SPECS, ["unit"], stride=50))
-    cut = collect(estimate.propagate(members.repartition(5), SPECS, ["unit"], stride=50,
-                                     steps_per_slice=37))
-    assert whole.keys() == cut.keys()
-    for k, want in whole.items():
-        assert cut[k][0] == want[0]
-        assert cut[k][1:] == pytest.approx(want[1:], abs=1e-9)
-    times = sorted({t for u, m, t in whole if u == 1})
-    assert times == [1, 51, 101, 151, 201, 251, 259]
-    assert not any(u == 2 for u, _, _ in whole)  # a single observation has no step
-
-
-def test_steps_follow_the_rules(members):
-    got = collect(estimate.propagate(members, SPECS, ["unit"], stride=1, noise=0.0))
-    starts = {(r.unit, r.member): r for r in members.collect()}
-    for (unit, member), r in starts.items():
-        x = [r[n] for n in NAMES]
-        for t in range(1, 30 if unit == 3 else 1):
-            x = [min(1.0, max(0.0, x[0] - 0.01)), min(1.0, max(0.0, x[1] + 0.03)),
-                 min(1.0, max(0.0, x[2] + 0.5 * (0.8 - x[2]))), x[3]]
-            assert got[(unit, member, t)][1:] == pytest.approx(x, abs=1e-9)
-
-
-def test_noise_is_normal(members):
-    got = collect(estimate.propagate(members.filter("unit = 1"), SPECS, ["unit"], stride=1, noise=1e-3))
-    steps = [(got[(1, m, t)][4] - got[(1, m, t - 1)][4]) / 1e-3
-             for m in range(20) for t in range(2, 260)]
-    mean = sum(steps) / len(steps)
-    std = math.sqrt(sum((s - mean) ** 2 for s in steps) / len(steps))
-    assert abs(mean) < 0.06 and abs(std - 1) < 0.06
-
-
 def test_summary_uses_population_deviation(spark):
     rows = spark.createDataFrame([(1, 1, 1.0), (1, 1, 3.0), (1, 51, 2.0)],
                                  "unit int, t int, wear double")
@@ -73,33 +32,20 @@ def test_summary_uses_population_deviation(spark):
     assert out == {1: (2.0, 1.0), 51: (2.0, 0.0)}
 
 
-def test_time_of_event_equals_stepping(spark):
-    rng = random.Random(1)
-    rows = [(i, rng.uniform(0.2, 1.0), rng.uniform(0, 1), rng.uniform(0, 1), 0.5) for i in range(60)]
-    frame = spark.createDataFrame(rows, "member int, wear double, fill double, heat double, still double")
-    events = [
-        {"event": "e1", "states": [{"state": "wear", "form": "wearout", "threshold": 0.3}]},
-        {"event": "e2", "states": [{"state": "fill", "form": "limit", "threshold": 0.9}]},
-        {"event": "e3", "states": [{"state": "heat", "form": "limit", "threshold": 0.7}]},
-        {"event": "e4", "states": [{"state": "still", "form": "limit", "threshold": 0.9}]},
-        {"event": "e5", "combine": "all", "states": [
-            {"state": "wear", "form": "wearout", "threshold": 0.3},
-            {"state": "fill", "form": "limit", "threshold": 0.9}]},
-    ]
-    got = {r.member: r for r in frame.select("member", *[
-        estimate.time_of_event(e, SPECS, 500).alias(e["event"]) for e in events]).collect()}
-    for i, w, f, h, s in rows:
-        first = dict.fromkeys(("e1", "e2", "e3", "e4", "e5"))
-        for t in range(501):
-            hit = {"e1": w <= 0.3, "e2": f >= 0.9, "e3": h >= 0.7, "e4": s >= 0.9}
-            hit["e5"] = hit["e1"] and hit["e2"]
-            for e, on in hit.items():
-                if on and first[e] is None:
-                    first[e] = float(t)
-            w, f, h = max(0.0, w - 0.01), min(1.0, f + 0.03), h + 0.5 * (0.8 - h)
-        for e, t in first.items():
-            assert (got[i][e] is None) == (t is None)
-            assert t is None or abs(got[i][e] - t) <= 1e-9, (i, e)
+def test_health_skips_members_without_number(spark):
+    rows = spark.createDataFrame([(1, 1, 0.3, 1.0), (1, 1, None, 0.5), (1, 1, float("nan"), 0.0), (1, 1, 0.0, 1.0), (1, 2, None, None), (2, 1, 0.6, 0.2)],
+                                 "unit int, t int, wear double, margin double")
+    events = [{"event": "worn", "states": [{"state": "wear", "form": "limit", "threshold": 0.6}]},
+              {"event": "weak", "states": [{"state": "margin", "form": "wearout", "threshold": 0.0}]}]
+    out = {(r.unit, r.t, r.event): r.health for r in estimate.ensemble_health(rows, ["unit"], events).collect()}
+    assert out == {(1, 1, "worn"): 0.75, (1, 1, "weak"): 0.625, (1, 2, "worn"): None, (1, 2, "weak"): None,
+                   (2, 1, "worn"): 0.0, (2, 1, "weak"): 0.2}
+
+
+def test_strided_steps(spark):
+    rows = spark.range(25).withColumnRenamed("id", "t")
+    assert [r.t for r in estimate.strided(rows, 10).orderBy("t").collect()] == [1, 11, 21]
+    assert [r.t for r in estimate.strided(rows).collect()] == [1]
 
 
 def test_rul_cases(spark):

@@ -1,7 +1,8 @@
-"""Hot keys are cut into cells; the result must equal the plain plan and a Python loop."""
+"""Rows are cut into ranges; the result must not depend on them and must equal a Python loop."""
 
 import datetime as dt
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,24 +34,17 @@ def by_unit(rows):
     return out
 
 
-@pytest.mark.parametrize("max_rows", [10 ** 9, 20])
-def test_row_index(rows, max_rows):
-    out = ordered.row_index(rows, ["unit"], "ts", ["event"], "t", "n", max_rows).collect()
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_row_index(rows, ranges):
+    out = ordered.row_index(rows, ["unit"], "ts", ["event"], "t", "n", ranges).collect()
     want = {r.event: (i, len(rs)) for rs in by_unit(rows).values() for i, r in enumerate(rs)}
     assert {r.event: (r.t, r.n) for r in out} == want
 
 
-def test_cells_are_bounded(rows):
-    celled, sliced = ordered.with_cells(rows, ["unit"], "ts", 20)
-    assert sliced
-    sizes = celled.groupBy("unit", ordered.CELL).count().agg(F.max("count")).first()[0]
-    assert sizes <= 20
-
-
-@pytest.mark.parametrize("max_rows", [10 ** 9, 15])
-def test_running_last(rows, max_rows):
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_running_last(rows, ranges):
     out = ordered.running_last(rows, ["unit"], "ts", ["event"], {
-        "last": F.when(F.col("kind") == "service", F.col("event"))}, max_rows).collect()
+        "last": F.when(F.col("kind") == "service", F.col("event"))}, ranges).collect()
     want = {}
     for rs in by_unit(rows).values():
         last = None
@@ -60,11 +54,11 @@ def test_running_last(rows, max_rows):
     assert {r.event: r.last for r in out} == want
 
 
-@pytest.mark.parametrize("max_rows", [10 ** 9, 15])
-def test_wear_index_equals_clamped_loop(rows, max_rows):
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_wear_index_equals_clamped_loop(rows, ranges):
     marked = rows.withColumn("service", F.col("kind") == "service")
     out = wear.wear_index(marked, ["unit"], "ts", ["event"], 0.05, "value", "service",
-                          max_rows=max_rows).collect()
+                          ranges=ranges).collect()
     got = {r.event: r.wear for r in out}
     for rs in by_unit(rows).values():
         level = 0.0
@@ -73,13 +67,13 @@ def test_wear_index_equals_clamped_loop(rows, max_rows):
             assert got[r.event] == pytest.approx(level, abs=1e-9)
 
 
-@pytest.mark.parametrize("max_rows", [10 ** 9, 25])
-def test_affine_fold_with_restoration(rows, max_rows):
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_affine_fold_with_restoration(rows, ranges):
     kind = F.col("kind")
     steps = wear.choose_step(
         kind == "use", wear.accelerating_step(F.col("value") * 0.02, 2.0),
         wear.restoring_step(F.when(kind == "service", "scale").otherwise("add"), F.lit(0.4)))
-    out = wear.fold_states(rows, ["unit"], "ts", ["event"], steps, F.lit(0.1), max_rows=max_rows)
+    out = wear.fold_states(rows, ["unit"], "ts", ["event"], steps, F.lit(0.1), ranges=ranges)
     got = {r.event: r.level for r in out.collect()}
     for rs in by_unit(rows).values():
         level = 0.1
@@ -93,11 +87,11 @@ def test_affine_fold_with_restoration(rows, max_rows):
             assert got[r.event] == pytest.approx(level, abs=1e-9)
 
 
-@pytest.mark.parametrize("max_rows", [10 ** 9, 20])
-def test_tracking_cap_and_negative_pull(rows, max_rows):
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_tracking_cap_and_negative_pull(rows, ranges):
     # dt 3 makes the step overshoot (factor 1 - 1.5), which flips the bounds when composed.
     steps = wear.tracking_step(F.lit(0.9), F.col("value"), F.lit(3.0), -1.0, 1.5)
-    out = wear.fold_states(rows, ["unit"], "ts", ["event"], steps, F.lit(0.0), max_rows=max_rows)
+    out = wear.fold_states(rows, ["unit"], "ts", ["event"], steps, F.lit(0.0), ranges=ranges)
     got = {r.event: r.level for r in out.collect()}
     for rs in by_unit(rows).values():
         level = 0.0
@@ -106,43 +100,15 @@ def test_tracking_cap_and_negative_pull(rows, max_rows):
             assert got[r.event] == pytest.approx(level, abs=1e-7)
 
 
-@pytest.mark.parametrize("max_rows", [10 ** 9, 150])
-def test_nonlinear_wear(rows, max_rows):
-    rules = [
-        wear.WearRule("a", 0.02, "value", "power", k=2.0, p=2.0, restore={"service": ("scale", 0.9)}),
-        wear.WearRule("b", 0.05, "value", "saturating", p=1.2, restore={"service": ("reset", 0)}),
-        wear.WearRule("c", 0.05, "value", "coupled", k=3.0, other="a"),
-        wear.WearRule("d", 0.03, "value", "decay", p=0.8, start=1.0, lo=0.3,
-                      restore={"service": ("add", 0.2)}),
-    ]
-    marked = rows.withColumn("maintenance_type",
-                             F.when(F.col("kind") == "service", F.col("kind")))
-    out = wear.nonlinear_wear(marked, ["unit"], "ts", ["event"], rules, max_rows=max_rows)
-    got = {r.event: (r.a, r.b, r.c, r.d) for r in out.collect()}
-    assert len(got) == rows.count()
-    for rs in by_unit(rows).values():
-        a = b = c = 0.0
-        d = 1.0
-        for r in rs:
-            if r.kind == "service":
-                a, b, d = a * (1 - 0.9), 0.0, min(1.0, d + 0.2)
-            else:
-                a = min(1.0, a + 0.02 * r.value * (1 + 2 * a ** 2))
-                b = min(1.0, b + 0.05 * r.value * (1 - b) ** 1.2)
-                c = min(1.0, c + 0.05 * r.value * (1 + 3 * a))
-                d = max(0.3, d - 0.03 * r.value * d ** 0.8)
-            assert got[r.event] == pytest.approx((a, b, c, d), abs=1e-9)
-
-
-@pytest.mark.parametrize("max_rows", [10 ** 9, 20])
+@pytest.mark.parametrize("ranges", [1, 7, 64])
 @pytest.mark.parametrize("first_only", [False, True])
-def test_maintenance_due(rows, max_rows, first_only):
+def test_maintenance_due(rows, ranges, first_only):
     rules = [{"rule": "hours", "kind": "hours", "limit": 1.5},
              {"rule": "count", "kind": "count", "limit": 4},
              {"rule": "level", "kind": "level", "column": "value", "limit": 1.8}]
     marked = rows.withColumn("service", F.col("kind") == "service")
     out = wear.maintenance_due(marked, ["unit"], "ts", ["event"], rules, "service", first_only,
-                               max_rows)
+                               ranges)
     want = set()
     for rs in by_unit(rows).values():
         since_ts, since_i = rs[0].ts, 0
@@ -170,10 +136,83 @@ def test_rows_without_key_or_order_survive(spark):
     df = spark.createDataFrame(data, "unit int, ts int, event int, value double").withColumn(
         "service", F.col("event") % 7 == 0)
     runs = []
-    for max_rows in (10 ** 9, 10):
-        placed = ordered.row_index(df, ["unit"], "ts", ["event"], "t", max_rows=max_rows)
-        worn = wear.wear_index(placed, ["unit"], "ts", ["event"], 0.01, "value", "service", max_rows=max_rows)
+    for ranges in (1, 7, 64):
+        placed = ordered.row_index(df, ["unit"], "ts", ["event"], "t", "n", ranges)
+        worn = wear.wear_index(placed, ["unit"], "ts", ["event"], 0.01, "value", "service", ranges=ranges)
         folded = wear.fold_states(worn, ["unit"], "ts", ["event"], wear.accumulation_step(
-            F.col("value") - 1.5, 3.0), F.lit(1.0), max_rows=max_rows)
-        runs.append({r.event: (r.t, round(r.wear, 9), round(r.level, 9)) for r in folded.collect()})
-    assert len(runs[0]) == 90 and runs[0] == runs[1]
+            F.col("value") - 1.5, 3.0), F.lit(1.0), ranges=ranges)
+        runs.append({r.event: (r.t, r.n, r.wear, r.level) for r in folded.collect()})
+    assert len(runs[0]) == 90 and runs[0] == runs[1] == runs[2]
+    assert sorted(t for t, n, _, _ in runs[0].values() if n == 30) == list(range(30))
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """One unit of 6,000 rows at three times, one of null, and small ones, in two columns of key."""
+    rng = random.Random(8)
+    data = []
+    for i in range(7000):
+        unit = ("hot", 1) if i < 6000 else (None, 2) if i < 6300 else (f"u{i % 40}", None)
+        data.append((*unit, rng.choice([None, 5, 6]), i % 900, rng.random() < 0.01, rng.choice([0.1, 1e-9, 3.7, None, -2.5]), f"x{i}"))
+    rng.shuffle(data)
+    return spark.createDataFrame(data, "a string, b int, ts int, tie int, mark boolean, value double, name string").cache()
+
+
+def in_order(df):
+    out = {}
+    digests = {r.name: r.d for r in df.select("name", F.xxhash64(*df.columns).alias("d")).collect()}
+    for r in sorted(df.collect(), key=lambda r: (r.ts is not None, r.ts or 0, r.tie, digests[r.name])):
+        out.setdefault((r.a, r.b), []).append(r)
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_hot_key_among_equal_times(hot, ranges):
+    df = hot.withColumns({"one": F.lit(1.0), "seen": F.when(F.col("mark"), F.col("name"))})
+    steps = [ordered.Position("t"), ordered.Last("last", "seen", "string", first="name"), ordered.Last("plain", "seen", "string"),
+             ordered.SumSince("total", "value", "mark"), ordered.SumSince("rows", "one", "mark", first=True)]
+    got = {r.name: r for r in ordered.scan(df, ["a", "b"], "ts", ["tie"], steps, ranges).collect()}
+    assert len(got) == 7000
+    for rows in in_order(df).values():
+        total, since, last, plain = Fraction(0), 0, None, None
+        for i, r in enumerate(rows):
+            total = Fraction(0) if r.mark else total + Fraction(r.value or 0.0)
+            since = 0 if r.mark or i == 0 else since + 1
+            last = r.name if r.mark or i == 0 else last
+            plain = r.name if r.mark else plain
+            x = got[r.name]
+            assert (x.t, x.rows, x["last"], x.plain) == (i, since, last, plain)
+            assert x.total == pytest.approx(float(total), abs=1e-12)
+
+
+def test_sums_have_the_same_bits(hot):
+    runs = [{r.name: r.total for r in ordered.sum_since_reset(hot, ["a", "b"], "ts", ["tie"], "value", "mark", "total", n).collect()}
+            for n in (1, 7, 64)]
+    assert runs[0] == runs[1] == runs[2]
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_long_fold_in_lanes(hot, ranges):
+    steps = wear.choose_step(F.col("mark"), wear.restoring_step(F.lit("scale"), F.lit(0.5)),
+                             wear.tracking_step(F.lit(0.3), F.coalesce("value", F.lit(0.0)), F.lit(1.0), -1.0, 3.0))
+    got = {r.name: r.level for r in wear.fold_states(hot, ["a", "b"], "ts", ["tie"], steps, F.lit(0.7), ranges=ranges).collect()}
+    prepared = hot.withColumns({**steps, "_from": F.lit(0.7)})
+    for rows in in_order(prepared).values():
+        level = 0.7
+        for r in rows:
+            level = min(1.0, max(0.0, level * 0.5)) if r.mark else min(3.0, max(-1.0, 0.7 * level + 0.3 * (r.value or 0.0)))
+            assert got[r.name] == pytest.approx(level, abs=1e-9)
+
+
+def test_sums_of_large_and_infinite_amounts(spark):
+    df = spark.createDataFrame([(1, i, v, i == 4) for i, v in enumerate([1e300, 1.0, float("inf"), 2.0, 7.0, 5e12, 0.25])],
+                               "unit int, ts int, value double, mark boolean")
+    for ranges in (1, 3, 7):
+        got = [r.total for r in ordered.sum_since_reset(df, ["unit"], "ts", [], "value", "mark", "total", ranges).orderBy("ts").collect()]
+        assert got == [1e300, 1e300, float("inf"), float("inf"), 0.0, 5e12, 5e12 + 0.25]
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "unit int, ts int, value double, mark boolean")
+    assert ordered.row_index(df, ["unit"], "ts", [], "t", "n").collect() == []
+    assert ordered.sum_since_reset(df, ["unit"], "ts", [], "value", "mark", "s").columns == ["unit", "ts", "value", "mark", "s"]

@@ -54,7 +54,7 @@ def test_model_json(spark, tmp_path):
 
 
 def test_component_specs(spark, tmp_path):
-    from millrace.operators.estimate import component_states, state_rates
+    from millrace.operators.estimate import state_rates
     folder = tmp_path / "press" / "specs"
     folder.mkdir(parents=True)
     write(folder / "filter.json", json.dumps({
@@ -69,8 +69,8 @@ def test_component_specs(spark, tmp_path):
     assert [(r.machine_id, r.component, r.name, r.threshold_states) for r in tables["events"].collect()] == [
         ("press", "filter", "choked", ["condition"])]
     assert sorted((r.direction, r.name) for r in tables["ports"].collect()) == [("input", "air"), ("output", "flow")]
-    specs = component_states(state_rates(tables["states"], tables["parameters"]))
-    assert [(s.name, s.rate, s.drive) for s in specs] == [
+    rated = state_rates(tables["states"], tables["parameters"]).orderBy("pos").collect()
+    assert [(r["name"], r["rate"], r["drive"]) for r in rated] == [
         ("condition", 1 / 8000, 2.0), ("seal", 0.0005, 1.0), ("level", 1e-4, 1.0)]
 
 
