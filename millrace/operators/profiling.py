@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import keywords
+from millrace.operators.ordered import SumSince, scan
 
 CATEGORY_CAP = 20
-MEDIAN_BINS = 4096
+SKETCH_SIZE = 4096
+LARGEST = sys.float_info.max
 _TEXT = (T.StringType,)
 
 
@@ -37,102 +43,110 @@ def _present(field):
     return column
 
 
-def exact_medians(df: DataFrame, values: dict[str, Column],
-                  bins: int = MEDIAN_BINS) -> dict[str, float | None]:
-    """Exact interpolated median of each expression without holding its values.
+def _finite(value: Column) -> Column:
+    return F.when(F.abs(value) < float("inf"), value)
 
-    A histogram search: each pass counts, for all columns at once, the values of the
-    current bracket in ``bins`` equal bins; the bin that holds the middle is the next
-    bracket, until it holds one distinct value. A pass shuffles and collects at most
-    bins x columns counts.
-    """
-    names = list(values)
-    infinity = F.lit(float("inf"))
-    finite = {n: F.when(F.abs(values[n]) < infinity, values[n]) for n in names}
-    stats = df.agg(*[m for i, n in enumerate(names) for m in (
-        F.count(values[n]).alias(f"n{i}"), F.count(finite[n]).alias(f"f{i}"),
-        F.count(F.when(values[n] == -infinity, 1)).alias(f"m{i}"),
-        F.min(finite[n]).alias(f"l{i}"), F.max(finite[n]).alias(f"h{i}"))]).first() if names else {}
-    values = finite  # infinite values are ranks before and after the bracket
-    # Per column: bracket ends and the one or two middle ranks inside it.
-    open_, done = {}, dict.fromkeys(names)
-    for i, n in enumerate(names):
-        count, inside, below = stats[f"n{i}"], stats[f"f{i}"], stats[f"m{i}"]
-        first, second = (count - 1) // 2 - below, count // 2 - below
+
+def _middle_brackets(df: DataFrame, values: dict[str, Column], size: int) -> list[tuple[float, float] | None]:
+    """First pass: two values around the middle of each expression, from a quantile sketch."""
+    around = [0.5 - 4 / size, 0.5 + 4 / size]
+    sketches = df.agg(*[F.kll_sketch_agg_double(_finite(v), F.lit(size)).alias(f"k{i}") for i, v in enumerate(values.values())])
+    ends = sketches.select(*[F.when(F.kll_sketch_get_n_double(f"k{i}") > 0, F.array(*[
+        F.kll_sketch_get_quantile_double(f"k{i}", F.lit(r)) for r in around])) for i in range(len(values))])
+    return [pair and tuple(pair) for pair in ends.first()]
+
+
+def _median_measures(i: int, value: Column, bracket: tuple[float, float] | None) -> list[Column]:
+    """Second pass: counts of all values, of infinite ones, and below and up to the bracket."""
+    low, high = bracket or (0.0, 0.0)
+    return [F.count(value).alias(f"n{i}"), F.count(F.when(value == -float("inf"), 1)).alias(f"m{i}"),
+            F.count(F.when(value == float("inf"), 1)).alias(f"p{i}"),
+            F.count(F.when(value < low, 1)).alias(f"b{i}"), F.count(F.when(value <= high, 1)).alias(f"t{i}")]
+
+
+def _medians(df: DataFrame, values: dict[str, Column], brackets: list, stats) -> dict[str, float | None]:
+    """Third pass: the distinct values inside the brackets with their counts; running counts, from
+    the ordered scan, tell which hold the middle ranks."""
+    done, places, ranks = dict.fromkeys(values), [], []
+    for i, n in enumerate(values):
+        count, below = stats[f"n{i}"], stats[f"m{i}"]
+        inside = count - below - stats[f"p{i}"]
+        first, second = (count - 1) // 2 - below, count // 2 - below  # infinite values are ranks at the ends
         if count and first < 0:
             done[n] = float("nan") if second >= inside and second >= 0 else float("-inf")
         elif count and second >= inside:
             done[n] = float("inf")
         elif count:
-            open_[n] = (stats[f"l{i}"], stats[f"h{i}"], first, second)
-    while True:
-        for n, (low, high, _, _) in list(open_.items()):
+            low, high, before = *(brackets[i] or (LARGEST, LARGEST)), stats[f"b{i}"] - below
+            if not (before <= first and second < stats[f"t{i}"] - below):  # missed by the sketch: look at all
+                low, high, before = -LARGEST, LARGEST, 0
             if low == high:
                 done[n] = low
-                del open_[n]
-        if not open_:
-            return done
-        places = []
-        for n, (low, high, _, _) in open_.items():
-            bin_no = F.least(F.lit(bins - 1), F.floor(
-                (values[n] - low) / F.lit(high - low) * bins).cast("int"))
-            places.append(F.struct(F.lit(names.index(n)).alias("c"), F.when(
-                values[n].between(low, high), bin_no).alias("bin"), values[n].alias("v")))
-        counted: dict[int, list] = {}
-        for row in (df.select(F.inline(F.array(*places))).filter("bin is not null")
-                    .groupBy("c", "bin").agg(F.count(F.lit(1)).alias("n"),
-                                             F.min("v").alias("lo"), F.max("v").alias("hi"))
-                    .orderBy("c", "bin").collect()):
-            counted.setdefault(row["c"], []).append(row)
-        for n, (_, _, first, second) in list(open_.items()):
-            before = 0
-            for row, after in zip(counted[names.index(n)], [*counted[names.index(n)][1:], None]):
-                if first < before + row["n"]:
-                    if second < before + row["n"]:
-                        open_[n] = (row["lo"], row["hi"], first - before, second - before)
-                    else:  # the middle falls between two bins
-                        done[n] = (row["hi"] + after["lo"]) / 2
-                        del open_[n]
-                    break
-                before += row["n"]
+            else:
+                places.append((i, _finite(values[n]), low, high))
+                ranks.append((n, i, first - before, second - before))
+    if not ranks:
+        return done
+    any_inside = reduce(or_, [v.between(low, high) for _, v, low, high in places])
+    structs = F.array(*[F.struct(F.lit(i).alias("c"), F.when(v.between(low, high), v).alias("v")) for i, v, low, high in places])
+    counts = df.filter(any_inside).select(F.inline(structs)).filter("v is not null").groupBy("c", "v").agg(
+        F.count(F.lit(1)).cast("double").alias("n")).withColumn("never", F.lit(False))
+    upto = scan(counts, ["c"], "v", [], [SumSince("upto", "n", "never")])
+    holds = [(F.col("c") == i) & (F.col("upto") > a) & (F.col("upto") - F.col("n") <= b) for _, i, a, b in ranks]
+    middle: dict[int, list] = {}
+    for row in upto.filter(reduce(or_, holds)).select("c", "v").collect():  # one or two rows a column
+        middle.setdefault(row["c"], []).append(row["v"])
+    for n, i, _, _ in ranks:
+        done[n] = middle[i][0] if len(middle[i]) == 1 else sum(v / 2 for v in middle[i])
+    return done
+
+
+def exact_medians(df: DataFrame, values: dict[str, Column], size: int = SKETCH_SIZE) -> dict[str, float | None]:
+    """Exact interpolated median of each expression in three passes.
+
+    A quantile sketch brackets the middle; what lies below the bracket is counted, and only the
+    values inside, about 8 / ``size`` of all, are counted one by one and put in order.
+    """
+    if not values:
+        return {}
+    brackets = _middle_brackets(df, values, size)
+    stats = df.agg(*[m for i, v in enumerate(values.values()) for m in _median_measures(i, v, brackets[i])]).first()
+    return _medians(df, values, brackets, stats)
+
+
+PROFILE = ("field string, dtype string, missing_pct double, min double, max double, "
+           "mean double, std double, median double, unit_hint string")
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per numeric column: missing share, min, max, mean, std, median, unit.
 
-    All columns share one aggregation. Medians come from the histogram search at every
-    size, as the built-in one holds every distinct value of a column in one task.
+    All columns share three passes: sketches of the middle, the aggregates, and the values around
+    the medians. The result is a row per column.
     """
     columns = signal_columns(df) if columns is None else columns
     fields = [f for f in df.schema.fields if f.name in columns
               and isinstance(f.dataType, (T.NumericType, T.BooleanType))]
-    total = F.count(F.lit(1))
+    if not fields:
+        return df.sparkSession.createDataFrame([], PROFILE)
 
     def number(field):
         value = _present(field)
         return (value.cast("int") if isinstance(field.dataType, T.BooleanType)
                 else value).cast("double")
 
-    medians = exact_medians(df, {f.name: number(f) for f in fields})
-    measures = []
-    for i, field in enumerate(fields):
-        value = number(field)
-        median = F.lit(medians[field.name]).cast("double")
-        measures.append(F.struct(
-            F.lit(field.name).alias("field"),
-            F.lit(field.dataType.simpleString()).alias("dtype"),
-            F.round((total - F.count(value)) / total * 100, 2).alias("missing_pct"),
-            F.round(F.min(value), 4).alias("min"), F.round(F.max(value), 4).alias("max"),
-            F.round(F.avg(value), 4).alias("mean"),
-            F.round(F.stddev_samp(value), 4).alias("std"),
-            F.round(median, 4).alias("median"),
-            keywords.unit_hint(F.lit(field.name)).alias("unit_hint")).alias(f"m{i}"))
-    schema = ("field string, dtype string, missing_pct double, min double, max double, "
-              "mean double, std double, median double, unit_hint string")
-    if not measures:
-        return df.sparkSession.createDataFrame([], schema)
-    return df.agg(*measures).select(
-        F.inline(F.array(*[f"m{i}" for i in range(len(fields))])))
+    values = {f.name: number(f) for f in fields}
+    brackets = _middle_brackets(df, values, SKETCH_SIZE)
+    stats = df.agg(F.count(F.lit(1)).alias("rows"), *[m for i, v in enumerate(values.values()) for m in (
+        *_median_measures(i, v, brackets[i]), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
+        F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"))]).first()
+    medians = _medians(df, values, brackets, stats)
+    rows = [(f.name, f.dataType.simpleString(), 100 * (stats["rows"] - stats[f"n{i}"]) / stats["rows"] if stats["rows"] else None,
+             stats[f"lo{i}"], stats[f"hi{i}"], stats[f"a{i}"], stats[f"s{i}"], medians[f.name]) for i, f in enumerate(fields)]
+    measured = df.sparkSession.createDataFrame(rows, PROFILE.rsplit(",", 1)[0])
+    return measured.withColumns({
+        "missing_pct": F.round("missing_pct", 2), **{c: F.round(c, 4) for c in ("min", "max", "mean", "std", "median")},
+        "unit_hint": keywords.unit_hint(F.col("field"))})
 
 
 def categorical_profile(df: DataFrame, order: str, columns: list[str] | None = None,

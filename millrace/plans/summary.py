@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 from millrace.functions import keywords
 from millrace.operators import profiling
 
-PRODUCT_CAP = 1_000
-
 
 def data_summary(events: DataFrame, machine_name: str, order: str,
                  maintenance: DataFrame | None = None, machine_type: str | None = None,
                  type_column: str = "maintenance_type") -> DataFrame:
     """Header, signals, product types and wear signals of one machine.
 
-    Every part is a small aggregate (one row per column, type or product), so the
-    nested row is bounded by the schema, not by the data.
+    Every part is a small aggregate (one row per column, type or product); the nested row
+    holds the product types whole.
     """
     spark = events.sparkSession
     roles = {r["field"]: r["role"] for r in profiling.column_roles(events).collect()}
@@ -57,13 +55,9 @@ def data_summary(events: DataFrame, machine_name: str, order: str,
         place.alias("at"), F.struct(*signals.columns).alias("s")))).alias("_s")).select(
         F.col("_s.s").alias("signals"), one)
 
-    products = profiling.product_types(events, order).limit(PRODUCT_CAP + 1)
-    listed = products.agg(F.array_sort(F.collect_list(F.struct("first_seen", "product")))
-                          .alias("_p")).select(
-        F.when(F.size("_p") <= PRODUCT_CAP, F.col("_p.product").cast("array<string>"))
-        .otherwise(F.raise_error(F.lit(
-            f"more than {PRODUCT_CAP} product types: name the product column differently")))
-        .alias("product_types"), one)
+    listed = profiling.product_types(events, order).agg(
+        F.array_sort(F.collect_list(F.struct("first_seen", "product"))).alias("_p")).select(
+        F.col("_p.product").cast("array<string>").alias("product_types"), one)
 
     has_log = maintenance is not None
     log = maintenance if has_log else spark.createDataFrame([], "maintenance_type string")

@@ -198,6 +198,51 @@ def summary_header(spark, folder):
                           F.size("signals").alias("n_signals"))
 
 
+_NUMERIC_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS field, '{t}' AS dtype, round((count(*) - count({c})) / count(*) * 100, 2) AS missing_pct,
+  round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max, round(avg(CAST({c} AS DOUBLE)), 4) AS mean,
+  round(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std, round(median(CAST({c} AS DOUBLE)), 4) AS median,
+  CAST(NULL AS VARCHAR) AS categories, CAST(NULL AS BIGINT) AS n_unique FROM lineitem""" for c, t in _LINE_TYPES.items())
+_CATEGORY_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}', 'string', (SELECT round(avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 2) FROM lineitem),
+  NULL, NULL, NULL, NULL, NULL, string_agg({c}, ',' ORDER BY seen, {c}), count(*)
+FROM (SELECT {c}, min(l_orderkey) AS seen FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1)""" for c in ("l_returnflag", "l_linestatus"))
+
+
+@query("summary_signals", f"{_NUMERIC_SQL} UNION ALL {_CATEGORY_SQL}")
+def summary_signals(spark, folder):
+    """The nested signals of the data summary, one row each."""
+    from millrace.plans.summary import data_summary
+    summary = data_summary(table(spark, folder, "lineitem"), "line", "l_orderkey")
+    return summary.select(F.inline("signals")).drop("unit_hint").withColumn("categories", F.array_join("categories", ","))
+
+
+@query("summary_lists", """
+WITH w AS (SELECT event_type AS kind, count(*) AS n, min(value) AS lo, max(value) AS hi, sum(value) AS total, count(value) AS seen FROM events GROUP BY 1)
+SELECT 'product' AS list, c_mktsegment AS item, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS mean,
+  CAST(NULL AS VARCHAR) AS types FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'maintenance', kind, NULL, NULL, NULL, NULL FROM w
+UNION ALL SELECT 'wear', 'grinder_wear_before', round(min(lo), 4), round(max(hi), 4), round(sum(total) / sum(seen), 4),
+  string_agg(kind, ',' ORDER BY kind) FROM w WHERE seen > 0""")
+def summary_lists(spark, folder):
+    """Products, maintenance types and wear signals of the data summary, one row each."""
+    from millrace.plans.summary import data_summary
+    customers = table(spark, folder, "customer").withColumnRenamed("c_mktsegment", "product")
+    log = table(spark, folder, "events").select(F.col("event_type").alias("maintenance_type"), F.col("value").alias("grinder_wear_before"))
+    summary = data_summary(customers, "shop", "c_custkey", log)
+    empty, none = F.lit(None).cast("double"), F.lit(None).cast("string")
+
+    def plain(kind, items):
+        return F.transform(items, lambda x: F.struct(
+            F.lit(kind).alias("list"), x.alias("item"), empty.alias("min"), empty.alias("max"), empty.alias("mean"), none.alias("types")))
+
+    rows = [plain("product", "product_types"), plain("maintenance", "maintenance_types")]
+    wear = F.transform("wear_signals", lambda x: F.struct(
+        F.lit("wear").alias("list"), x["signal"].alias("item"), x["min"].alias("min"), x["max"].alias("max"), x["mean"].alias("mean"),
+        F.array_join(x["maintenance_types"], ",").alias("types")))
+    return summary.select(F.inline(F.concat(*rows, wear)))
+
+
 @query("wear_signals", """
 WITH m AS (SELECT event_type AS maintenance_type, value AS grinder_wear_before,
   CASE WHEN event_type IN ('signup', 'error') THEN CAST(json_extract(props, '$.k') AS DOUBLE) END AS scale_buildup_before

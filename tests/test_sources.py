@@ -165,19 +165,23 @@ def test_columns_of_nulls_are_reported(spark):
 
 def test_medians_without_holding_values(spark):
     rng = random.Random(2)
-    for n in (1, 2, 9, 500):
+    for n, size in ((1, 4096), (2, 8), (9, 8), (500, 8), (500, 4096), (20_000, 64)):
         xs = [rng.choice([rng.gauss(0, 1e6), rng.random(), 5.0]) for _ in range(n)]
         df = spark.createDataFrame([(x, -x) for x in xs], "x double, y double")
-        got = profiling.exact_medians(df, {"x": F.col("x"), "y": F.col("y")}, bins=7)
-        want = (sorted(xs)[(n - 1) // 2] + sorted(xs)[n // 2]) / 2
+        got = profiling.exact_medians(df, {"x": F.col("x"), "y": F.col("y")}, size)
+        want = sorted(xs)[(n - 1) // 2] / 2 + sorted(xs)[n // 2] / 2
         assert got == {"x": want, "y": -want}
     df = spark.createDataFrame([(float(i % 7), None) for i in range(50)], "x double, y double")
     x, y = profiling.numeric_profile(df, ["x", "y"]).orderBy("field").collect()
     assert x.median == 3.0 and y.median is None
     inf = float("inf")
-    for xs, want in (([inf, 1.0, 2.0], 2.0), ([-inf, -inf, 4.0], -inf), ([1.0, inf], inf), ([inf], inf), ([-inf, 0.0, 3.0, inf], 1.5)):
-        df = spark.createDataFrame([(v,) for v in xs], "x double")
-        assert profiling.exact_medians(df, {"x": F.col("x")}, bins=3)["x"] == want
+    cases = [([inf, 1.0, 2.0], 2.0), ([-inf, -inf, 4.0], -inf), ([1.0, inf], inf), ([inf], inf), ([-inf, 0.0, 3.0, inf], 1.5),
+             ([-1.5e308, 0.0, 3.0, 1.5e308], 1.5), ([1.7e308, 1.7e308, -1.7e308], 1.7e308), ([1.7e308, 1.6e308], 1.7e308 / 2 + 1.6e308 / 2),
+             ([4.0] * 30, 4.0), ([None, 7.0], 7.0), ([None], None)]
+    frame = spark.createDataFrame([tuple(c[i] if i < len(c) else None for c, _ in cases) for i in range(30)],
+                                  ", ".join(f"x{i} double" for i in range(len(cases))))
+    got = profiling.exact_medians(frame, {f"x{i}": F.col(f"x{i}") for i in range(len(cases))})
+    assert [got[f"x{i}"] for i in range(len(cases))] == [want for _, want in cases]
 
 
 def test_range_audit_edges(spark):
