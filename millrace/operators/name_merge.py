@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+import string
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import add
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.keywords import ANTONYMS, antonym_conflict, antonym_mask
+from millrace.operators.components import star_components
 from millrace.session import reliable_checkpoint, spread_groups
 
 # Fixed values of the similarity rule.
@@ -18,6 +22,7 @@ JACCARD_WEIGHT, RATIO_WEIGHT = 0.6, 0.4
 AUTO_MERGE, REVIEW, CONFIRM = 0.90, 0.55, 0.62
 
 BLOCK_ROWS = 5_000
+LETTERS = string.ascii_lowercase + string.digits + "_"
 
 
 @F.pandas_udf(T.StructType().add("score", "double").add("rounded", "double"))
@@ -28,19 +33,30 @@ def _score(first: pd.Series, second: pd.Series, shared: pd.Series,
     return pd.DataFrame({"score": scores, "rounded": [round(s, 3) for s in scores]})
 
 
-def similar_names(names: DataFrame, least_score: float = CONFIRM,
-                  block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Pairs of names in one scope that reach ``least_score`` (rounded to 3 digits).
-
-    ``names(scope, name, first_run, first_ord)`` holds distinct normalized names.
-    Output ``(scope, name_a, name_b, score, rounded, label)``, a before b in first
-    appearance. No pair is lost: a pair that reaches the score has a Jaccard index of
-    at least t = (least_score - 0.4) / 0.6, hence shares at least t/(1+t) of its
-    tokens. Small names meet on one shared token, all others on their two rarest
-    shared tokens, so a token that a third of all names carry opens no block on its
-    own. Length, Jaccard and antonym limits are part of the join condition; only
-    survivors leave the join and reach the string comparison. Blocks above
-    ``block_rows`` are spread over salted sub-blocks.
+def letter_counts(name: Column) -> Column:
+    """How often each letter occurs, and in the last place all other characters together."""
+    counts = [F.length(name) - F.length(F.replace(name, F.lit(c))) for c in LETTERS]
+    return F.array(*counts, F.length(name) - reduce(add, counts))
+
+
+def ratio_bound(letters_a: Column, letters_b: Column, length_a: Column, length_b: Column) -> Column:
+    """No string ratio can exceed this: matching blocks use each letter as often as both have it."""
+    common = F.aggregate(F.zip_with(letters_a, letters_b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return 2 * common / (length_a + length_b)
+
+
+def candidate_pairs(names: DataFrame, least_score: float = CONFIRM,
+                    block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(scope, name_a, name_b, shared, either, bound): the pairs of names in one scope that can
+    reach ``least_score`` by their shared and all tokens and by the letters they have in
+    common, without antonyms on both sides; a before b in first appearance.
+
+    ``names(scope, name, first_run, first_ord)`` holds distinct normalized names. No pair is
+    lost: a pair that reaches the score has a Jaccard index of at least
+    t = (least_score - 0.4) / 0.6, hence shares at least t/(1+t) of its tokens. Small names meet
+    on one shared token, all others on their two rarest shared tokens, so a token that a third
+    of all names carry opens no block on its own. Blocks above ``block_rows`` are spread
+    over salted sub-blocks.
     """
     floor = least_score - 0.0005  # what still rounds up to the limit
     t = (floor - RATIO_WEIGHT) / JACCARD_WEIGHT
@@ -58,7 +74,7 @@ def similar_names(names: DataFrame, least_score: float = CONFIRM,
                   .select("scope", "name", F.col("_r.token").alias("rare")))
     sized = reliable_checkpoint(
         base.drop("tokens").join(rare_first, ["scope", "name"])
-        .withColumns({"size": F.size("rare"), "mask": antonym_mask(F.col("rare"))}))
+        .withColumns({"size": F.size("rare"), "mask": antonym_mask(F.col("rare")), "letters": letter_counts(F.col("name"))}))
 
     single = F.when(F.col("size") + 1 <= single_limit,
                     F.transform("rare", lambda x: F.array(x))).otherwise(
@@ -93,6 +109,7 @@ def similar_names(names: DataFrame, least_score: float = CONFIRM,
     ).select(F.col("a.scope").alias("scope"), F.col("a.name").alias("name_a"),
              F.col("b.name").alias("name_b"), F.col("a.key").alias("key"),
              (size_a + size_b).alias("sizes"), best_ratio.alias("best_ratio"),
+             F.col("a.letters").alias("letters_a"), F.col("b.letters").alias("letters_b"),
              F.array_intersect("a.rare", "b.rare").alias("shared"))
     n_shared = F.size("shared")
     n_either = F.col("sizes") - n_shared
@@ -102,10 +119,19 @@ def similar_names(names: DataFrame, least_score: float = CONFIRM,
     ).otherwise((n_shared >= 2) & (F.slice("shared", 1, 2) == F.col("key")))
     kept = pairs.filter(own_block & (
         JACCARD_WEIGHT * n_shared / n_either + F.col("best_ratio") >= floor - 1e-9))
-    # Survivors are few bytes but cost a string comparison each.
-    scored = spread_groups(kept, ["scope", "name_a", "name_b"]).select(
-        "scope", "name_a", "name_b",
-        _score(F.col("name_a"), F.col("name_b"), n_shared, n_either).alias("s"))
+    bound = ratio_bound(F.col("letters_a"), F.col("letters_b"), F.length("name_a"), F.length("name_b"))
+    limited = kept.select("scope", "name_a", "name_b", n_shared.alias("shared"), n_either.alias("either"), bound.alias("bound"))
+    return limited.filter(JACCARD_WEIGHT * F.col("shared") / F.col("either") + RATIO_WEIGHT * F.col("bound") >= floor - 1e-9)
+
+
+def similar_names(names: DataFrame, least_score: float = CONFIRM,
+                  block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs of names in one scope that reach ``least_score`` (rounded to 3 digits):
+    ``(scope, name_a, name_b, score, rounded, label)``. Only candidates that can reach it cost
+    a string comparison."""
+    found = spread_groups(candidate_pairs(names, least_score, block_rows), ["scope", "name_a", "name_b"])
+    scored = found.select("scope", "name_a", "name_b",
+                          _score(F.col("name_a"), F.col("name_b"), F.col("shared"), F.col("either")).alias("s"))
     return (scored.select("scope", "name_a", "name_b", "s.score", "s.rounded",
                           F.when(F.col("s.score") >= AUTO_MERGE, "auto_merge")
                           .when(F.col("s.score") >= REVIEW, "review").alias("label"))
@@ -113,36 +139,9 @@ def similar_names(names: DataFrame, least_score: float = CONFIRM,
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(scope, name, label): the smallest name of each component, for names with an edge.
-
-    Minimum labels spread along edges and through labels (pointer jumping), so a
-    chain of length n needs about log n rounds. Each round is two aggregated joins;
-    its result goes to the checkpoint folder, which bounds the plan and survives
-    the loss of executors.
-    """
-    forward = F.struct(F.col("name_a").alias("u"), F.col("name_b").alias("v"))
-    backward = F.struct(F.col("name_b").alias("u"), F.col("name_a").alias("v"))
-    links = reliable_checkpoint(
-        edges.select("scope", F.inline(F.array(forward, backward))).distinct())
-    labels = reliable_checkpoint(
-        links.groupBy("scope", F.col("u").alias("name"))
-        .agg(F.least(F.first("u"), F.min("v")).alias("label")))
-    while True:
-        around = (links.join(labels.select("scope", F.col("name").alias("v"), "label"),
-                             ["scope", "v"])
-                  .groupBy("scope", F.col("u").alias("name"))
-                  .agg(F.min("label").alias("near")))
-        lower = labels.join(around, ["scope", "name"]).select(
-            "scope", "name", F.col("label").alias("old"),
-            F.least("label", "near").alias("label"))
-        jump = labels.select("scope", F.col("name").alias("label"), F.col("label").alias("far"))
-        moved = reliable_checkpoint(
-            lower.join(jump, ["scope", "label"], "left").select(
-                "scope", "name", "old",
-                F.least("label", F.coalesce("far", "label")).alias("label")))
-        labels = moved.drop("old")
-        if moved.filter("label <> old").isEmpty():
-            return labels
+    """(scope, name, label): the smallest name of each component, for names with an edge."""
+    return star_components(edges, ["scope"], "name_a", "name_b").select(
+        "scope", F.col("node").alias("name"), F.col("root").alias("label"))
 
 
 def merge_names(counts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import normalize_name, normalize_text, parse_range, range_midpoint
 from millrace.operators import contract, name_merge
+from millrace.operators.components import star_components
 from millrace.plans.registry import query, table
 
 _NAME_SQL = ("trim(regexp_replace(regexp_replace(regexp_replace(trim(lower({0})), '[\\s\\-]+', '_', 'g'),"
@@ -150,6 +151,53 @@ def _merge(spark, folder):
     return fields, name_merge.merge_names(counts, name_merge.similar_names(counts))
 
 
+_MARKED = "CASE p_size % 6 WHEN 0 THEN ' min' WHEN 1 THEN ' max' WHEN 2 THEN ' before start' WHEN 3 THEN ' after stop' ELSE '' END"
+_LETTERS = ", ".join(f"'{c}'" for c in name_merge.LETTERS)
+_FLOOR = f"{name_merge.CONFIRM}::DOUBLE - 0.0005::DOUBLE - 1e-9::DOUBLE"
+_CONFLICT = " OR ".join(
+    f"(len(list_intersect(a.toks, {g})) > 0 AND len(list_intersect(b.toks, {g})) > 0 "
+    f"AND list_sort(list_intersect(a.toks, {g})) <> list_sort(list_intersect(b.toks, {g})))"
+    for g in ("[" + ", ".join(f"'{w}'" for w in group) + "]" for group in name_merge.ANTONYMS))
+
+
+@query("name_candidates", f"""
+WITH f AS (SELECT p_brand AS scope, p_size::BIGINT * 1000000000 + p_partkey AS seen, {name_sql(f"p_type || ' ' || p_name || ({_MARKED})")} AS name FROM part),
+n AS (SELECT scope, name, min(seen) AS seen, list_distinct(string_split(name, '_')) AS toks FROM f GROUP BY ALL),
+p AS (SELECT a.scope, a.name AS name_a, b.name AS name_b, len(list_intersect(a.toks, b.toks)) AS shared,
+  len(list_distinct(list_concat(a.toks, b.toks))) AS either,
+  2.0::DOUBLE * list_sum([least(len(a.name) - len(replace(a.name, c, '')), len(b.name) - len(replace(b.name, c, ''))) FOR c IN [{_LETTERS}]])
+    / (len(a.name) + len(b.name)) AS bound
+  FROM n a JOIN n b ON a.scope = b.scope AND a.seen < b.seen WHERE NOT ({_CONFLICT}))
+SELECT scope, name_a, name_b, CAST(shared AS INTEGER) AS shared, CAST(either AS INTEGER) AS either, round(bound, 6) AS bound FROM p
+WHERE shared > 0 AND 0.6::DOUBLE * shared / either + 0.4::DOUBLE * bound >= {_FLOOR}""")
+def name_candidates(spark, folder):
+    """Pairs of names that can still be similar, with opposites kept apart."""
+    field = F.concat("p_type", F.lit(" "), "p_name", F.expr(_MARKED))
+    names = table(spark, folder, "part").select("p_brand", "p_size", "p_partkey", normalize_name(field).alias("name")) \
+        .groupBy(F.col("p_brand").alias("scope"), "name").agg(F.min(F.struct("p_size", "p_partkey")).alias("seen")) \
+        .select("scope", "name", F.col("seen.p_size").alias("first_run"), F.col("seen.p_partkey").alias("first_ord"))
+    return name_merge.candidate_pairs(names).withColumn("bound", F.round("bound", 6))
+
+
+# An order hangs together with its month and its priority, within its customer.
+_ORDER_ENDS = """SELECT o_custkey AS scope, 'order ' || lpad(o_orderkey::VARCHAR, 12, '0') AS a, 'month ' || strftime(o_orderdate, '%Y-%m') AS b FROM orders
+  UNION SELECT o_custkey, 'order ' || lpad(o_orderkey::VARCHAR, 12, '0'), 'state ' || o_orderstatus || ' ' || o_orderpriority FROM orders"""
+
+
+@query("order_components", f"""
+WITH RECURSIVE e AS ({_ORDER_ENDS}), two AS (SELECT scope, a, b FROM e UNION SELECT scope, b, a FROM e),
+reach AS (SELECT DISTINCT scope, a AS node, a AS seen FROM two
+  UNION SELECT r.scope, r.node, x.b FROM reach r JOIN two x ON x.scope = r.scope AND x.a = r.seen)
+SELECT scope, node, min(seen) AS root FROM reach GROUP BY ALL""")
+def order_components(spark, folder):
+    """Components of a table's own links: orders of a customer with a month or a kind in common."""
+    order = F.concat(F.lit("order "), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    links = table(spark, folder, "orders").select(F.col("o_custkey").alias("scope"), F.inline(F.array(
+        F.struct(order.alias("a"), F.concat(F.lit("month "), F.date_format("o_orderdate", "yyyy-MM")).alias("b")),
+        F.struct(order.alias("a"), F.concat_ws(" ", F.lit("state"), "o_orderstatus", "o_orderpriority").alias("b")))))
+    return star_components(links, ["scope"], "a", "b")
+
+
 @query("field_pairs")
 def field_pairs(spark, folder):
     counts = contract.field_counts(contract.dedupe_fields(named_fields(spark, folder)))

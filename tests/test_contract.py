@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from millrace.operators import contract, name_merge
+from millrace.operators import components, contract, name_merge
 
 # Field names with the number of runs that saw them, in order of first appearance
 # (recorded result for a coffee machine), and the groups they merge into.
@@ -67,6 +67,28 @@ def test_components_equal_union_find(spark):
     assert labels == {x: find(x) for x in parent}
 
 
+def test_long_chain_in_few_rounds(spark, monkeypatch):
+    rounds, plain = [], components.reliable_checkpoint
+    monkeypatch.setattr(components, "reliable_checkpoint", lambda df: rounds.append(1) or plain(df))
+    order = list(range(2000))
+    random.Random(3).shuffle(order)
+    for nodes in (list(range(2000)), order):
+        rounds.clear()
+        edges = spark.createDataFrame([(i % 1, a, b) for i, (a, b) in enumerate(zip(nodes, nodes[1:]))] + [(1, 7, 9), (1, 5, 5)], "s int, a int, b int")
+        found = components.star_components(edges, ["s"], "a", "b").collect()
+        assert sorted((r.s, r.node, r.root) for r in found) == [(0, i, 0) for i in range(2000)] + [(1, 7, 7), (1, 9, 7)]
+        assert len(rounds) <= 15, len(rounds)
+    assert components.star_components(edges.filter("false"), ["s"], "a", "b").count() == 0
+
+
+def test_ratio_bound_is_a_bound(spark):
+    names = _random_names(9, 60) + ["x9_é", "é_9", "", "_"]
+    df = spark.createDataFrame([(a, b) for a in names for b in names[:20]], "a string, b string").filter("a <> '' or b <> ''")
+    bound = name_merge.ratio_bound(*[name_merge.letter_counts(F.col(c)) for c in "ab"], F.length("a"), F.length("b"))
+    for r in df.select("a", "b", bound.alias("bound")).collect():
+        assert SequenceMatcher(None, r.a, r.b).ratio() <= r.bound + 1e-12
+
+
 def test_canonical_and_conflict(spark):
     counts = spark.createDataFrame(
         [("m", "temp_min", 1, 0, 0), ("m", "temp", 3, 0, 1), ("m", "temp_max", 3, 0, 2),
