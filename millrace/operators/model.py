@@ -137,18 +137,19 @@ def audit_model(model: DataFrame, physics: DataFrame, flows: DataFrame) -> DataF
     blank = F.lit("")
     unmatched = listed(model.filter(~F.col("has_physics")), "issue",
                        "component without physics", blank)
-    orphans = listed(physics.join(model.select(*KEY), KEY, "left_anti"),
-                     "issue", "physics without component", blank)
     path = F.concat(F.lit("flow "), F.coalesce("substance", F.lit("?")))
     unitless = listed(flows.filter(_blank(F.col("unit"))).withColumn("component", path),
                       "issue", "flow signal without unit", F.col("signal_name"))
-    ends = (flows.select("machine_id", "substance", F.explode(F.array("src", "dst")).alias("component"))
-            .filter(~_blank(F.col("component")) & (F.col("component") != "external"))
-            .join(model.select(*KEY), KEY, "left_anti"))
-    unknown = listed(ends.withColumn("_end", F.col("component")).withColumn("component", path),
-                     "warning", "unknown flow endpoint", F.col("_end"))
-    return (own.unionByName(unmatched).unionByName(orphans)
-            .unionByName(unitless).unionByName(unknown))
+    # Whatever must name a component meets the components once: records, and ends of flows.
+    named = physics.select(*KEY, F.struct(
+        F.col("component").alias("component"), F.lit("issue").alias("severity"),
+        F.lit("physics without component").alias("rule"), blank.alias("detail")).alias("f"))
+    ends = flows.select("machine_id", F.explode(F.array("src", "dst")).alias("component"), path.alias("_path")).filter(
+        ~_blank(F.col("component")) & (F.col("component") != "external")).select(*KEY, F.struct(
+            F.col("_path").alias("component"), F.lit("warning").alias("severity"),
+            F.lit("unknown flow endpoint").alias("rule"), F.col("component").alias("detail")).alias("f"))
+    unknown = named.unionByName(ends).join(model.select(*KEY), KEY, "left_anti").select("machine_id", "f.*")
+    return own.unionByName(unmatched).unionByName(unitless).unionByName(unknown)
 
 
 def coverage(model: DataFrame) -> DataFrame:
@@ -235,15 +236,14 @@ def unknown_includes(triage: DataFrame, overrides: DataFrame) -> DataFrame:
 def port_lock(triaged: DataFrame, specified: DataFrame) -> DataFrame:
     """(machine_id, component, direction, name, problem): ports on one side only."""
     on = [*KEY, "direction", "name"]
-    a = triaged.select(*on).distinct().withColumn("_a", F.lit(True))
-    b = specified.select(*on).distinct().withColumn("_b", F.lit(True))
-    # A component without a specification at all is not compared.
-    both = (triaged.select(*KEY).distinct()
-            .join(specified.select(*KEY).distinct(), KEY, "left_semi"))
-    diff = a.join(b, on, "full_outer").filter("_a is null or _b is null")
-    problem = F.when(F.col("_b").isNull(), F.concat("direction", F.lit(" missing from spec"))) \
+    sides = triaged.select(*on, F.lit(1).alias("side")).unionByName(specified.select(*on, F.lit(2).alias("side")))
+    # 1, 2 or 3: where the port is; the same for its component, as each shuffle holds narrow rows
+    ports = sides.groupBy(*on).agg(F.bit_or("side").alias("port"))
+    both = sides.groupBy(*KEY).agg(F.bit_or("side").alias("known")).filter("known = 3")
+    problem = F.when(F.col("port") == 1, F.concat("direction", F.lit(" missing from spec"))) \
         .otherwise(F.concat(F.lit("extra "), "direction", F.lit(" in spec")))
-    return diff.join(both, KEY, "left_semi").select(*on, problem.alias("problem"))
+    # A component without a specification at all is not compared.
+    return ports.filter("port <> 3").join(both, KEY, "left_semi").select(*on, problem.alias("problem"))
 
 
 def missing_members(expected: DataFrame, actual: DataFrame, value: str = "value") -> DataFrame:

@@ -10,28 +10,27 @@ from millrace.functions.text import range_midpoint
 PORT = ["machine_id", "component", "name"]
 
 
-def port_owner(ports: DataFrame, direction: str) -> DataFrame:
-    """(machine_id, name, owner): one component per port name, the last one wins."""
-    return (ports.filter(F.col("direction") == direction).groupBy("machine_id", "name")
-            .agg(F.max_by("component", "ord").alias("owner")))
-
-
 def propose_connections(flows: DataFrame, ports: DataFrame) -> DataFrame:
     """Each flow signal with its proposed source and target, or why there is none.
 
     ``ports(machine_id, component, ord, direction, name)``. Output: ``machine_id,
     signal_name, source, target, reason``; ``reason`` is null for a connection.
     """
-    source = port_owner(ports, "output").select(
-        "machine_id", F.col("name").alias("signal_name"), F.col("owner").alias("source"))
-    target = port_owner(ports, "input").select(
-        "machine_id", F.col("name").alias("signal_name"), F.col("owner").alias("target"))
     on = ["machine_id", "signal_name"]
-    # Distinct signals first: many flow paths repeat one signal.
-    return (flows.select(*on).distinct().join(source, on, "left").join(target, on, "left")
-            .withColumn("reason", F.when(F.col("source").isNull(), "no source")
-                        .when(F.col("target").isNull(), "no target")
-                        .when(F.col("source") == F.col("target"), "same component")))
+
+    def owner(direction):  # the last port of that direction wins
+        return F.max(F.when(F.col("direction") == direction, F.struct("ord", "component"))).alias(direction)
+
+    # Flow signals and ports are rows of one table: one aggregation tells who has what.
+    wanted = flows.select(*on, F.lit(True).alias("flow"))
+    offered = ports.filter("machine_id is not null and name is not null").select(
+        "machine_id", F.col("name").alias("signal_name"), "direction", "ord", "component")
+    met = wanted.unionByName(offered, allowMissingColumns=True).groupBy(*on).agg(
+        F.max("flow").alias("flow"), owner("output"), owner("input")).filter("flow")
+    source, target = F.col("output.component"), F.col("input.component")
+    return met.select(*on, source.alias("source"), target.alias("target"),
+                      F.when(source.isNull(), "no source").when(target.isNull(), "no target")
+                      .when(source == target, "same component").alias("reason"))
 
 
 def connections(proposed: DataFrame) -> DataFrame:
@@ -48,7 +47,7 @@ def skipped_signals(flows: DataFrame, proposed: DataFrame) -> DataFrame:
 def open_inputs(ports: DataFrame, edges: DataFrame) -> DataFrame:
     """Input ports that no connection feeds."""
     fed = edges.select("machine_id", F.col("target").alias("component"),
-                       F.col("signal_name").alias("name"))
+                       F.col("signal_name").alias("name")).distinct()
     return ports.filter("direction = 'input'").join(fed, PORT, "left_anti")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import model, wiring
 from millrace.plans.registry import query, table
+from millrace.session import reliable_checkpoint
 
 LINES = """one AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, max(l_quantity) AS l_quantity,
   min(l_discount) AS l_discount, max(l_tax) AS l_tax, min(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus
@@ -18,18 +19,19 @@ lines AS (SELECT l_orderkey AS machine_id, l_linenumber AS n, 'unit_' || l_linen
 def lines(spark, folder):
     """One component per (order, line number): a position listed twice is one component
     with the extreme values of its rows. Letters are folded as numbers, so the whole
-    aggregation is fixed-width and combines before the shuffle."""
+    aggregation is fixed-width and combines before the shuffle. Every table below is read from
+    these rows, so they are worked out once and kept in the checkpoint folder."""
     items, parts = table(spark, folder, "lineitem"), table(spark, folder, "part")
     one = items.groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("l_partkey"), F.max("l_quantity").alias("l_quantity"),
         F.min("l_discount").alias("l_discount"), F.max("l_tax").alias("l_tax"),
         F.char(F.min(F.ascii("l_returnflag"))).alias("l_returnflag"),
         F.char(F.max(F.ascii("l_linestatus"))).alias("l_linestatus"))
-    return one.join(parts, one["l_partkey"] == parts["p_partkey"]).select(
+    return reliable_checkpoint(one.join(parts, one["l_partkey"] == parts["p_partkey"]).select(
         F.col("l_orderkey").alias("machine_id"), F.col("l_linenumber").alias("n"),
         F.concat(F.lit("unit_"), F.col("l_linenumber").cast("string")).alias("component"),
         F.lower("p_type").alias("kind"), "l_quantity", "l_discount", "l_tax", "l_returnflag",
-        "l_linestatus", "p_size")
+        "l_linestatus", "p_size"))
 
 
 def quantity():
