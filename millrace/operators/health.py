@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions.numeric import clip
 from millrace.operators.ordered import row_index
-from millrace.session import collect_metadata
 
 # Upper ends of the vibration severity bands (mm/s).
 SEVERITY_BANDS = ((1.8, "smooth"), (5.4, "acceptable"), (10.7, "rough"))
@@ -87,9 +86,8 @@ def event_health(states: DataFrame, specs: list[dict], keys: list[str]) -> DataF
 def derived_outputs(states: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """The rows with one column per output rule ``(output, sql)`` over the states.
 
-    The rule table is model metadata (tens of rows per component model)."""
-    pairs = [(r["output"], r["sql"]) for r in
-             collect_metadata(rules.select("output", "sql").orderBy("output"), "the output rules")]
+    Every rule becomes a column, so the rules are as many as the result is wide."""
+    pairs = [(r["output"], r["sql"]) for r in rules.select("output", "sql").orderBy("output").collect()]
     return states.select(*keys, *[F.expr(sql).alias(name) for name, sql in pairs])
 
 

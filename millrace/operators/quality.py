@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import parse_range
-from millrace.session import collect_metadata
+from millrace.session import reliable_checkpoint
+
+REPORT = "field string, typical_range string, observed_min double, observed_max double, out_of_range_pct double"
 
 
 def column_catalog(df: DataFrame) -> DataFrame:
@@ -48,11 +50,12 @@ def null_rule_violations(df: DataFrame, rules: DataFrame, type_column: str,
                          keys: list[str]) -> DataFrame:
     """Values present where the rule for the row's operation type wants null.
 
-    ``rules(operation_type, field)`` is a contract-sized table. Zero is a violation.
+    ``rules(operation_type, field)`` may be of any size: only the columns that some rule names are
+    turned to rows, and meet the rules by type and field. Zero is a violation.
     """
     rules = rules.select("operation_type", "field").distinct()
-    pairs = collect_metadata(rules, "the null rules")
-    fields = [c for c in df.columns if any(r["field"] == c for r in pairs)]
+    ruled = column_catalog(df).join(rules.select("field").distinct(), "field", "left_semi")
+    fields = [r["field"] for r in ruled.orderBy("ord").collect()]  # columns of the table at most
     if not fields:
         return df.select(*keys, F.lit("").alias("field"), F.lit("").alias("value")).limit(0)
     long = df.select(*keys, F.col(type_column).alias("operation_type"),
@@ -60,50 +63,45 @@ def null_rule_violations(df: DataFrame, rules: DataFrame, type_column: str,
                                                  F.col(f"`{f}`").cast("string").alias("value"))
                                         for f in fields])))
     return (long.filter(F.col("value").isNotNull())
-            .join(F.broadcast(rules), ["operation_type", "field"])
+            .join(rules, ["operation_type", "field"])
             .select(*keys, "operation_type", "field", "value"))
 
 
 def range_audit(df: DataFrame, contract: DataFrame) -> DataFrame:
-    """Share of values outside each field's stated range.
+    """Share of values outside each field's stated range, largest first, ties in contract order.
 
-    Only contract fields that exist, are numeric (booleans count as 0/1) and have a
-    readable ``lo-hi`` range. All fields are measured in one pass: the contract is a
-    metadata table, so its parsed bounds become literals of a single aggregation.
+    Only contract fields that exist, are numeric (booleans count as 0/1), hold a value and have a
+    readable ``lo-hi`` range. Contract rows are data: the numeric columns that they name become
+    rows once, meet the bounds by field, and one aggregation measures all.
     """
-    parsed = collect_metadata(
-        contract.select("field_name", "typical_range", "ord",
-                        parse_range(F.col("typical_range")).alias("r"))
-        .filter("r is not null").orderBy("ord")
-        .select("field_name", "typical_range", "r.lo", "r.hi"), "the field contract")
-    types = {f.name: f.dataType for f in df.schema.fields}
-    schema = ("field string, typical_range string, observed_min double, observed_max double, "
-              "out_of_range_pct double")
-    wanted = [r for r in parsed
-              if isinstance(types.get(r["field_name"]), (T.NumericType, T.BooleanType))]
-    if not wanted:
-        return df.sparkSession.createDataFrame([], schema)
-
-    measures = []
-    for i, row in enumerate(wanted):
-        dtype = types[row["field_name"]]
-        column = F.col(f"`{row['field_name']}`")
-        if isinstance(dtype, T.BooleanType):
-            column = column.cast("int")
-        column = column.cast("double")
-        value = F.when(~F.isnan(column), column)
-        outside = (value < F.lit(row["lo"])) | (value > F.lit(row["hi"]))
-        measures.append(F.struct(
-            F.lit(row["field_name"]).alias("field"),
-            F.lit(row["typical_range"]).alias("typical_range"),
-            F.round(F.min(value), 4).alias("observed_min"),
-            F.round(F.max(value), 4).alias("observed_max"),
-            F.round(F.avg(outside.cast("double")), 4).alias("out_of_range_pct"),
-        ).alias(f"m{i}"))
-    return (df.agg(*measures)
-            .select(F.inline(F.array(*[f"m{i}" for i in range(len(wanted))])))
-            .filter(F.col("observed_min").isNotNull())
-            .orderBy(F.desc("out_of_range_pct"), "field"))
+    numeric = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))}
+    # Texts are parsed once; fields travel as the numbers of their columns.
+    bounds = reliable_checkpoint(
+        contract.select("ord", F.col("field_name").alias("field"), "typical_range", parse_range(F.col("typical_range")).alias("r"))
+        .filter("r is not null").join(column_catalog(df).select(F.col("ord").alias("c"), "field"), "field")
+        .select("c", "ord", "field", "typical_range", "r.lo", "r.hi"))
+    named = [r["c"] for r in bounds.select("c").distinct().collect()]  # columns of the table at most
+
+    def value(c):
+        name = df.columns[c]
+        column = F.col(f"`{name}`")
+        column = (column.cast("int") if isinstance(numeric[name], T.BooleanType) else column).cast("double")
+        return F.when(~F.isnan(column), column)
+
+    found = [F.struct(F.lit(c).alias("c"), value(c).alias("value")) for c in named if df.columns[c] in numeric]
+    if not found:
+        return df.sparkSession.createDataFrame([], REPORT)
+    long = df.select(F.inline(F.array(*found))).filter("value is not null")
+    outside = (F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))
+    limits = ["c", "ord", "lo", "hi"]
+    measured = long.join(bounds.select(*limits).distinct(), "c").groupBy(*limits).agg(
+        F.round(F.min("value"), 4).alias("observed_min"), F.round(F.max("value"), 4).alias("observed_max"),
+        F.round(F.avg(outside.cast("double")), 4).alias("out_of_range_pct")).withColumnsRenamed({n: f"_{n}" for n in limits})
+    same = F.lit(True)
+    for name in limits:
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    return bounds.join(measured, same).orderBy(F.desc("out_of_range_pct"), "ord", "field").select(
+        "field", "typical_range", "observed_min", "observed_max", "out_of_range_pct")
 
 
 def worst_fields(report: DataFrame, measure: str, above: float, top: int = 5) -> DataFrame:

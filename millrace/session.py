@@ -67,14 +67,3 @@ def read_table(spark: SparkSession, path: str, heavy: bool = False) -> DataFrame
     if heavy and df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
-
-
-def collect_metadata(df: DataFrame, what: str, most: int = 20_000) -> list:
-    """Rows of a metadata table (contract, rules, ports) that become part of the plan.
-
-    Fails above ``most`` rows instead of using a part of the table.
-    """
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{what} has more than {most} rows")
-    return rows

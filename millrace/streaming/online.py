@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.text import parse_range
 from millrace.operators.health import threshold_alarms
-from millrace.session import collect_metadata
+from millrace.operators.quality import column_catalog
 
 
 def alarm_stream(events: DataFrame, rules: list[dict]) -> DataFrame:
@@ -27,17 +27,15 @@ def range_counts(events: DataFrame, contract: DataFrame, ts: str, window: str =
                  late: str = "2 hours") -> DataFrame:
     """(window, field, n, outside) per tumbling window; rows later than ``late`` are
     dropped by the watermark. ``contract`` is a static table of field ranges."""
-    bounds = collect_metadata(
-        contract.select("field_name", parse_range(F.col("typical_range")).alias("r"))
-        .filter("r is not null").select("field_name", "r.lo", "r.hi"), "the contract")
-    fields = [r for r in bounds if r["field_name"] in events.columns]
-    if not fields:
+    bounds = contract.select(F.col("field_name").alias("field"), parse_range(F.col("typical_range")).alias("r")) \
+        .filter("r is not null").select("field", "r.lo", "r.hi")
+    named = column_catalog(events).join(bounds.select("field").distinct(), "field", "left_semi").collect()  # columns at most
+    if not named:
         raise ValueError("no contract field with a readable range is in the stream")
-    checks = [F.struct(
-        F.lit(r["field_name"]).alias("field"), F.col(r["field_name"]).cast("double").alias("value"),
-        F.lit(r["lo"]).alias("lo"), F.lit(r["hi"]).alias("hi")) for r in fields]
+    values = [F.struct(F.lit(r["field"]).alias("field"), F.col(f"`{r['field']}`").cast("double").alias("value")) for r in named]
     long = (events.withWatermark(ts, late)
-            .select(ts, F.inline(F.array(*checks))).filter("value is not null and not isnan(value)"))
+            .select(ts, F.inline(F.array(*values))).filter("value is not null and not isnan(value)")
+            .join(bounds, "field"))
     return long.groupBy(F.window(ts, window), "field").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("outside"))

@@ -191,5 +191,15 @@ def test_range_audit_edges(spark):
                                       (4, "gone", "0-1")], "ord int, field_name string, typical_range string")
     got = {r.field: (r.observed_min, r.observed_max, r.out_of_range_pct) for r in quality.range_audit(df, contract).collect()}
     assert got == {"x": (1.0, 5.0, 0.5), "flag": (0.0, 1.0, 0.5)}
+    many = spark.range(100_000).select(F.col("id").cast("int").alias("ord"), F.when(F.col("id") % 50_000 == 7, "x").when(
+        F.col("id") == 3, "flag").otherwise(F.concat(F.lit("f"), F.col("id").cast("string"))).alias("field_name"),
+        F.when(F.col("id") > 7, "0-0.5").otherwise("1-5").alias("typical_range"))
+    report = [(r.field, r.typical_range, r.out_of_range_pct) for r in quality.range_audit(df, many).collect()]
+    assert report == [("x", "0-0.5", 1.0), ("flag", "1-5", 0.5), ("x", "1-5", 0.0)]
+    tied = spark.createDataFrame([(0, "x", "0-9"), (1, "flag", "0-1")], "ord int, field_name string, typical_range string")
+    assert [r.field for r in quality.range_audit(df, tied).collect()] == ["x", "flag"]
+    rules = spark.range(60_000).select(F.col("id").cast("string").alias("operation_type"), F.lit("x").alias("field")).unionByName(
+        spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "gone")], "operation_type string, field string"))
+    assert [(r.operation_type, r.value) for r in quality.null_rule_violations(df.filter("x = 1"), rules, "name", ["flag"]).collect()] == [("a", "1.0")]
     nulls = {r.field: round(r.null_fraction, 4) for r in quality.null_fraction(df).collect()}
     assert nulls == {"x": 0.3333, "flag": 0.3333, "empty": 1.0, "name": 0.0}
