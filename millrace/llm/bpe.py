@@ -250,25 +250,42 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     return tokens.withColumn(out, F.pandas_udf(run, "binary")(F.coalesce(F.col(ids), F.lit(b""))))
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 per row of ``docs`` (doc_id, text).
-
-    One Python pass encodes, decodes the ids and digests both, so ids and decoded texts
-    never travel; a null text counts as an empty one, repeated rows stay.
-    """
+def _passes(path: str, kept: int, names: list[str], with_ids: bool):
+    """A pass over (``kept`` columns, text): texts encoded, the ids decoded, both digested, some rows at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder(path), parts(path).__getitem__
         for batch in batches:
-            rows = []
-            for some in column_parts(batch.column(1), PASS_CHARS):
+            at = 0
+            for some in column_parts(batch.column(kept), PASS_CHARS):
+                rows = []
                 for ids in encoder.encode(some):
                     decoded = b"".join(map(part, np.frombuffer(ids, "<u4").tolist()))
-                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            n, of_ids, of_decoded = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_decoded, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids))
+                n, of_ids, of_decoded, ids = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.slice(at, len(rows)) for c in batch.columns[:kept]], pa.array(n, pa.int64()), pa.array(of_ids, pa.string()),
+                     pa.array(of_decoded, pa.string()), *([pa.array(ids, pa.binary())] if with_ids else [])],
+                    [*names, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+                at += len(rows)
+
+    return run
+
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 per row of ``docs`` (doc_id, text).
+
+    One Python pass encodes, decodes the ids and digests both, so ids and decoded texts
+    never travel; a null text counts as an empty one, an endless pre-token is merged whole,
+    repeated rows stay.
+    """
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(
-        run, f"doc_id {doc_id}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        _passes(path, 1, ["doc_id"], False), f"doc_id {doc_id}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenized(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id", "source", "lang")) -> DataFrame:
+    """The columns ``keep`` of every row of ``docs``, and n_tokens, ids (little-endian unsigned 32-bit
+    integers), and the digests of the ids and of what they decode to. Rows as in `round_trip`."""
+    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, text_or_empty().alias("text")).mapInArrow(
+        _passes(path, len(keep), list(keep), True), f"{types}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")

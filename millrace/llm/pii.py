@@ -50,10 +50,18 @@ def _mod97(x: str) -> str:
             "'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ') - 1) % 97) = 1 else false end)")
 
 
+def _iban(x: str) -> str:
+    """The part of a match as long as its country's numbers are, blanks aside; empty if no such part ends there."""
+    lengths = ", ".join(f"'{k}', {v}" for k, v in IBAN_LENGTHS.items())
+    return (f"coalesce(regexp_extract({x}, concat(r'^(?:\\x20?[A-Z0-9]){{', try_element_at(map({lengths}), left({x}, 2)), "
+            "r'}(?![A-Z0-9])'), 0), '')")
+
+
 @dataclass(frozen=True)
 class Kind:
     """``pattern``: leftmost matches, not overlapping; ``first``: a quick test that a text has
-    any; ``confirm``: SQL over a match ``{x}``; ``points`` of 100 before context."""
+    any; ``taken``: SQL for the part of a match ``{x}`` that counts, from its begin; ``confirm``: SQL
+    over that part; ``points`` of 100 before context."""
 
     name: str
     pattern: str
@@ -61,6 +69,7 @@ class Kind:
     confirm: str
     points: int
     context: str
+    taken: str = "{x}"
 
 
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -73,7 +82,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "contains({t}, '+')",
          f"length({_digits('{x}')}) between 9 and 15", 60, "tel|phone|call|fax|mobil"),
     Kind("iban", r"[A-Z][A-Z][0-9][0-9](?:\x20?[A-Z0-9][A-Z0-9][A-Z0-9][A-Z0-9]){2,7}(?:\x20?[A-Z0-9]{1,3})?", "true",
-         _mod97("{x}"), 80, "iban|account|konto|bank|cuenta|compte"),
+         _mod97("{x}"), 80, "iban|account|konto|bank|cuenta|compte", _iban("{x}")),
     Kind("ssn", r"(?:(?<![0-9-])|\G)[0-9]{3}-[0-9]{2}-[0-9]{4}", "contains({t}, '-')",
          r"not {x} rlike r'^(?:000|666|9..)|-00-|0000$'", 40, "ssn|social|security"),
 )
@@ -90,9 +99,10 @@ def _found(kind: Kind, text: str) -> str:
     before = ("(b[i div 256] + aggregate(slice(l, (i div 256) * 256 + 1, i % 256), 0, (a, y) -> a + y) + length(s.p[i]))")
     context = (f"if(lower(concat(right(s.p[i], {CONTEXT_LEFT}), ' ', left(s.p[i + 1], {CONTEXT_RIGHT}))) "
                f"rlike r'(?:^|[^a-z])(?:{kind.context})', {BONUS}, 0)")
-    one = _let(before, "f", f"named_struct('kind', '{kind.name}', 'from', f, 'to', f + length(s.h[i]), "
+    taken = kind.taken.replace("{x}", "s.h[i]")
+    one = _let(before, "f", f"named_struct('kind', '{kind.name}', 'from', f, 'to', f + length({taken}), "
                             f"'points', {kind.points} + {context})")
-    spans = f"transform(filter(sequence(0, size(s.h) - 1), i -> {kind.confirm.replace('{x}', 's.h[i]')}), i -> {one})"
+    spans = f"transform(filter(sequence(0, size(s.h) - 1), i -> {kind.confirm.replace('{x}', taken)}), i -> {one})"
     sums = ("transform(sequence(0, (size(l) - 1) div 256), k -> aggregate(slice(l, k * 256 + 1, 256), 0, (a, y) -> a + y))")
     blocks = "transform(sequence(0, size(c) - 1), k -> aggregate(slice(c, 1, k), 0, (a, y) -> a + y))"
     spans = _let("transform(s.h, (x, i) -> length(s.p[i]) + length(x))", "l",

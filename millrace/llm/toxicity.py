@@ -289,7 +289,8 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: Sample) -> tuple[list[str], list[int]]:
-    """Texts and labels of a bounded sample, by a hash of doc_id; rows held out never enter."""
+    """Texts and labels of a bounded sample, by a hash of doc_id; rows held out never enter. A label that
+    ``docs`` hold, but none of the sampled ids in a text short enough, is an error."""
     marks = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))) \
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     texts, marked = [], []
@@ -299,6 +300,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: Sample) -> tuple[l
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")) \
             .where(F.length("text") <= sample.most_chars).join(F.broadcast(ids), "doc_id", "left_semi") \
             .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample.per_label).collect()
+        if not rows and not docs.join(marks.where(F.col("toxic") == label), "doc_id", "left_semi").isEmpty():
+            raise ValueError(f"no text labelled {label} among the first of its label has {sample.most_chars} characters or fewer")
         texts += [r["text"] for r in rows]
         marked += [label] * len(rows)
     return texts, marked

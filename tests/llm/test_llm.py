@@ -378,12 +378,16 @@ def test_views_rotate_and_masks_cover_the_viewer(spark):
 
 # --- byte BPE
 
-def test_bpe_equals_tiktoken(spark, docs, rows, none):
+def library_encoding():
     import tiktoken
 
     with open(RANKS, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    library = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_tiktoken(spark, docs, rows, none):
+    library = library_encoding()
     rng = random.Random(1)
     parts = ["a", "b", " ", "  ", "\n", "é", " ", "\x1c", "\x85", "'s", "12", "٣", "日本", "\U0001F600", "!", "\t", "xyz", " the"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(800)] + ["", "ab" * 900, "é" * 700]
@@ -489,4 +493,77 @@ def test_pipeline_stages_keep_columns(spark, tmp_path, labelled):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == table.columns, name
         docs = out
-    assert set(corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).columns) >= {"doc_id", "n_tokens"}
+    rows = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect()
+    texts = sorted((r.doc_id, r.source, r.text) for r in docs.collect())
+    encoding = library_encoding()
+    assert sorted((r.doc_id, r.source, encoding.decode(np.frombuffer(r.ids, "<u4").tolist())) for r in rows) == texts
+    assert all(len(r.ids) == 4 * r.n_tokens and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 for r in rows)
+
+
+@pytest.mark.parametrize("case", ["hard", "empty"])
+def test_pipeline_runs_whole(spark, tmp_path, labelled, rows, case):
+    table, labels = labelled
+    docs = table.unionByName(spark.createDataFrame(rows, SCHEMA)) if case == "hard" else table.where("false")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    (labels if case == "hard" else labels.where("false")).write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "source", "lang", "n_tokens", "ids"} <= set(out.columns)
+    found = {r.doc_id for r in out.select("doc_id").collect()}
+    if case == "empty":
+        assert not found
+    else:
+        clean, toxic = ({i for i in range(start, 200, 2)} & found for start in (14, 13))
+        assert len(clean) > 20 and len(toxic) <= 3 and {10, 12} <= found  # the mix takes a part of the large source
+
+
+def near_copy(rng, words, share):
+    """A copy with words replaced one by one until its five-word shingles have ``share`` in common."""
+    copy = list(words)
+
+    def similarity():
+        a, b = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (words, copy))
+        return len(a & b) / len(a | b)
+
+    while True:
+        before, at = list(copy), rng.randrange(len(copy))
+        copy[at] = f"new{rng.randint(0, 10 ** 6)}"
+        if similarity() < share:
+            return before
+
+
+def test_near_copies_of_the_pipeline_stage(spark):
+    rng, rows = random.Random(7), []
+    for i in range(150):
+        words = prose(1000 + i, 220).split()
+        rows.append(row(2 * i, " ".join(words)))
+        if i % 3:
+            rows.append(row(2 * i + 1, " ".join(near_copy(rng, words, 0.8 + 0.15 * (i % 30) / 30))))
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {2 * i for i in range(150)} <= kept
+    copies = {2 * i + 1 for i in range(150) if i % 3}
+    assert len(copies & kept) <= 0.08 * len(copies), len(copies & kept)
+
+
+def test_wide_masks_miss_few_pairs():
+    rng = random.Random(3)
+    for rows in (100, 10 ** 6):
+        masks = [m & (2 ** 64 - 1) for m in simhash.wide_masks(rows, 0.8)]
+        chance = np.arccos(1.6 / 1.8) / np.pi
+        changes = [sum(1 << b for b in range(64) if rng.random() < chance) for _ in range(400)]
+        assert sum(any(m & change == 0 for m in masks) for change in changes) >= 368
+
+
+def test_account_numbers_before_other_words(spark):
+    texts = {0: "IBAN ES91 2100 0418 4502 0005 1332 EUR", 1: "konto BE71 0961 2345 6769 2024", 2: "iban DE89370400440532013000X",
+             3: "DE89 3704 0044 0532 0130 00, GB82 WEST 1234 5698 7654 32 GBP"}
+    got = {r.doc_id: r.spans.split(",") if r.spans else [] for r in pii.report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    found = {i: [texts[i][int(v.split(":")[1]):int(v.split(":")[2])] for v in spans if v.startswith("iban")] for i, spans in got.items()}
+    assert found == {0: ["ES91 2100 0418 4502 0005 1332"], 1: ["BE71 0961 2345 6769"], 2: [],
+                     3: ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]}
+
+
+def test_labels_without_a_usable_text(spark, labelled):
+    table, labels = labelled
+    long = table.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.repeat("text", 50)).otherwise(F.col("text")))
+    with pytest.raises(ValueError, match="labelled 1"):
+        toxicity.fit(long, labels, SMALL)
