@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages over all documents, each written and reread.
 
 Toxic documents go, one document of each group of near duplicates stays, personal data is
-masked, sources are mixed to their weights, and texts are encoded and decoded.
+masked, sources are mixed to their weights, and texts are encoded to ids, which are kept with
+their source and the digest of what they decode to.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return bpe.tokenized(docs, vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_copies), ("personal_data", mask_personal_data),
