@@ -45,7 +45,10 @@ def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
 
 def text_fingerprint(data: bytes, shingle: int = 4) -> int:
     """Signed 64-bit fingerprint of one UTF-8 text; 0 if it has no words."""
-    hashes = shingle_hashes(data, shingle)
+    return _majority(shingle_hashes(data, shingle))
+
+
+def _majority(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), CHUNK):
         part = hashes[i:i + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -54,6 +57,27 @@ def text_fingerprint(data: bytes, shingle: int = 4) -> int:
     return int(bits.view("<i8")[0])
 
 
+def two_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, h, fp as `fingerprints` gives them, and fp2, a fingerprint of the same shingles under another hash."""
+    def run(batches):
+        for batch in batches:
+            pairs = []
+            for data in batch.column(1).to_pylist():
+                hashes = shingle_hashes(data, shingle)
+                other = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+                pairs.append((_majority(hashes), _majority(other ^ (other >> np.uint64(32)))))
+            first, second = zip(*pairs) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(first, pa.int64()), pa.array(second, pa.int64())],
+                                             ["doc_id", "h", "fp", "fp2"])
+
+    return _hashed_texts(docs).mapInArrow(run, "doc_id long, h long, fp long, fp2 long")
+
+
+def _hashed_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       text_or_empty().cast("binary").alias("data"), F.xxhash64(text_or_empty()).alias("h"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, h (hash of the text), fp (signed long) per row of ``docs``; a null text is empty."""
     def run(batches):
@@ -62,9 +86,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(values, pa.int64())], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       text_or_empty().cast("binary").alias("data"), F.xxhash64(text_or_empty()).alias("h")) \
-        .mapInArrow(run, "doc_id long, h long, fp long")
+    return _hashed_texts(docs).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def table_masks(blocks: int, radius: int) -> list[int]:
@@ -123,9 +145,11 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def shard_links(tree_side: list[int], query_side: list[int] | None, radius: int) -> list[tuple[int, int]]:
+def shard_links(tree_side: list[int], query_side: list[int] | None, radius: int,
+                second: list[int] | None = None, both: int = 128) -> list[tuple[int, int]]:
     """Links that join a shard's components: all within ``tree_side``, or those of
-    ``query_side`` with it. At most one link fewer than there are fingerprints."""
+    ``query_side`` with it. At most one link fewer than there are fingerprints. With ``second``
+    fingerprints, of tree side then query side, the two distances together are at most ``both``."""
     tree, links = BKTree(), []
     values = tree_side if query_side is None else tree_side + query_side
     parent = list(range(len(values)))
@@ -133,7 +157,10 @@ def shard_links(tree_side: list[int], query_side: list[int] | None, radius: int)
         for value in tree_side:
             tree.add(value)
     for i in range(0 if query_side is None else len(tree_side), len(values)):
-        for j in sorted(tree.within(values[i], radius), key=lambda j: (values[i] ^ values[j]).bit_count()):
+        met = [((values[i] ^ values[j]).bit_count(), j) for j in tree.within(values[i], radius)]
+        if second is not None:
+            met = [(d, j) for d, j in met if d + (second[i] ^ second[j]).bit_count() <= both]
+        for _, j in sorted(met):
             a, b = _find(parent, i), _find(parent, j)
             if a != b:
                 parent[a] = b
@@ -144,29 +171,30 @@ def shard_links(tree_side: list[int], query_side: list[int] | None, radius: int)
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS,
-                      masks: list[int] | None = None) -> DataFrame:
+                      masks: list[int] | None = None, both: int | None = None) -> DataFrame:
     """Links (a, b) that connect every pair of ``distinct`` (fp) within ``radius`` bits, or with
-    ``masks`` of a caller every such pair that agrees on one of them."""
+    ``masks`` of a caller every such pair that agrees on one of them; with ``both`` only pairs whose
+    distance and that of their second fingerprints (fp2) together are at most that."""
     masks = masks or table_masks(blocks_for(distinct.count(), radius), radius)
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]))
+    more = [] if both is None else ["fp2"]
+    keyed = distinct.select("fp", *more, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]))
                             .alias("t", "k"))
     sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     cut = keyed.join(sizes, ["t", "k"]).withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int")) \
         .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    sent = cut.select("t", "k", "fp", "part", other.alias("o")).select(
-        "t", "k", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "fp")
+    sent = cut.select("t", "k", "fp", *more, "part", other.alias("o")).select(
+        "t", "k", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "fp", *more)
 
     def run(table, bounds):
-        fps = (table.column("fp").to_numpy().view(np.uint64)).tolist()
+        fps, *others = ((table.column(c).to_numpy().view(np.uint64)).tolist() for c in ("fp", *more))
         parts, first, second = (table.column(c).to_pylist() for c in ("part", "i", "j"))
         links = []
         for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if first[s] == second[s]:
-                links += shard_links(fps[s:e], None, radius)
-            else:
-                links += shard_links([f for f, p in zip(fps[s:e], parts[s:e]) if p == first[s]],
-                                     [f for f, p in zip(fps[s:e], parts[s:e]) if p != first[s]], radius)
+            tree = [n for n in range(s, e) if parts[n] == first[s]]
+            query = [] if first[s] == second[s] else [n for n in range(s, e) if parts[n] != first[s]]
+            also = [others[0][n] for n in tree + query] if others else None
+            links += shard_links([fps[n] for n in tree], [fps[n] for n in query] if query else None, radius, also, both or 128)
         pairs = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -195,11 +223,11 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, shard_ro
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_radius(least: float) -> int:
+def wide_radius(least: float, bits: int = 64) -> int:
     """Bits by which 98 in 100 pairs of texts at that Jaccard index differ at most: a bit differs with the
     chance of the angle between their shingle counts."""
     chance = math.acos(2 * least / (1 + least)) / math.pi
-    return math.ceil(64 * chance + 2.05 * math.sqrt(64 * chance * (1 - chance)))
+    return math.ceil(bits * chance + 2.05 * math.sqrt(bits * chance * (1 - chance)))
 
 
 def wide_masks(rows: int, least: float, missed: float = 0.05) -> list[int]:
@@ -230,11 +258,13 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, heads: DataFrame, least: float, shingle: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links (a, b) between rows of ``heads`` (fp, doc_id, h: one document each) whose texts in
+    """Links (a, b) between rows of ``heads`` (fp, fp2, doc_id, h: one document each) whose texts in
     ``docs`` share at least ``least`` of their distinct shingles. Fingerprints propose, in tables of
-    random bits and with a wide radius; the shingles themselves decide."""
+    random bits and with a wide radius, at which two of them keep unrelated texts apart; the
+    shingles themselves decide."""
     proposed = reliable_checkpoint(fingerprint_links(
-        heads.select("fp"), wide_radius(least), shard_rows, wide_masks(heads.count(), least)).distinct())
+        heads.select("fp", "fp2"), wide_radius(least), shard_rows, wide_masks(heads.count(), least),
+        wide_radius(least, 128)).distinct())
     ends = proposed.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     wanted = heads.join(ends, "fp").select("fp", F.col("doc_id").alias("head_id"), F.col("h").alias("head_hash"))
     rows = docs.select("doc_id", "text", F.xxhash64(text_or_empty()).alias("h"))
@@ -261,12 +291,12 @@ def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 5, least: float
     """
     hashed, chosen, wanted_id = (fresh(docs, c) for c in ("text_hash", "chosen_hash", "chosen_id"))
     rows = docs.withColumn(hashed, F.xxhash64(text_or_empty()))
-    marked = reliable_checkpoint(fingerprints(docs, shingle))
+    marked = reliable_checkpoint(two_fingerprints(docs, shingle))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
     near = reliable_checkpoint(_members(marked, radius, SHARD_ROWS).select("fp", "root"))
-    # the first document of a class stands for it, under the fingerprint that the class is named by
-    firsts = reliable_checkpoint(marked.join(near, "fp").groupBy("root").agg(F.min(place).alias("best")).select(
-        F.col("root").alias("fp"), F.col("best.doc_id").alias("doc_id"), F.col("best.h").alias("h")))
+    # the first document of a class stands for it, under its own fingerprint
+    firsts = reliable_checkpoint(marked.join(near, "fp").withColumn("first", F.struct(place.alias("p"), "fp", "fp2")).groupBy("root").agg(
+        F.min("first").alias("best")).select("best.fp", "best.fp2", F.col("best.p.doc_id").alias("doc_id"), F.col("best.p.h").alias("h")))
     groups = connected_components(similar_links(docs, firsts, least, shingle))
     best = firsts.join(groups.withColumnRenamed("node", "fp"), "fp", "left").groupBy(
         F.coalesce("root", "fp").alias("group")).agg(F.min(place).alias("best"))
