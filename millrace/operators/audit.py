@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numeric import is_bad
@@ -49,33 +49,40 @@ def state_movement(history: DataFrame, unit: list[str]) -> DataFrame:
 
 def audit_states(history: DataFrame, unit: list[str]) -> DataFrame:
     """(unit, state, severity, rule, detail): bad numbers, drift of degradation states and
-    oscillation of tracking states."""
-    bad = first_bad_step(history, unit).select(
-        *unit, F.explode("states").alias("state"), F.lit("issue").alias("severity"),
-        F.lit("bad number").alias("rule"), F.col("t").cast("double").alias("detail"))
-    good = usable_history(history, unit)
+    oscillation of tracking states.
+
+    ``history`` has one row per (unit, state, t). Each unit's first bad step is found by one
+    aggregation and met with its rows; a second one, by (unit, state), decides all rules: both
+    ends, the number of points and the first ``OSCILLATION_STEPS`` values, at most one a step.
+    Steps are whole numbers from 0; null values take no part.
+    """
+    wrong = is_bad(F.col("value"))
+    first = history.filter(wrong).groupBy(*unit).agg(F.min("t").alias("_bad"))
+    placed = history.join(first, unit, "left")
+    usable = (F.col("_bad").isNull() | (F.col("t") < F.col("_bad"))) & F.col("value").isNotNull()
+    wears = usable & (F.col("state_type") == "degradation")
+    tracks = usable & (F.col("state_type") == "tracking")
+    early = F.when(tracks & F.col("t").between(0, OSCILLATION_STEPS), F.struct("t", "value"))
+    state = placed.groupBy(*unit, "state").agg(
+        F.min(F.when(wrong & (F.col("t") == F.col("_bad")), F.col("t"))).alias("bad_at"),
+        F.min_by("value", F.when(wears, F.col("t"))).alias("initial"),
+        F.max_by("value", F.when(wears, F.col("t"))).alias("final"),
+        F.count_if(wears).alias("worn_points"), F.count_if(tracks).alias("tracked_points"),
+        F.array_sort(F.collect_list(early)).alias("early"))
+
+    def found(when: Column, severity: str, rule: str, detail: Column) -> Column:
+        return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"),
+                                     detail.cast("double").alias("detail")))
 
     delta = F.col("initial") - F.col("final")
-    verdict = (F.when(delta <= 0, F.struct(F.lit("issue").alias("severity"),
-                                           F.lit("did not degrade").alias("rule")))
-               .when(delta > FULL_DRIFT, F.struct(F.lit("issue").alias("severity"),
-                                                  F.lit("degraded too fast").alias("rule")))
-               .when(delta < LEAST_DRIFT, F.struct(F.lit("warning").alias("severity"),
-                                                   F.lit("barely changed").alias("rule"))))
-    drift = (_ends(good.filter("state_type = 'degradation'"), unit).filter("points >= 2")
-             .withColumn("_v", verdict).filter("_v is not null")
-             .select(*unit, "state", "_v.severity", "_v.rule", delta.alias("detail")))
-
-    # Only the first steps matter, so a window group has at most 101 rows.
-    tracking = good.filter("state_type = 'tracking'")
-    points = tracking.groupBy(*unit, "state").agg(F.count(F.lit(1)).alias("_points"))
-    steps = Window.partitionBy(*unit, "state").orderBy("t")
-    jumps = (tracking.filter(F.col("t") <= OSCILLATION_STEPS)
-             .withColumn("_jump", F.abs(F.col("value") - F.lag("value").over(steps)))
-             .groupBy(*unit, "state").agg(F.max("_jump").alias("detail"))
-             .join(points, [*unit, "state"])
-             .filter((F.col("_points") >= OSCILLATION_STEPS)
-                     & (F.col("detail") > OSCILLATION_LIMIT))
-             .select(*unit, "state", F.lit("warning").alias("severity"),
-                     F.lit("oscillating").alias("rule"), "detail"))
-    return bad.unionByName(drift).unionByName(jumps)
+    drifts = F.col("worn_points") >= 2
+    jump = F.array_max(F.transform("early", lambda at, i: F.abs(
+        at["value"] - F.get(F.col("early"), i - 1)["value"])))
+    rules = F.array(
+        found(F.col("bad_at").isNotNull(), "issue", "bad number", F.col("bad_at")),
+        F.coalesce(found(drifts & (delta <= 0), "issue", "did not degrade", delta),
+                   found(drifts & (delta > FULL_DRIFT), "issue", "degraded too fast", delta),
+                   found(drifts & (delta < LEAST_DRIFT), "warning", "barely changed", delta)),
+        found((F.col("tracked_points") >= OSCILLATION_STEPS) & (jump > OSCILLATION_LIMIT),
+              "warning", "oscillating", jump))
+    return state.select(*unit, "state", F.inline(F.filter(rules, lambda rule: rule.isNotNull())))

@@ -90,3 +90,20 @@ def test_audit_findings(spark):
         ("x", "a", "issue", "bad number"), ("x", "b", "issue", "bad number")}
     first = audit.first_bad_step(frame, ["unit"]).collect()
     assert [(r.unit, r.t, r.states) for r in first] == [("x", 3, ["a", "b"])]
+
+
+def test_audit_looks_at_the_first_hundred_steps(spark):
+    late = [("a", t, "temp", "tracking", 500.0 if t > 100 else 1.0) for t in range(150)]
+    edge = [("b", t, "temp", "tracking", 500.0 if t > 99 else 1.0) for t in range(150)]
+    holes = [("c", t, "temp", "tracking", None if t == 1 else 300.0 if t == 2 else 1.0) for t in range(130)]
+    none = [("d", t, "temp", "tracking", None) for t in range(130)]
+    cut = [("e", t, "temp", "tracking", 500.0 * (t % 2)) for t in range(130)]
+    cut += [("e", 99, "other", "static", float("nan"))]
+    frame = spark.createDataFrame(
+        late + edge + holes + none + cut, "unit string, t int, state string, state_type string, value double")
+    found = audit.audit_states(frame, ["unit"])
+    assert {(r.unit, r.state, r.rule, r.detail) for r in found.collect()} == {
+        ("b", "temp", "oscillating", 499.0), ("c", "temp", "oscillating", 299.0), ("e", "other", "bad number", 99.0)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan[plan.find("Initial Plan"):].count("Exchange hashpartitioning") <= 3
+    assert audit.audit_states(frame.limit(0), ["unit"]).collect() == []
