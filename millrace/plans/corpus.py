@@ -374,6 +374,52 @@ def page_headings(spark, folder):
     return found.filter("kind = 'scan'").select("doc", "page_num", "heading")
 
 
+CELL, CELL_LINES, CELL_GAPS = 24, 6, (18, 14, 10, 6)
+
+
+def column_pages(spark, folder):
+    """Each turn is a page of one to five columns nested in each other, filled from the turn's
+    digests. User turns have two section headings: on the second line of one column and on the
+    fifth of the last."""
+    turns = table(spark, folder, "conversations", heavy=True)
+    last, at = F.col("turn") % (len(CELL_GAPS) + 1), F.col("conv_id") % (F.col("turn") % (len(CELL_GAPS) + 1) + 1)
+
+    def heading(minor):
+        return F.rpad(F.concat((F.col("turn") + 1).cast("string"), F.lit(f".{minor} Asked by the user ")), CELL, "x")
+
+    def line(number):
+        cells = []
+        for column in range(len(CELL_GAPS) + 1):
+            filler = F.substring(F.md5(F.concat_ws("/", F.lit(f"{number}/{column}"), "conv_id", "text").cast("binary")), 1, CELL)
+            cell = (F.when((F.col("role") == "user") & (number == 1) & (at == column), heading(1))
+                    .when((F.col("role") == "user") & (number == 4) & (last == column), heading(2)).otherwise(filler))
+            gap = F.lit(" " * CELL_GAPS[column - 1] if column else "")
+            cells.append(F.when(last >= column, F.concat(gap, cell)))
+        return F.concat_ws("", *cells)
+
+    return turns.select(F.col("conv_id").alias("doc"), (F.col("turn") + 1).alias("page_num"),
+                        F.concat_ws("\n", *[line(i) for i in range(CELL_LINES)]).alias("text"))
+
+
+@query("column_headings", f"""
+SELECT conv_id AS doc, turn + 1 AS page_num, rpad((turn + 1) || '.1 Asked by the user ', {CELL}, 'x') AS heading
+FROM conversations WHERE role = 'user' AND turn < 20""")
+def column_headings(spark, folder):
+    return sections.page_headings(column_pages(spark, folder))
+
+
+@query("column_parts", f"""
+SELECT conv_id AS doc, turn + 1 AS page_num, unnest(generate_series(0, turn % 5)) AS place,
+  turn % 5 + 1 AS n_columns, {CELL * CELL_LINES + CELL_LINES - 1} AS n_chars FROM conversations WHERE turn % 5 > 0""")
+def column_parts(spark, folder):
+    parts = sections.column_parts(column_pages(spark, folder), ["doc", "page_num"])
+    depth = F.length(F.regexp_replace("path", "0", ""))
+    rows = parts.select("doc", "page_num", "path", depth.alias("place"), F.length("text").alias("n_chars"))
+    counts = rows.groupBy("doc", "page_num").agg(F.count(F.lit(1)).alias("n_columns"))
+    return rows.join(counts, ["doc", "page_num"]).select(
+        "doc", "page_num", F.col("place").cast("long").alias("place"), "n_columns", F.col("n_chars").cast("long").alias("n_chars"))
+
+
 @query("document_sections", f"""
 WITH docs AS (SELECT conv_id AS doc, max(turn) + 1 AS total FROM conversations GROUP BY 1),
 starts AS (SELECT conv_id AS doc, turn AS place, turn + 1 AS start, (turn + 1) || '.1 Question from the user side' AS heading
@@ -396,18 +442,24 @@ def contents_sections(spark, folder):
     return sections.document_sections(turn_pages(spark, folder, True))
 
 
-@query("contents_pages", """
-SELECT conv_id AS doc, turn AS page, length(text) > 0 AND turn = 0 AS is_toc, true AS valid FROM conversations""")
+@query("contents_pages", f"""
+WITH p AS (SELECT conv_id AS doc, turn AS page, length(text) % 7 AS entries, length(text) % 5 AS fillers, n_tokens FROM
+    (SELECT *, length(text) - length(replace(text, ' ', '')) AS n_tokens FROM conversations)),
+s AS (SELECT *, (1 + n_tokens % 24) AS major, n_tokens % 33 AS minor, page % 4 = 3 AS padded FROM p)
+SELECT doc, page, entries >= 3 AND entries > 0.3 * (1 + entries + 2 * fillers) AS is_toc,
+  major <= 20 AND minor <= 30 AND NOT padded AS valid FROM s""")
 def contents_pages(spark, folder):
+    """Pages with as many contents entries and other lines as the length of a turn says, and
+    section numbers from its blanks; every fourth has a zero before its minor number."""
     from millrace.functions.text import is_toc_page, valid_section
     turns = table(spark, folder, "conversations")
-    entries = F.concat(F.lit("Contents\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(
-        i.cast("string"), F.lit(".1 Part ...... "), i.cast("string"))), "\n"))
-    text = F.when(F.col("turn") == 0, entries).otherwise(F.col("text"))
+    size, blanks = F.length("text"), F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    text = F.concat(F.lit("Contents"), F.repeat(F.lit("\n1.1 Part ...... 7"), size % 7),
+                    F.repeat(F.lit("\nno entry\n\n1.2 Part 8"), size % 5))
+    number = F.concat((blanks % 24 + 1).cast("string"), F.when(F.col("turn") % 4 == 3, ".0").otherwise("."),
+                      (blanks % 33).cast("string"), F.lit("."))
     return turns.select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"),
-                        is_toc_page(text).alias("is_toc"),
-                        (valid_section(F.concat((F.col("turn") + 1).cast("string"), F.lit(".3.")))
-                         & ~valid_section(F.concat(F.col("turn").cast("string"), F.lit(".06")))).alias("valid"))
+                        is_toc_page(text).alias("is_toc"), valid_section(number).alias("valid"))
 
 
 # ------------------------------------------------------------------ web, guides, sources
