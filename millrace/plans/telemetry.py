@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import keywords, numeric
 from millrace.operators import profiling, quality
 from millrace.plans.registry import query, table
+from millrace.session import checkpoint_folder
+from millrace.sources import scan, sinks
 
 LINE_CONTRACT = [
     (0, "l_quantity", "5-45"), (1, "l_extendedprice", "1000.0-50000.0"),
@@ -277,3 +282,44 @@ def coerced_values(spark, folder):
     return table(spark, folder, "events").select(
         "event_id", numeric.coerce_number(text, "string").alias("coerced"),
         numeric.report_float(text, "string").alias("report"), numeric.is_bad(raw).alias("bad"))
+
+
+# ------------------------------------------------------------------ files
+
+PROFILE_COLUMNS = {"view": ["event_id", "value"], "click": ["event_id", "user_id", "props"],
+                   "error": ["props", "value", "event_id"], "purchase": ["event_id", "value"],
+                   "signup": ["event_id", "user_id", "value", "props"]}
+PROFILE_CONTRACT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
+                                 T.StructField("value", T.DoubleType())])
+
+
+def _has(column):
+    return ", ".join(f"'{p}'" for p, columns in PROFILE_COLUMNS.items() if column in columns)
+
+
+@query("profile_files", f"""
+SELECT event_type AS profile, event_id, CASE WHEN event_type IN ({_has('user_id')}) THEN user_id END AS user_id,
+  CASE WHEN event_type IN ({_has('value')}) AND event_id % 3 > 0 THEN value END AS value,
+  CASE WHEN event_type IN ({_has('props')}) THEN props END AS props FROM events""")
+def profile_files(spark, folder):
+    """Events written as one CSV per event type, with columns that differ, and scanned again.
+    Every third value is missing; a maintenance log among the files is no telemetry."""
+    events = table(spark, folder, "events").withColumn("value", F.when(F.col("event_id") % 3 > 0, F.col("value")))
+    target = f"{checkpoint_folder(spark)}/profiles-{uuid.uuid4().hex}"
+    for profile, columns in PROFILE_COLUMNS.items():
+        sinks.write_profile(events.filter(F.col("event_type") == profile).select(*columns), target, profile)
+    sinks.write_profile(events.filter("event_type = 'signup'").select("event_id"), target, "maintenance")
+    return scan.scan_profiles(spark, target, PROFILE_CONTRACT).select("profile", "event_id", "user_id", "value", "props")
+
+
+@query("maintenance_files", """
+SELECT CAST(epoch_us(ts) AS VARCHAR) AS timestamp, 'unit ' || user_id AS maintenance_type, true AS has_maintenance
+FROM events WHERE event_type = 'signup'""")
+def maintenance_files(spark, folder):
+    """The service log written as CSV and scanned again."""
+    target = f"{checkpoint_folder(spark)}/maintenance-{uuid.uuid4().hex}"
+    log = table(spark, folder, "events").filter("event_type = 'signup'").select(
+        F.unix_micros(F.col("ts").cast("timestamp")).cast("string").alias("timestamp"),
+        F.concat(F.lit("unit "), F.col("user_id").cast("string")).alias("maintenance_type"))
+    rows, there = scan.scan_maintenance(spark, sinks.write_profile(log, target, "maintenance"))
+    return rows.withColumn("has_maintenance", F.lit(there))

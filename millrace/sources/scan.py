@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,40 +41,44 @@ def _files(spark: SparkSession, pattern: str):
     return system, [s.getPath() for s in (system.globStatus(path) or [])]
 
 
-def _header(spark, system, path) -> str:
-    stream = system.open(path)
-    try:
-        reader = spark._jvm.java.io.BufferedReader(
-            spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return reader.readLine() or ""
-    finally:
-        stream.close()
+def _headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(header, paths): the first lines of text files and who has them, by one scan.
+
+    Lines of a file are numbered upwards within the task that reads its beginning, so the
+    header is the line of the least number among those of the file's first block.
+    """
+    place = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value", place.alias("place"))
+    return (lines.groupBy("path").agg(F.min_by("value", "place").alias("header"))
+            .groupBy("header").agg(F.array_sort(F.collect_list(decoded_path(F.col("path")))).alias("paths")))
 
 
 def scan_profiles(spark: SparkSession, folder: str, contract: T.StructType | None = None,
                   pattern: str = "*events_*.csv") -> DataFrame:
     """All profile CSVs of a folder unioned by column name, with their ``profile``.
 
-    Files are grouped by header line (the first line of each file is read, nothing
-    else), so each distinct header is one scan; columns a file lacks become null.
-    Columns named in ``contract`` are cast to its types, and texts that mean "missing"
-    become null. Files whose name mentions maintenance are no telemetry.
+    A profile is a file, or a folder of part files as Spark writes it. One scan finds the
+    header line of every file; files of one header are read by one reader, and columns a
+    file lacks become null. Columns named in ``contract`` are cast to its types, and texts
+    that mean "missing" become null. Files whose name mentions maintenance are no telemetry;
+    files without any line add nothing. The driver holds the paths, as any file listing does.
     """
-    system, paths = _files(spark, f"{folder.rstrip('/')}/{pattern}")
-    by_header: dict[str, list[str]] = {}
-    for path in paths:
-        if "maintenance" not in path.getName():
-            by_header.setdefault(_header(spark, system, path), []).append(path.toString())
-    if not by_header:
+    _, found = _files(spark, f"{folder.rstrip('/')}/{pattern}")
+    paths = [path.toString() for path in found if "maintenance" not in path.getName()]
+    if not paths:
         raise FileNotFoundError(f"no {pattern} in {folder}")
+    headers = _headers(spark, paths)
+    columns = F.transform(F.split("header", ",", -1), lambda part, i: F.concat(F.lit("c"), i.cast("string"), F.lit(" string")))
+    by_header = headers.withColumn("columns", F.array_join(columns, ",")).orderBy("header").collect()
     frames = []
-    for header in sorted(by_header):
-        names = spark.createDataFrame([(header,)], "h string").select(
-            F.from_csv("h", ",".join(f"c{i} string" for i in range(header.count(",") + 1)))
-            .alias("r")).select("r.*").first()
+    for row in by_header:
+        names = spark.range(1).select(F.from_csv(F.lit(row["header"]), row["columns"]).alias("r")).select("r.*").first()
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names if n is not None])
-        frames.append(spark.read.csv(sorted(by_header[header]), header=True, schema=schema)
-                      .withColumn("profile", profile_name(F.col("_metadata.file_name"))))
+        frames.append(spark.read.csv(row["paths"], header=True, schema=schema)
+                      .withColumn("profile", profile_name(decoded_path(F.col("_metadata.file_path")))))
+    if not frames:
+        empty = contract or T.StructType()
+        return spark.createDataFrame([], T.StructType([*empty.fields, T.StructField("profile", T.StringType())]))
     rows = frames[0]
     for frame in frames[1:]:
         rows = rows.unionByName(frame, allowMissingColumns=True)
@@ -85,9 +89,16 @@ def scan_profiles(spark: SparkSession, folder: str, contract: T.StructType | Non
         for c in rows.columns])
 
 
-def profile_name(file_name):
-    """Text after the first ``events_`` of the file stem."""
-    stem = F.regexp_replace(file_name, r"\.[^.]*$", "")
+def decoded_path(path: Column) -> Column:
+    """A path as it was named, from the percent-encoded form of the file metadata."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def profile_name(path: Column) -> Column:
+    """Text after the first ``events_`` of the file stem. A part file has the name of its folder."""
+    name = F.element_at(F.split(path, "/"), -1)
+    folder = F.get(F.split(path, "/"), F.size(F.split(path, "/")) - 2)
+    stem = F.regexp_replace(F.when(name.rlike("^part-[0-9]{5}-"), folder).otherwise(name), r"\.[^.]*$", "")
     return F.when(stem.contains("events_"), F.regexp_extract(stem, r"^.*?events_(.*)$", 1)) \
         .otherwise(stem)
 

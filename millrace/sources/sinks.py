@@ -46,6 +46,13 @@ def write_profiles(events: DataFrame, path: str, profile: str = "profile") -> No
     events.write.mode("overwrite").option("header", True).partitionBy(profile).csv(path)
 
 
+def write_profile(events: DataFrame, folder: str, profile: str, prefix: str = "fleet") -> str:
+    """One profile as a folder of CSV part files that ``scan_profiles`` finds; its path."""
+    path = f"{folder.rstrip('/')}/{prefix}_events_{profile}.csv"
+    events.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
+    return path
+
+
 def save_summary(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(path)
 

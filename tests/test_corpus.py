@@ -149,6 +149,33 @@ def test_page_headings(spark):
     assert heading(spark, page) == "3.2 Pump unit assembly overview"
 
 
+def test_columns_split_until_none_splits(spark):
+    def side_by_side(left, right, gap):
+        width = max(map(len, left))
+        return [f"{a:<{width}}{' ' * gap}{b}" for a, b in zip(left, right)]
+
+    def words(tag):
+        return [f"{tag}{i} some words of text" for i in range(4)]
+
+    cells = [words(tag) for tag in "abcdef"]
+    cells[4][1] = "7.2 Heading of fifth"
+    cells[5][0] = "7.3 Heading of sixth"
+    lines = cells[5]
+    for cell, gap in zip(reversed(cells[:5]), (3, 6, 9, 12, 15)):
+        lines = side_by_side(cell, lines, gap)
+    contents = "\n".join(f"1.{i} Part ...... {i}" for i in range(1, 5))
+    plain = "7.1 Plain heading\nwords   with gaps"
+    pages = spark.createDataFrame([("d", 1, "\n".join(lines)), ("d", 2, contents), ("d", 3, plain), ("d", 4, None),
+                                   ("d", 5, "")], "doc string, page_num long, text string")
+    parts = sections.column_parts(pages, ["doc", "page_num"]).orderBy("path").collect()
+    assert [(r.page_num, r.path) for r in parts] == [(1, p) for p in ("0", "10", "110", "1110", "11110", "11111")]
+    assert [r.text.split("\n")[2].strip() for r in parts] == [cell[2] for cell in cells]
+    found = {(r.page_num, r.heading) for r in sections.page_headings(pages).collect()}
+    assert found == {(1, "7.2 Heading of fifth"), (3, "7.1 Plain heading")}
+    assert sections.column_parts(pages.filter("page_num > 1"), ["doc", "page_num"]) is None
+    assert sections.page_headings(pages.limit(0)).collect() == []
+
+
 def test_widest_gap(spark):
     lines = ["a   b   c", "aa   bb     cc", "no gap", "x     y   zz      w", "", "tab   \tx"]
     found = spark.createDataFrame([(s,) for s in lines], "s string").select(sections.widest_gap(F.col("s")).alias("at"))

@@ -29,6 +29,22 @@ def test_profiles(spark, tmp_path):
         scan.scan_profiles(spark, str(tmp_path / "none"))
 
 
+def test_profiles_of_part_files(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"x,{i}", None if i % 2 else "a \"b\"") for i in range(40)], "a int, b string, c string")
+    sinks.write_profile(rows.select("a", "b").repartition(5), str(tmp_path), "heavy load")
+    sinks.write_profile(rows.select("c", "a").repartition(3), str(tmp_path), "50%+1")
+    write(tmp_path / "m_events_.csv", "")  # no header, no rows
+    got = scan.scan_profiles(spark, str(tmp_path), T.StructType([T.StructField("a", T.IntegerType())])).collect()
+    assert sorted((r.profile, r.a, r.b, r.c) for r in got if r.profile == "heavy load") == [
+        ("heavy load", i, f"x,{i}", None) for i in range(40)]
+    assert sorted((r.a, r.b, r.c) for r in got if r.profile == "50%+1") == [
+        (i, None, None if i % 2 else 'a "b"') for i in range(40)] and len(got) == 80
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    write(empty / "m_events_x.csv", "")
+    assert scan.scan_profiles(spark, str(empty)).columns == ["profile"]
+
+
 def test_maintenance_is_optional(spark, tmp_path):
     path = write(tmp_path / "log.csv", "timestamp,maintenance_type\n2024-01-01,clean\n")
     log, there = scan.scan_maintenance(spark, path)
