@@ -88,8 +88,33 @@ NOTICES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"), ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 ]
+# Canonical digests of long licences as published, and of their terms alone
+# (up to "END OF TERMS AND CONDITIONS") where they close with directions for use.
+LONG_LICENSES = [
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
+    ("Apache-2.0", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+]
 NOTICE_WORD = "licens"  # every notice has it, so other lines needn't be digested
-COPYRIGHT = r"(?m)^[ \t]*(?:copyright |copyright\n|\(c\) |©|all rights reserved)[^\n]*"
+# A copyright line, behind comment marks too: its word, then a sign, a year or a name's place. It ends with its
+# line or with the reservation of rights, as a licence may follow on the same line.
+COPYRIGHT = (r"(?m)^[ \t#*/;%!<>-]*(?:(?:(?:copyright|\(c\)|©)[ \t:]*(?:copyright|\(c\)|©|[0-9]{4}|[<\[{]|by )"
+             r"|copyright [^\n]{0,60}?(?:19|20)[0-9]{2})(?:[^\n]*?all rights reserved\.?|[^\n]*)|all rights reserved\.?)")
 COPYRIGHT_WORD = r"copyright|\(c\)|©|all rights"
 PUNCTUATION = r"[!-/:-@\[-`{-~“”‘’«»–—…·•®™©]+"
 BLANK = r"[ \t\x0B\f]+"
@@ -119,9 +144,12 @@ def digest(text: str) -> str:
     return hashlib.sha256(canonical_text(text).encode()).hexdigest()
 
 
+def _known() -> dict[str, str]:
+    return {digest(text): name for name, text in LICENSES + NOTICES} | {d: name for name, d in LONG_LICENSES}
+
+
 def known(spark: SparkSession) -> DataFrame:
-    rows = {digest(text): name for name, text in LICENSES + NOTICES}
-    return spark.createDataFrame(sorted(rows.items()), "text_sha256 string, license string")
+    return spark.createDataFrame(sorted(_known().items()), "text_sha256 string, license string")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -149,7 +177,7 @@ def _sql() -> str:
         text = f"regexp_replace({text}, {quote(pattern)}, '{by}', 'g')"
     for other, form in SPELLINGS.items():
         text = f"replace({text}, '{other}', '{form}')"
-    known_rows = ", ".join(f"('{d}', '{n}')" for d, n in {digest(t): n for n, t in LICENSES + NOTICES}.items())
+    known_rows = ", ".join(f"('{d}', '{n}')" for d, n in _known().items())
     notice_rows = ", ".join(f"('{d}', '{n}')" for d, n in {digest(t): n for n, t in NOTICES}.items())
     return f"""
 WITH known(d, license) AS (VALUES {known_rows}), notice(d, name) AS (VALUES {notice_rows}),

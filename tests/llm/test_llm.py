@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import pathlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -468,6 +470,32 @@ def test_windows_overlap_and_cover():
 
 # --- licences
 
+def test_long_licenses_and_comment_headers(spark):
+    """Known texts from the system's licence folder, wrapped anew, under comment marks and behind a copyright
+    line; a clause of a licence that begins a line with "copyright" or "(c)" is no copyright line."""
+    mit = licenses.LICENSES[0][1]
+    under = lambda mark, lines: "\n".join(mark + line for line in lines)
+    texts = {"hash": ("MIT", under("# ", ["Copyright (c) 2020 Some One", "", *textwrap.wrap(mit, 60)])),
+             "slashes": ("MIT", under("// ", ["Copyright 2019-2021 Some One.", "All rights reserved.", *textwrap.wrap(mit, 47)])),
+             "block": ("MIT", "/* Copyright © Some One */\n/*\n" + under(" * ", textwrap.wrap(mit, 70)) + "\n */"),
+             "one line": ("MIT", "Copyright (c) Some One 2020. All rights reserved. " + mit),
+             "name first": ("MIT", "Copyright Some One, Some Place, 1999\n" + mit),
+             "narrow": ("BSD-3-Clause", "\n".join(licenses.LICENSES[7][1].split(" "))),
+             "more words": (None, mit + " More words."), "half": (None, mit[:300])}
+    folder = pathlib.Path("/usr/share/common-licenses")
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"),
+                       ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("GFDL-1.3", "GFDL-1.3")):
+        if (folder / file).exists():
+            whole = (folder / file).read_text()
+            texts[file] = (name, whole)
+            texts[file + " commented"] = (name, under("; ", whole.split("\n")))
+            end = "END OF TERMS AND CONDITIONS"
+            if end in whole:
+                texts[file + " terms"] = (name, whole[:whole.rindex(end) + len(end)])
+    df = spark.createDataFrame([(k, t) for k, (_, t) in texts.items()], "doc_id string, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(df).collect()} == {k: n for k, (n, _) in texts.items()}
+
+
 def test_license_digests(spark, docs, none):
     texts = {1: "Copyright (c) 2020 Some One\n\n" + licenses.LICENSES[0][1].replace("copyright notice", "COPYRIGHT  notice").replace(". ", ".\n"),
              2: "prose\nreleased under the MIT Licence\nprose", 3: None, 4: "", 5: "Released under the MIT License.",
