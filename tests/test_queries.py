@@ -11,7 +11,8 @@ from check_sql import TABLES, rows_of
 
 FOLDER = "/root/testdata/sf0.001"
 SOME = ("range_audit null_fraction categorical_profile wear_signals chunk_dedup chunk_pack vector_topk "
-        "section_ranges model_audit external_inputs maintenance_due wear_fold ").split()
+        "section_ranges model_audit external_inputs maintenance_due wear_fold "
+        "column_headings column_parts contents_pages state_audit profile_files maintenance_files").split()
 
 
 def test_every_sql_has_a_query():
