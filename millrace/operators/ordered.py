@@ -10,11 +10,12 @@ whatever the number of keys, and travel by broadcast.
 
 The steps are associative (counts, last values, sums since a reset, clamped affine states), so
 what a range does to a state is known before the state is. Sums are kept in whole multiples of
-2**-56 and give the same bits however the rows are cut.
+2**-56 and give the same bits however the rows are cut; a `RunningSum` adds row by row instead.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from millrace.session import reliable_checkpoint, shuffle_width
 
-LANE_ROWS = 512
+LANE_ROWS, HELD_ROWS = 512, 4096
 HIGH_BITS, LOW_BITS = 16, 40
 LARGE, FULL = 2.0 ** 32, 1 << 60
 
@@ -193,10 +194,63 @@ class SumSince:
 
 
 def _restarted(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Running sums that begin anew at ``cut``, for values that are not all finite."""
+    """Running sums that begin anew at ``cut``, added up one by one."""
     return np.concatenate([np.cumsum(part) for part in np.split(values, np.flatnonzero(cut)[1:])])
 
 
+@dataclass(frozen=True)
+class RunningSum:
+    """Sum of ``amount`` (null: 0) since the last row with ``reset``, which counts 0, in doubles and
+    row by row: the bits of a loop over the key's rows.
+
+    A state is (known, sum, amounts): the sum once the key's begin or a reset is known, else the
+    amounts still to be added to it, in order. Only a key that goes through a whole range without
+    reset leaves amounts; from ``HELD_ROWS`` on they are one exact sum, and last bits can differ.
+    """
+
+    name: str
+    amount: str
+    reset: str
+    sql_type: str = "double"
+
+    def inputs(self):
+        return [self.amount, self.reset]
+
+    def empty(self):
+        return (False, 0.0, ())
+
+    def _parts(self, batch):
+        amount, reset = _floats(batch, self.amount), _flags(batch, self.reset)
+        return np.where(reset | np.isnan(amount), 0.0, amount), reset
+
+    def state_after(self, state, batch, s, e, begins):
+        amount, reset = self._parts(batch.slice(s, e - s))
+        marks = np.flatnonzero(reset)
+        at = int(marks[-1]) if len(marks) else 0
+        part = (False, 0.0, tuple(amount[at:].tolist()))
+        return self.join((True, 0.0, ()) if begins or len(marks) else state, part)
+
+    def join(self, earlier, later):
+        if later[0]:
+            return later
+        if earlier[0]:
+            return (True, float(np.cumsum((earlier[1], *later[2]))[-1]), ())
+        held = (*earlier[2], *later[2])
+        return (False, 0.0, held if len(held) <= HELD_ROWS else (_exact_sum(held),))
+
+    def values(self, state, batch, starts, begins):
+        amount, reset = self._parts(batch)
+        cut = reset.copy()
+        cut[starts] = True
+        if not begins and len(amount) and not reset[0]:
+            amount[0] = state[1] + amount[0]
+        return pa.array(_restarted(amount, cut))
+
+
+def _exact_sum(amounts) -> float:
+    return math.fsum(amounts) if np.isfinite(amounts).all() else float(np.sum(amounts))
+
+
 @dataclass(frozen=True)
 class Fold:
     """State x -> clamp(a*x + b, lo, hi) after each row, from ``start`` (constant per key).
@@ -447,6 +501,12 @@ def sum_since_reset(df: DataFrame, keys: list[str], order: str, tie: list[str],
     return scan(df, keys, order, tie, [SumSince(name, amount, reset)], ranges)
 
 
+def running_sum(df: DataFrame, keys: list[str], order: str, tie: list[str],
+                amount: str, reset: str, name: str, ranges: int | None = None) -> DataFrame:
+    """The same sum with the bits of a loop that adds up row by row."""
+    return scan(df, keys, order, tie, [RunningSum(name, amount, reset)], ranges)
+
+
 def affine_fold(df: DataFrame, keys: list[str], order: str, tie: list[str], start: str,
                 name: str = "level", ranges: int | None = None) -> DataFrame:
     """State after each row, for rows that carry step columns ``a, b, lo, hi``.

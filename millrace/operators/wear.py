@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import Last, SumSince, affine_fold, order_number, scan, sum_since_reset
+from millrace.operators.ordered import Last, SumSince, affine_fold, order_number, running_sum, scan
 
 # Operating hours behind one unit of each rate basis, and the largest
 # tracking coefficient.
@@ -22,10 +22,11 @@ def wear_index(events: DataFrame, unit: list[str], order: str, tie: list[str], r
                driver: str, reset: str, basis: str = PER_EVENT, name: str = "wear",
                ranges: int | None = None) -> DataFrame:
     """Linear wear of each unit: rate x driver summed since the last ``reset`` row,
-    limited to [0, 1]. Equals the step-by-step clamped update for drivers >= 0."""
+    limited to [0, 1]. Equals the step-by-step clamped update, also in its last bits, as
+    limits are compared with it."""
     used = events.withColumn("_use", step_rate(F.lit(float(rate)), F.lit(basis))
                              * F.greatest(F.col(driver).cast("double"), F.lit(0.0)))
-    out = sum_since_reset(used, unit, order, tie, "_use", reset, "_sum", ranges)
+    out = running_sum(used, unit, order, tie, "_use", reset, "_sum", ranges)
     return out.withColumn(name, F.least(F.lit(1.0), F.col("_sum"))).drop("_use", "_sum")
 
 

@@ -191,6 +191,35 @@ def test_sums_have_the_same_bits(hot):
     assert runs[0] == runs[1] == runs[2]
 
 
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_running_sum_has_the_bits_of_a_loop(hot, ranges):
+    out = ordered.running_sum(hot, ["a", "b"], "ts", ["tie"], "value", "mark", "total", ranges)
+    got = {r.name: r.total for r in out.collect()}
+    for rows in in_order(hot).values():
+        level = 0.0
+        for r in rows:
+            level = 0.0 if r.mark else level + (r.value or 0.0)
+            assert got[r.name] == level
+
+
+def test_wear_at_its_limit(spark):
+    df = spark.createDataFrame([(1, i, 12.5) for i in range(30)], "unit int, ts int, value double").withColumn("mark", F.lit(False))
+    worn = wear.wear_index(df, ["unit"], "ts", [], 0.0008, "value", "mark")
+    due = wear.maintenance_due(worn, ["unit"], "ts", [], [{"rule": "level", "kind": "level", "column": "wear", "limit": 0.3}], "mark")
+    level, want = 0.0, 0
+    for _ in range(30):
+        level += 0.0008 * 12.5
+        want += level > 0.3
+    assert due.count() == want == 1
+
+
+def test_running_sum_of_a_long_key_without_reset(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("unit"), "id", F.lit(0.1).alias("value"), F.lit(False).alias("mark"))
+    for ranges in (1, 3):
+        out = ordered.running_sum(df, ["unit"], "id", [], "value", "mark", "total", ranges).collect()
+        assert max(abs(r.total - 0.1 * (r.id + 1)) for r in out) < 1e-8
+
+
 @pytest.mark.parametrize("ranges", [1, 7, 64])
 def test_long_fold_in_lanes(hot, ranges):
     steps = wear.choose_step(F.col("mark"), wear.restoring_step(F.lit("scale"), F.lit(0.5)),
