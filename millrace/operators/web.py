@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -82,14 +84,24 @@ class _PageText(HTMLParser):
         return "\n".join(lines)
 
 
-def main_content(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Replaces the HTML column by ``content``: the main text, one line per text node."""
+_AMPERSAND = re.compile(r"&(?!#(?:[0-9]+|[xX][0-9a-fA-F]+);)([A-Za-z][A-Za-z0-9]*;)?")
+
+
+def _ended_references(html: str) -> str:
+    """The page with every ``&`` escaped that opens no reference ending in a semicolon."""
+    return _AMPERSAND.sub(lambda m: m[0] if m[1] in html5 else f"&amp;{m[1] or ''}", html)
+
+
+def main_content(pages: DataFrame, html: str = "html", bare_references: bool = True) -> DataFrame:
+    """Replaces the HTML column by ``content``: the main text, one line per text node. With
+    ``bare_references`` old names such as ``&amp`` count without a semicolon too, as in browsers;
+    else they stay as text, as where a title was cut in the middle of a reference."""
     kept = [f for f in pages.schema.fields if f.name != html]
     schema = T.StructType([*kept, T.StructField("content", T.StringType())])
 
     def parse(batches):
         for pdf in batches:
-            texts = [_PageText().content(h) if h else "" for h in pdf[html]]
+            texts = [_PageText().content(h if bare_references else _ended_references(h)) if h else "" for h in pdf[html]]
             yield pdf.drop(columns=[html]).assign(content=texts)
 
     return pages.mapInPandas(parse, schema)

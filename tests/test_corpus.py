@@ -208,6 +208,14 @@ def test_main_content():
     assert html_text("<div id='main-content'>i</div>") == "i"
 
 
+def test_references_without_semicolon(spark):
+    page = "<title>a&amp;&amp</title><p title='x&y'>b &lt &#65; &#65 &nosuch; &eacute;&co &amp;lt;</p>"
+    pages = spark.createDataFrame([(1, page), (2, None)], "page_id int, html string")
+    strict = {r.page_id: r.content for r in web.main_content(pages, bare_references=False).collect()}
+    assert strict == {1: "a&&amp\nb &lt A &#65 &nosuch; é&co &lt;", 2: ""}
+    assert web.main_content(pages.filter("page_id = 1")).first().content == "a&&\nb < A A &nosuch; é&co &lt;"
+
+
 def test_guide_sections(spark):
     long = "x" * 120
     text = spark.createDataFrame([(f"Title\n{long}\n(note)\nSecond\nshort\nTHIRD LINE\n{long}",)], "text string")
