@@ -38,7 +38,15 @@ def coerce_number(column: Column, dtype: str) -> Column:
 def report_float(column: Column, dtype: str) -> Column:
     """Report form: four digits, and null for missing, NaN and infinite values."""
     value = coerce_number(column, dtype)
-    return F.when(~is_bad(value), F.round(value, 4))
+    return F.when(~is_bad(value), round_half(value, 4))
+
+
+def round_half(value: Column | str, digits: int) -> Column:
+    """The double rounded as SQL does: scaled, rounded half away from zero, scaled back. ``F.round``
+    looks at the shortest decimal text instead, which puts 0.00015 up although the number is below."""
+    value = F.col(value) if isinstance(value, str) else value
+    scaled = value * 10.0 ** digits
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / 10.0 ** digits).otherwise(value)
 
 
 def is_bad(value: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import keywords
+from millrace.functions.numeric import round_half
 from millrace.operators.ordered import SumSince, scan
 
 CATEGORY_CAP = 20
@@ -145,7 +146,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
              stats[f"lo{i}"], stats[f"hi{i}"], stats[f"a{i}"], stats[f"s{i}"], medians[f.name]) for i, f in enumerate(fields)]
     measured = df.sparkSession.createDataFrame(rows, PROFILE.rsplit(",", 1)[0])
     return measured.withColumns({
-        "missing_pct": F.round("missing_pct", 2), **{c: F.round(c, 4) for c in ("min", "max", "mean", "std", "median")},
+        "missing_pct": round_half("missing_pct", 2), **{c: round_half(c, 4) for c in ("min", "max", "mean", "std", "median")},
         "unit_hint": keywords.unit_hint(F.col("field"))})
 
 
@@ -232,8 +233,8 @@ def wear_signals(log: DataFrame, type_column: str = "maintenance_type") -> DataF
         F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
         F.sum("value").alias("total"))
     stats = parts.groupBy("signal").agg(
-        F.round(F.min("lo"), 4).alias("min"), F.round(F.max("hi"), 4).alias("max"),
-        F.round(F.sum("total") / F.sum("n"), 4).alias("mean"))
+        round_half(F.min("lo"), 4).alias("min"), round_half(F.max("hi"), 4).alias("max"),
+        round_half(F.sum("total") / F.sum("n"), 4).alias("mean"))
     return (parts.select("signal", "maintenance_type", "n")
             .join(F.broadcast(stats), "signal")
             .select("signal", "maintenance_type", "n", "min", "max", "mean"))

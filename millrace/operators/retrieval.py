@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.numeric import round_half
 from millrace.functions.text import name_query
 
 # Queries travel to the tasks in blocks of at most this many numbers.
@@ -58,7 +59,7 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, filters: tuple[str,
     best = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "chunk_id")
     return (hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "chunk_id", "rank", "distance",
-                    F.round(1 - F.col("distance"), 4).alias("score")))
+                    round_half(1 - F.col("distance"), 4).alias("score")))
 
 
 def _scan_block(rows, chunks, k, filters, metric, chunk_id, schema):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions.numeric import round_half
 from millrace.functions.text import normalize_name, normalize_text, parse_range, range_midpoint
 from millrace.operators import contract, name_merge
 from millrace.operators.components import star_components
@@ -176,7 +177,7 @@ def name_candidates(spark, folder):
     names = table(spark, folder, "part").select("p_brand", "p_size", "p_partkey", normalize_name(field).alias("name")) \
         .groupBy(F.col("p_brand").alias("scope"), "name").agg(F.min(F.struct("p_size", "p_partkey")).alias("seen")) \
         .select("scope", "name", F.col("seen.p_size").alias("first_run"), F.col("seen.p_partkey").alias("first_ord"))
-    return name_merge.candidate_pairs(names).withColumn("bound", F.round("bound", 6))
+    return name_merge.candidate_pairs(names).withColumn("bound", round_half("bound", 6))
 
 
 # An order hangs together with its month and its priority, within its customer.

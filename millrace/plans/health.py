@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions.numeric import nearly
+from millrace.functions.numeric import nearly, round_half
 from millrace.operators import audit, estimate, health, wear
 from millrace.operators.ordered import row_index
 from millrace.plans.registry import query, table
@@ -38,7 +38,7 @@ worn AS (SELECT *, least(1.0::DOUBLE, sum(CASE WHEN service THEN 0.0::DOUBLE ELS
 
 @query("wear_index", _WEAR + " SELECT event_id, user_id, round(wear, 6) AS wear FROM worn")
 def wear_index(spark, folder):
-    return worn_events(spark, folder).select("event_id", "user_id", F.round("wear", 6).alias("wear"))
+    return worn_events(spark, folder).select("event_id", "user_id", round_half("wear", 6).alias("wear"))
 
 
 # ------------------------------------------------------------------ operation mix, drift
@@ -48,8 +48,8 @@ SELECT event_type AS operation_type, count(*) AS n, round(avg(CASE WHEN value >
   round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY 1""")
 def operation_mix(spark, folder):
     mix = health.operation_mix(events(spark, folder), "event_type", {"alarm_rate": F.col("value") > 200})
-    return mix.select("operation_type", "n", F.round("alarm_rate", 6).alias("alarm_rate"),
-                      F.round("share", 6).alias("share"))
+    return mix.select("operation_type", "n", round_half("alarm_rate", 6).alias("alarm_rate"),
+                      round_half("share", 6).alias("share"))
 
 
 @query("drift_early_late", """
@@ -61,7 +61,7 @@ SELECT user_id, 'value' AS metric, n, round(avg(value) FILTER (rn <= part), 6) A
 FROM p GROUP BY user_id, n""")
 def drift_early_late(spark, folder):
     drift = health.drift_early_late(events(spark, folder), UNIT, ORDER, TIE, ["value"])
-    return drift.select("user_id", "metric", "n", *[F.round(c, 6).alias(c) for c in (
+    return drift.select("user_id", "metric", "n", *[round_half(c, 6).alias(c) for c in (
         "early_mean", "late_mean", "early_std", "late_std")])
 
 
@@ -148,7 +148,7 @@ h AS (SELECT event_id, user_id, t, 'worn' AS event, a AS health FROM c UNION ALL
 @query("event_health", _HEALTH + " SELECT event_id, event, round(health, 6) AS health, health <= 0 AS triggered, health < 1 AS degrading FROM h")
 def event_health(spark, folder):
     out = health.event_health(wide_states(spark, folder), EVENT_SPECS, ["event_id"])
-    return out.withColumn("health", F.round("health", 6))
+    return out.withColumn("health", round_half("health", 6))
 
 
 @query("start_health", _HEALTH + " SELECT user_id, event, round(health, 6) AS health FROM h WHERE t = 0 AND NOT abs(health - 1) < 1e-6")
@@ -156,7 +156,7 @@ def start_health(spark, folder):
     placed = row_index(wide_states(spark, folder), UNIT, ORDER, TIE, "t").filter("t = 0")
     out = health.event_health(placed, EVENT_SPECS, ["user_id"])
     return out.filter(~nearly(F.col("health"), 1.0)).select(
-        "user_id", "event", F.round("health", 6).alias("health"))
+        "user_id", "event", round_half("health", 6).alias("health"))
 
 
 OUTPUT_RULES = [("pressure", "round(6.0 + 2.0 * (1 - wear), 6)"), ("valve", "CASE WHEN margin < 0.7 THEN 'closed' ELSE 'open' END"),
@@ -202,7 +202,7 @@ def wear_fold(spark, folder):
                             F.when(kind == "signup", 0.9).otherwise(0.1)),
         wear.accelerating_step(F.col("value") * 0.0005, 2.0))
     out = wear.fold_states(events(spark, folder), UNIT, ORDER, TIE, steps, F.lit(0.0))
-    return out.select("event_id", F.round("level", 6).alias("level"))
+    return out.select("event_id", round_half("level", 6).alias("level"))
 
 
 @query("tracking_fold", _fold_sql({"level": 25.0}, {"level": (
@@ -220,7 +220,7 @@ def accumulation_fold(spark, folder):
     change = F.when(fills, F.col("value") * 0.5).otherwise(-F.col("value") * 0.4)
     steps = wear.accumulation_step(change, 200.0)
     out = wear.fold_states(events(spark, folder), UNIT, ORDER, TIE, steps, F.lit(50.0))
-    return out.select("event_id", F.round("level", 6).alias("level"))
+    return out.select("event_id", round_half("level", 6).alias("level"))
 
 
 # ------------------------------------------------------------------ audits
@@ -256,7 +256,7 @@ def histories(spark, folder):
 
 @query("state_audit", _HISTORY + " SELECT user_id, state, severity, rule, round(detail, 6) AS detail FROM found")
 def state_audit(spark, folder):
-    return audit.audit_states(histories(spark, folder), UNIT).withColumn("detail", F.round("detail", 6))
+    return audit.audit_states(histories(spark, folder), UNIT).withColumn("detail", round_half("detail", 6))
 
 
 @query("first_bad_step", _HISTORY + """ SELECT b.user_id, b.t, string_agg(DISTINCT b.state, ',' ORDER BY b.state) AS states
@@ -328,7 +328,7 @@ _MEMBERS = ("WITH u AS (SELECT user_id, count(*) AS n_steps FROM events GROUP BY
 @query("initial_members", _MEMBERS + " SELECT user_id, member, " + ", ".join(
     f"round({n}, 6) AS {n}" for n in NAMES) + " FROM mem")
 def initial_members(spark, folder):
-    return members(spark, folder).select("user_id", "member", *[F.round(n, 6).alias(n) for n in NAMES])
+    return members(spark, folder).select("user_id", "member", *[round_half(n, 6).alias(n) for n in NAMES])
 
 
 # Members of an ensemble are the users of a profile, the event type; a member's rows are its steps.
@@ -347,7 +347,7 @@ def ensemble_samples(spark, folder):
 
 @query("strided_steps", _SAMPLES + " SELECT event_type, user_id, event_id, t, round(wear, 6) AS wear FROM sampled")
 def strided_steps(spark, folder):
-    return ensemble_samples(spark, folder).select("event_type", "user_id", "event_id", "t", F.round("wear", 6).alias("wear"))
+    return ensemble_samples(spark, folder).select("event_type", "user_id", "event_id", "t", round_half("wear", 6).alias("wear"))
 
 
 @query("ensemble_states", _SAMPLES + """
@@ -355,7 +355,7 @@ SELECT event_type, t, 'wear' AS state, round(avg(wear), 6) AS mean, round(stddev
 UNION ALL SELECT event_type, t, 'margin', round(avg(margin), 6), round(stddev_pop(margin), 6) FROM sampled GROUP BY ALL""")
 def ensemble_states(spark, folder):
     out = estimate.ensemble_summary(ensemble_samples(spark, folder), ["event_type"], ["wear", "margin"])
-    return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+    return out.withColumns({"mean": round_half("mean", 6), "std": round_half("std", 6)})
 
 
 @query("ensemble_health", _SAMPLES + """,
@@ -365,7 +365,7 @@ SELECT event_type, t, 'worn' AS event, round(avg(worn), 6) AS health FROM e GROU
 UNION ALL SELECT event_type, t, 'weak', round(avg(weak), 6) FROM e GROUP BY ALL""")
 def ensemble_health(spark, folder):
     out = estimate.ensemble_health(ensemble_samples(spark, folder), ["event_type"], EVENT_SPECS[:2])
-    return out.withColumn("health", F.round("health", 6))
+    return out.withColumn("health", round_half("health", 6))
 
 
 @query("event_times", """
@@ -379,4 +379,4 @@ def event_times(spark, folder):
         "user_id", F.col("event_type").alias("event"), (F.col("value") < 0.05).alias("triggered"),
         F.when(F.col("value") < 200, F.col("value")).otherwise(float("inf")).alias("time"))
     out = estimate.summarize_times(times, ["user_id", "event"])
-    return out.withColumns({"rul_mean": F.round("rul_mean", 6), "rul_std": F.round("rul_std", 6)})
+    return out.withColumns({"rul_mean": round_half("rul_mean", 6), "rul_std": round_half("rul_std", 6)})

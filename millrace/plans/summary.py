@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import keywords
+from millrace.functions.numeric import round_half
 from millrace.operators import profiling
 
 
@@ -31,7 +32,7 @@ def data_summary(events: DataFrame, machine_name: str, order: str,
     columns = list(events.columns)
     numeric = profiling.numeric_profile(events)
     categorical = profiling.categorical_profile(events, order)
-    missing = events.agg(*[F.round(F.avg(F.col(f"`{c}`").isNull().cast("double")) * 100, 2)
+    missing = events.agg(*[round_half(F.avg(F.col(f"`{c}`").isNull().cast("double")) * 100, 2)
                            .alias(c) for c in columns]).unpivot(
         [], [f"`{c}`" for c in columns], "field", "missing_pct")
     categories = categorical.groupBy("field").agg(

@@ -276,12 +276,12 @@ SELECT event_id,
 def coerced_values(spark, folder):
     kind = F.col("event_type")
     text = (F.when(kind == "click", F.col("value").cast("string")).when(kind == "view", "")
-            .when(kind == "error", "open").when(kind == "signup", "nan").otherwise("-inf"))
+            .when(kind == "error", "open").when(kind == "signup", "nan").when(kind == "purchase", "-inf"))
     raw = (F.when(kind == "signup", F.lit(float("nan")))
            .when(kind == "purchase", F.lit(float("-inf"))).otherwise(F.col("value")))
     return table(spark, folder, "events").select(
         "event_id", numeric.coerce_number(text, "string").alias("coerced"),
-        numeric.report_float(text, "string").alias("report"), numeric.is_bad(raw).alias("bad"))
+        numeric.report_float(text, "string").alias("report"), F.when(kind.isNotNull(), numeric.is_bad(raw)).alias("bad"))
 
 
 # ------------------------------------------------------------------ files
