@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.numeric import round_half
 from millrace.functions.text import parse_range
 from millrace.session import reliable_checkpoint
 
@@ -94,9 +95,11 @@ def range_audit(df: DataFrame, contract: DataFrame) -> DataFrame:
     long = df.select(F.inline(F.array(*found))).filter("value is not null")
     outside = (F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))
     limits = ["c", "ord", "lo", "hi"]
-    measured = long.join(bounds.select(*limits).distinct(), "c").groupBy(*limits).agg(
-        F.round(F.min("value"), 4).alias("observed_min"), F.round(F.max("value"), 4).alias("observed_max"),
-        F.round(F.avg(outside.cast("double")), 4).alias("out_of_range_pct")).withColumnsRenamed({n: f"_{n}" for n in limits})
+    # Few columns, so a shuffled join would put a column's values into one task. Every value meets all
+    # limits of its column, so limits too many to broadcast would be too many to compare with.
+    measured = long.join(F.broadcast(bounds.select(*limits).distinct()), "c").groupBy(*limits).agg(
+        round_half(F.min("value"), 4).alias("observed_min"), round_half(F.max("value"), 4).alias("observed_max"),
+        round_half(F.avg(outside.cast("double")), 4).alias("out_of_range_pct")).withColumnsRenamed({n: f"_{n}" for n in limits})
     same = F.lit(True)
     for name in limits:
         same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
