@@ -134,3 +134,36 @@ def test_runs_to_contract(spark):
          ("m", "gone", "gone")], "scope string, name string, canonical string")
     final = contract.final_contract(groups, contract.representatives(fields)).collect()
     assert [(r.field_name, r.unit) for r in final] == [("water_temp", "c")]
+
+
+def test_blocks_of_edges_are_contracted(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(components, "BLOCK_EDGES", 6)
+    edges = sorted([(1, "b", "a"), (1, "c", "b")] + [(2, "y", "x"), (2, "z", "y"), (2, "q", "p")] + [(3, "é", "z"), (3, "z", "a")]
+                   + [(4, chr(98 + i), chr(97 + i)) for i in range(9)], key=lambda e: e[0])
+    batches = [pa.RecordBatch.from_pylist([dict(zip("suv", e)) for e in edges[i:i + 3]]) for i in range(0, len(edges), 3)]
+    rows = [tuple(r.values()) for b in components._least_of_blocks(iter(batches), 1) for r in b.to_pylist()]
+    assert [r for r in rows if not r[3]] == [(2, "p", "p", False), (2, "q", "p", False), *[(2, n, "x", False) for n in "xyz"]]
+    assert {r[0] for r in rows if r[3]} == {1, 3, 4}
+    assert {(3, "é", "z"), (3, "z", "a"), (1, "c", "a")} <= {r[:3] for r in rows}
+
+
+def test_components_of_many_small_scopes_and_a_large_one(spark):
+    rng = random.Random(4)
+    edges = [(s % 50, f"n{rng.randrange(12):02}", f"n{rng.randrange(12):02}") for s in range(600)]
+    edges += [(99, f"n{rng.randrange(900):04}", f"n{rng.randrange(900):04}") for _ in range(700)]
+    edges += [(99, f"n{i:04}", f"n{i + 1:04}") for i in range(2000, 2100)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for s, a, b in edges:
+        if a != b:
+            low, high = sorted((find((s, a)), find((s, b))))
+            root[high] = low
+    df = spark.createDataFrame(edges, "s int, a string, b string").repartition(5)
+    got = components.star_components(df, ["s"], "a", "b").collect()
+    assert sorted(tuple(r) for r in got) == sorted((*x, find(x)[1]) for x in root)
