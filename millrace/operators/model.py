@@ -97,12 +97,13 @@ def _finding(severity, rule, detail):
                     detail.cast("string").alias("detail"))
 
 
-def audit_model(model: DataFrame, physics: DataFrame, flows: DataFrame) -> DataFrame:
+def audit_model(model: DataFrame, physics: DataFrame, flows: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """(machine_id, component, severity, rule, detail) of every issue and warning.
 
     ``model`` is the merged (``merge_physics``) and flagged model, ``physics`` the pass-2
     records by name. The per-component rules are one projection over the component row;
-    only the cross-checks (orphans, endpoints) join, on equality.
+    only the cross-checks (orphans, endpoints) join, on equality. They need only the names of
+    the components: ``components`` gives them where the model is still a join.
     """
     none = F.array().cast("array<struct<severity:string,rule:string,detail:string>>")
 
@@ -127,29 +128,31 @@ def audit_model(model: DataFrame, physics: DataFrame, flows: DataFrame) -> DataF
         each("fault_conditions", lambda f: _blank(f["description"]), "issue",
              "fault without description", lambda f: F.coalesce(f["name"], F.lit("?"))),
         when_empty("maintenance_actions", "no maintenance actions"))
-    own = (model.filter(F.col("physics_class") != SIMPLE)
-           .select("machine_id", "component", F.inline(rules)))
+    # All findings of a component leave in one reading of the model.
+    unmatched = F.array(_finding("issue", "component without physics", F.lit("")))
+    own = model.select("machine_id", "component", F.inline(F.concat(
+        F.when(F.col("physics_class") != SIMPLE, rules).otherwise(none),
+        F.when(~F.col("has_physics"), unmatched).otherwise(none))))
 
     def listed(df, severity, rule, detail):
         return df.select("machine_id", "component", F.lit(severity).alias("severity"),
                          F.lit(rule).alias("rule"), detail.alias("detail"))
 
     blank = F.lit("")
-    unmatched = listed(model.filter(~F.col("has_physics")), "issue",
-                       "component without physics", blank)
     path = F.concat(F.lit("flow "), F.coalesce("substance", F.lit("?")))
     unitless = listed(flows.filter(_blank(F.col("unit"))).withColumn("component", path),
                       "issue", "flow signal without unit", F.col("signal_name"))
-    # Whatever must name a component meets the components once: records, and ends of flows.
-    named = physics.select(*KEY, F.struct(
-        F.col("component").alias("component"), F.lit("issue").alias("severity"),
-        F.lit("physics without component").alias("rule"), blank.alias("detail")).alias("f"))
+    # Whatever must name a component meets the components once: records (without a path), and ends of flows.
+    named = physics.select(*KEY, F.lit(None).cast("string").alias("_path"))
     ends = flows.select("machine_id", F.explode(F.array("src", "dst")).alias("component"), path.alias("_path")).filter(
-        ~_blank(F.col("component")) & (F.col("component") != "external")).select(*KEY, F.struct(
-            F.col("_path").alias("component"), F.lit("warning").alias("severity"),
-            F.lit("unknown flow endpoint").alias("rule"), F.col("component").alias("detail")).alias("f"))
-    unknown = named.unionByName(ends).join(model.select(*KEY), KEY, "left_anti").select("machine_id", "f.*")
-    return own.unionByName(unmatched).unionByName(unitless).unionByName(unknown)
+        ~_blank(F.col("component")) & (F.col("component") != "external")).select(*KEY, "_path")
+    orphan = F.col("_path").isNull()
+    unknown = named.unionByName(ends).join((model if components is None else components).select(*KEY), KEY, "left_anti").select(
+        "machine_id", F.when(orphan, F.col("component")).otherwise(F.col("_path")).alias("component"),
+        F.when(orphan, "issue").otherwise("warning").alias("severity"),
+        F.when(orphan, "physics without component").otherwise("unknown flow endpoint").alias("rule"),
+        F.when(orphan, blank).otherwise(F.col("component")).alias("detail"))
+    return own.unionByName(unitless).unionByName(unknown)
 
 
 def coverage(model: DataFrame) -> DataFrame:
@@ -169,15 +172,14 @@ def coverage(model: DataFrame) -> DataFrame:
 
 def status_rollup(findings: DataFrame, subjects: DataFrame, keys: list[str]) -> DataFrame:
     """fail with any issue, else warn with any warning, else pass; plus the counts."""
-    counts = findings.groupBy(*keys).agg(
-        F.count_if(F.col("severity") == "issue").alias("issues"),
-        F.count_if(F.col("severity") == "warning").alias("warnings"))
-    zero = F.lit(0).cast("long")
-    return (subjects.select(*keys).distinct().join(counts, keys, "left")
-            .withColumns({"issues": F.coalesce("issues", zero),
-                          "warnings": F.coalesce("warnings", zero)})
-            .withColumn("status", F.when(F.col("issues") > 0, "fail")
-                        .when(F.col("warnings") > 0, "warn").otherwise("pass")))
+    no = F.lit(False)
+    marks = findings.select(*keys, (F.col("severity") == "issue").alias("_issue"), (F.col("severity") == "warning").alias("_warning"),
+                            no.alias("_subject")).unionByName(
+        subjects.select(*keys, no.alias("_issue"), no.alias("_warning"), F.lit(True).alias("_subject")))
+    return marks.groupBy(*keys).agg(
+        F.count_if("_issue").alias("issues"), F.count_if("_warning").alias("warnings"), F.max("_subject").alias("_subject")
+    ).filter("_subject").drop("_subject").withColumn(
+        "status", F.when(F.col("issues") > 0, "fail").when(F.col("warnings") > 0, "warn").otherwise("pass"))
 
 
 # ------------------------------------------------------------------ triage and specs

@@ -135,7 +135,7 @@ def merged_model(spark, folder):
 
 def findings(spark, folder):
     rows, records, merged = _model(spark, folder)
-    return model.audit_model(merged, records, flows(rows))
+    return model.audit_model(merged, records, flows(rows), rows)
 
 
 @query("model_audit", _MODEL + " SELECT * FROM findings")
@@ -159,7 +159,7 @@ SELECT s.machine_id, coalesce(issues, 0) AS issues, coalesce(warnings, 0) AS war
   CASE WHEN issues > 0 THEN 'fail' WHEN warnings > 0 THEN 'warn' ELSE 'pass' END AS status FROM s LEFT JOIN c ON s.machine_id = c.machine_id""")
 def model_status(spark, folder):
     rows, records, merged = _model(spark, folder)
-    return model.status_rollup(model.audit_model(merged, records, flows(rows)), rows, ["machine_id"])
+    return model.status_rollup(model.audit_model(merged, records, flows(rows), rows), rows, ["machine_id"])
 
 
 def resolved_units(rows):

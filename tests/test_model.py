@@ -103,3 +103,11 @@ def test_status(spark):
     subjects = spark.createDataFrame([("a",), ("b",), ("c",)], "unit string")
     got = {r.unit: r.status for r in model.status_rollup(findings, subjects, ["unit"]).collect()}
     assert got == {"a": "fail", "b": "warn", "c": "pass"}
+
+
+def test_status_needs_no_join(spark):
+    findings = spark.createDataFrame([("a", "issue"), ("b", "warning"), ("a", "issue"), ("x", "issue")], "unit string, severity string")
+    subjects = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "unit string")
+    out = model.status_rollup(findings, subjects, ["unit"])
+    assert {tuple(r) for r in out.collect()} == {("a", 2, 0, "fail"), ("b", 0, 1, "warn"), ("c", 0, 0, "pass")}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
