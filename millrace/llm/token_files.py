@@ -8,29 +8,58 @@ range, and the parts' totals turn places in a part into places in the whole.
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import text_or_empty, text_parts
-from millrace.llm.range_coder import BLOCK, decode_blocks, encode_blocks
+from millrace.llm.range_coder import BLOCK, LANES, decode_blocks, encode_blocks
 from millrace.session import checkpoint_folder, shuffle_width
 
-RECORD_IDS, HELD_IDS, CACHED = 4 * BLOCK, 1024 * BLOCK, 200_000
+RECORD_IDS, HELD_IDS, LINES = 4 * BLOCK, LANES * BLOCK, 512
+# Words a worker remembers and their bytes; characters encoded together.
+CACHED, CACHED_BYTES, TOGETHER = 1_200_000, 1 << 26, 4_000_000
 FILE = "part int, first long, doc_ids array<long>, counts array<int>, blocks array<binary>"
 
 
+# White space of more than one byte begins so; some others do too, which only makes longer pieces.
+WIDE_SPACE = np.zeros(1 << 16, bool)
+WIDE_SPACE[[0xC285, 0xC2A0, 0xE19A, 0xE1A0, 0xE280, 0xE281, 0xE380]] = True
+NARROW_SPACE, LETTER, SIGN = (np.zeros(256, bool) for _ in range(3))
+NARROW_SPACE[[*range(9, 14), *range(28, 33)]] = True
+LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+SIGN[[*b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~']] = True
+# Words that may stand in lines: no white space but a first space.
+LINE = re.compile(rb" ?(?:[!-~]|[\xc3-\xdf][\x80-\xbf]|[\xe4-\xf4][\x80-\xbf]+)+")
+
+
+def word_starts(data: np.ndarray) -> list[np.ndarray]:
+    """Places in UTF-8 bytes (two bytes of white space at both ends) where a byte-level splitter
+    always begins a word: at spaces and line feeds between characters which are no white space,
+    after such line feeds, and at signs (but apostrophes) after letters."""
+    at = np.flatnonzero((data == 32) | (data == 10))[3:-2]
+    at = at[~(NARROW_SPACE[data[at - 1]] | NARROW_SPACE[data[at + 1]])]
+    wide = np.flatnonzero((data[at - 1] | data[at + 1]) >> 7)
+    if len(wide):
+        near = at[wide]
+        back3, back2, back1, next1, next2 = (data[near + d].astype(np.int32) for d in (-3, -2, -1, 1, 2))
+        at = np.delete(at, wide[WIDE_SPACE[back3 << 8 | back2] | WIDE_SPACE[back2 << 8 | back1] | WIDE_SPACE[next1 << 8 | next2]])
+    return [at, at[data[at] == 10] + 1, np.flatnonzero(LETTER[data[:-1]] & SIGN[data[1:]]) + 1]
+
+
 class Tokens:
     """Ids by the tokenizers library; remembers a bounded number of pieces.
 
-    With a byte-level splitter, a space between two characters that are no white space always
-    begins a word, so the pieces between such spaces are encoded once each. Other tokenizers
-    get whole texts.
+    With a byte-level splitter, texts are cut where a word always begins, and the distinct pieces
+    (found by Arrow) are encoded once each. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -46,29 +75,84 @@ class Tokens:
         split = spec.get("pre_tokenizer") or {}
         self.pieces = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get(
             "use_regex", True) and not split.get("add_prefix_space")
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_binary())
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _lines(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has, by way of texts with a word a line: before such a
+        word, each line feed is an id of its own."""
+        ids, sizes, feed = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], self._plain(["\n"])[0]
+        for at in range(0, len(words), LINES):
+            some = words[at:at + LINES]
+            found = self._plain([(b"\n" + b"\n".join(some)).decode()])[0]
+            feeds = np.flatnonzero(found == feed[0])
+            if len(feed) > 1 or len(feeds) != len(some):
+                each = self._plain([w.decode() for w in some])
+                ids += each
+                sizes.append(np.array([len(i) for i in each]))
+            else:
+                ids.append(np.delete(found, feeds))
+                sizes.append(np.diff(feeds, append=len(found)) - 1)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Remember new pieces; returns their places among the known ones."""
+        ends, data = np.frombuffer(pieces.buffers()[1], np.int64).tolist(), pieces.buffers()[2].to_pybytes()
+        words = [data[i:j] for i, j in zip(ends[:len(pieces)], ends[1:])]
+        other = np.array([LINE.fullmatch(w) is None for w in words])
+        order = np.argsort(other, kind="stable")
+        ids, sizes = self._lines([words[i] for i in order[:len(words) - other.sum()]])
+        rest = self._plain([words[i].decode() for i in np.flatnonzero(other)])
+        place = np.empty(len(words), np.int64)
+        place[order] = len(self.known) + np.arange(len(words))
+        self.known = pa.concat_arrays([self.known, pieces.take(pa.array(order))])
+        self.ids = np.concatenate([self.ids, ids, *rest])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([*sizes, *map(len, rest)], dtype=np.int64)])
+        return place
+
+    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        """Ids of each text and the end id."""
         if not self.pieces:
-            return self._plain(texts)
-        if len(self.known) > CACHED:
-            self.known = {}
-        known, split, whole = self.known, [], []
-        for i, text in enumerate(texts):
-            pieces = text.split(" ")
-            clean = all(p and not p[0].isspace() and not p[-1].isspace() for p in pieces if p not in known)
-            (split if clean else whole).append((i, pieces))
-        new = list({p for _, pieces in split for p in pieces[1:] if p not in known})
-        known.update((p, ids.tobytes()) for p, ids in zip(new, self._plain([" " + p for p in new])))
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        for (i, pieces), first in zip(split, self._plain([pieces[0] for _, pieces in split])):
-            out[i] = np.frombuffer(first.tobytes() + b"".join([known[p] for p in pieces[1:]]), np.uint32)
-        for (i, _), ids in zip(whole, self._plain([texts[i] for i, _ in whole])):
-            out[i] = ids
-        return out
+            return [np.append(ids, np.uint32(end_id)) for ids in self._plain(texts)]
+        if len(self.known) > CACHED or self.known.nbytes + self.ids.nbytes > CACHED_BYTES:
+            self._forget()
+        parts = [t.encode() for t in texts]
+        data = b"\n\n\n" + b"\n".join(parts) + b"\n\n"
+        # Between texts stands one byte, a piece of its own that becomes the end id.
+        stops = 3 + np.cumsum([len(p) + 1 for p in parts]) - 1
+        starts = np.concatenate([[3], stops[:-1] + 1])
+        cuts = np.concatenate([starts, stops, *word_starts(np.frombuffer(data, np.uint8)), stops[-1:] + 1])
+        cuts.sort(kind="stable")
+        cuts = cuts.astype(np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        coded = pieces.dictionary_encode()
+        place = pc.index_in(coded.dictionary, self.known)
+        new = place.is_null().to_numpy(zero_copy_only=False)
+        place = place.fill_null(0).to_numpy().astype(np.int64)
+        if new.any():
+            place[new] = self._learn(coded.dictionary.filter(pa.array(new)))
+        begins, sizes = self.ends[place], self.ends[place + 1] - self.ends[place]
+        codes = coded.indices.to_numpy()
+        begin, size = begins[codes], sizes[codes]
+        # An empty text has its start and its stop at one place; its end is the latter.
+        last = np.searchsorted(cuts, stops, side="right") - 1
+        size[last] = 1
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat(begin - upto + size, size) + np.arange(upto[-1])] if len(self.ids) else np.zeros(upto[-1], np.uint32)
+        ids[upto[last] - 1] = end_id
+        return np.split(ids, upto[last[:-1]])
+
+
+@functools.lru_cache(maxsize=1)
+def tokens_of(path: str) -> Tokens:
+    """The tokenizer of a worker, kept from task to task."""
+    return Tokens(path)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None:
@@ -79,7 +163,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None:
     writes no records. Ids must be under 65536. ``tokenizer``: a file every executor can read.
     """
     def run(batches):
-        tokens, part = Tokens(tokenizer), TaskContext.get().partitionId()
+        tokens, part = tokens_of(tokenizer), TaskContext.get().partitionId()
         place, held, doc_ids = 0, [], []
 
         def records():
@@ -110,14 +194,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None:
                 pa.array([[len(i) for _, i in g] for g in groups], pa.list_(pa.int32())),
                 pa.array(own, pa.list_(pa.binary()))], ["part", "first", "doc_ids", "counts", "blocks"])
 
-        size, end = 0, np.array([end_id], np.uint32)
+        size = 0
         for batch in batches:
             ids_of, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-            for some in text_parts(texts):
-                for ids in tokens.encode(some):
-                    held.append(np.concatenate([ids, end]))
+            for some in text_parts(texts, TOGETHER):
+                for ids in tokens.encode(some, end_id):
+                    held.append(ids)
                     doc_ids.append(ids_of[at])
-                    size, at = size + len(ids) + 1, at + 1
+                    size, at = size + len(ids), at + 1
                 if size >= HELD_IDS:
                     yield records()
                     held, doc_ids, size = [], [], 0

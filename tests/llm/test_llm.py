@@ -111,6 +111,47 @@ def test_range_coder_round_trips_and_finds_damage():
         range_coder.encode_blocks([np.array([1 << 16])])
 
 
+def test_range_coder_renews_its_counts_in_blocks_of_any_length():
+    rng = np.random.default_rng(2)
+    blocks = [rng.zipf(1.3, n) % 65536 for n in (33, 63, 64, 65, 300, 1023, 1537, 2049, 3073, 4095, 4096)]
+    payloads = range_coder.encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, range_coder.decode_blocks(payloads, [len(b) for b in blocks])))
+    assert payloads[3] == range_coder.encode_blocks(blocks[3:4])[0]  # other lanes change no byte
+
+
+def test_range_coder_counts_whole_ids_and_beats_zlib():
+    # Ids that share their high bytes, as those of a corpus do: only whole ids tell them apart.
+    rng = np.random.default_rng(4)
+    shares = 1 / np.arange(1, 601)
+    blocks = [rng.choice(rng.permutation(4096)[:600] + 256, 4096, p=shares / shares.sum()) for _ in range(4)]
+    size = sum(map(len, range_coder.encode_blocks(blocks)))
+    assert size < sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+
+
+def test_tokens_learn_each_word_once_and_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    rng = random.Random(5)
+    parts = [" ", "  ", "a", "Bc", "\u00e9", "\u00a0", "\u0085", "\u2003", "\u3000", "\u180e", "\u1680", "\u201c", "\u4e2d", "\U0001F600",
+             "\n", "\t", "\x1c", "'s", "'", "12", "<|endoftext|>", ".", ",\n", "\u200b", "\r\n", "\x00", "\u3042"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ["", "\n", " ", ""]
+    tokens = token_files.Tokens(path)
+    got = [ids.tolist() for at in range(0, len(texts), 97) for ids in tokens.encode(texts[at:at + 97], 2)]
+    assert got == [e.ids + [2] for e in library.encode_batch(texts, add_special_tokens=False)]
+    tokens, asked, plain = token_files.tokens_of(path), [], token_files.Tokens._plain
+    tokens._plain = lambda texts: asked.append(texts) or plain(tokens, texts)
+    try:
+        tokens.encode(["one two, three.\nthree"], 2)
+        asked.clear()
+        again = token_files.tokens_of(path).encode(["three. two, three\nthree"], 2)  # as a later task of the worker does
+    finally:
+        del tokens._plain
+    assert not asked and again[0].tolist() == library.encode("three. two, three\nthree").ids + [2]
+
+
 def test_token_files_equal_the_library(docs, rows, none):
     from tokenizers import Tokenizer
 
