@@ -150,11 +150,16 @@ class Tokens:
 
 
 @functools.lru_cache(maxsize=1)
-def tokens_of(path: str) -> Tokens:
-    """The tokenizer of a worker, kept from task to task."""
+def _tokens(path: str, changed: int, size: int) -> Tokens:
     return Tokens(path)
 
 
+def tokens_of(path: str) -> Tokens:
+    """The tokenizer of a worker, kept from task to task until its file changes."""
+    state = os.stat(path)
+    return _tokens(path, state.st_mtime_ns, state.st_size)
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None:
     """Write the ids of ``docs`` (doc_id, text), each document followed by ``end_id``, to ``folder``.
 
